@@ -39,6 +39,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM c"""
 
 
+#: The first of equal payloads is a minimum over the digest's group.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM d)
+SELECT page_id, n::bigint AS payload_bytes, digest AS payload_digest,
+    CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": WARC,
     "op6_quality_rules": _quality_rules(),
 }
