@@ -48,7 +48,19 @@ SELECT page_id, n::bigint AS payload_bytes, digest AS payload_digest,
     CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM f"""
 
+#: Every window as its joined words; a word goes if a marked window starts at most 49 words before.
+SUBSTRING = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+marks AS (SELECT r, list(i) AS m FROM (SELECT r, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id) GROUP BY r),
+words AS (SELECT r, j, w[j] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+covered AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(m) AS i FROM marks), LATERAL (SELECT unnest(range(i, i + 50)) AS j)),
+kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.j) AS t, count(*) AS n FROM words w ANTI JOIN covered c ON w.r = c.r AND w.j = c.j GROUP BY w.r)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_substring_dedup": SUBSTRING,
     "op5_warc": WARC,
     "op6_quality_rules": _quality_rules(),
 }

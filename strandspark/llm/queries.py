@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, token_files, warc
+from . import quality_rules, substring_dedup, token_files, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
 }
