@@ -110,10 +110,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_REVIS
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
+    ids = [x.page_id for x in rows.groupBy("digest").agg(F.min("page_id").alias("page_id")).where("page_id IS NOT NULL").orderBy("digest").limit(SAMPLE_RECORDS).collect()]
+    sample = rows.where(F.col("page_id").isin(ids)).select("digest", "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).dropDuplicates(["page_id", "digest"]).orderBy("digest").limit(SAMPLE_RECORDS)
     first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of_digest"), "first")
     rows = rows.join(first, F.col("digest") == F.col("of_digest"), "left")
     rows = rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-    sample = rows.where("refers_to IS NULL").select("digest", "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).orderBy("digest", "page_id").limit(SAMPLE_RECORDS)
     dictionary = trained_dictionary([record(x.page_id, x.url, bytes(x.payload), x.digest, None) for x in sample.collect()])
     rows.mapInArrow(_archives(folder, dictionary), "archive string, n_records long").write.parquet(f"{folder}/manifest")
 
