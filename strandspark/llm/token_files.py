@@ -9,19 +9,23 @@ touches no id.
 
 Edge cases: a null text is empty and has the end id alone; rows with a null doc_id
 come first; repeated doc_ids are kept, in the order of their text's hash; an empty
-table gives no rows; further columns are ignored. The word cache is bounded and
+table gives no rows; further columns are ignored. The cache is bounded and
 only saves time. The end id and the special tokens' strings inside a text are
 encoded as the library does it.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,18 +34,22 @@ from .common import shared_folder
 
 #: Bytes of a row group before compression, and of a page.
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
-#: Words that a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 400_000
+#: Parts of words that a worker remembers; beyond that it starts anew.
+CACHED_PARTS = 500_000
 SHARD_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
+_BEYOND = re.compile("[\u0130\u0250-\U0010ffff]").search
+_encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word: the pre-tokenizer never crosses white space.
-
-    ASCII white space always separates, so equal words have equal ids and the
-    library sees each distinct word once. Unseen words go to it in one text, with
-    a special token between them as separator; words that could hold the string of
-    a special token are encoded by themselves.
+    """Ids of whole texts; equal parts of texts are encoded once.
+
+    Where the tokenizer's own file says that it drops white space, lower-cases, and
+    splits by a pattern, a text is cut into the pattern's parts, and the library
+    encodes all unseen parts in one text, with spaces between: a part's last token is
+    the one that ends with the word-end mark. Texts with letters beyond U+024F, whose
+    normal form may depend on neighbours, and texts that may hold a special token are
+    encoded by the library as a whole. With any other kind of tokenizer all are.
     """
 
     def __init__(self, path: str):
@@ -49,47 +57,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark, self.mark_id = next(iter(sorted(self.added.items())))
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        plain = []
-        for w in words:
-            if b"<|" in w:
-                self.known[w] = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                plain.append(w)
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            joined = self.mark.join(w.decode() for w in part)
-            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, [*ends.tolist(), len(ids)], strict=True):
-                self.known[w] = data[4 * at : 4 * end]
-                at = end + 1
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        self.parts, self.known = None, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = lambda x, inner: (x or {}).get(inner) or [x or {}]
+        split = [x for x in steps(spec["pre_tokenizer"], "pretokenizers") if x.get("type") == "Split" and x["behavior"] == "Removed" and x["invert"] and "Regex" in x["pattern"]]
+        shapes = {x.get("type") for x in steps(spec["normalizer"], "normalizers")}
+        if len(split) == 1 and shapes == {"NFC", "Replace", "Lowercase"} and spec["model"].get("end_of_word_suffix"):
+            pattern = split[0]["pattern"]["Regex"]
+            self.parts = regex.compile(pattern).findall
+            for kind in (r"\p{L}", r"\p{N}", r"\s"):  # the first 256 characters spelled out: re is faster than regex
+                pattern = pattern.replace(kind, "".join(re.escape(chr(i)) for i in range(256) if regex.match(kind, chr(i))))
+            self.latin_parts = re.compile(pattern).findall
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+
+    def _by_library(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), 4096):
+            some = parts[k : k + 4096]
+            data = self._by_library(" ".join(some))
+            ends = (4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)).tolist()
+            self.known.update(zip(some, (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
+    def _cut(self, text: str) -> list[str] | None:
+        if "<|" in text:
+            return None
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if _BEYOND(text) else self.parts(text.lower())
+        return self.latin_parts(text.lower())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            words = text.split()
-            known = self.known
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            if unseen := [w for w in dict.fromkeys(words) if w not in known]:
-                self.learn(unseen)
-            yield b"".join(map(known.__getitem__, words))
+        cut = [self._cut(t) if self.parts else None for t in texts]
+        if len(self.known) > CACHED_PARTS:
+            self.known.clear()
+        if unseen := set(chain.from_iterable(c for c in cut if c)).difference(self.known):
+            self._learn(list(unseen))
+        get = self.known.__getitem__
+        return [self._by_library(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One for a worker process: what its earlier tasks have met is known."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def _shards(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = WordEncoder(path), 0
+        encoder, start = encoder_of(path), 0
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+                texts = part.column("text").fill_null("").to_pylist()
                 data = [x + end for x in encoder.encode(texts)]
                 n = np.array([len(x) // 4 for x in data], np.int64)
                 ends = start + np.cumsum(n)
