@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash, substring_dedup, token_files, warc
+from . import mixing, quality_rules, simhash, substring_dedup, token_files, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +33,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_mixing": op10_mixing,
 }
