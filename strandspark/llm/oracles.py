@@ -59,7 +59,14 @@ kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.j) AS t, count(*) AS n FROM
 SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.r = kept.r"""
 
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint AS score FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_cover_tree": TOP_K,
     "op9_substring_dedup": SUBSTRING,
     "op5_warc": WARC,
     "op6_quality_rules": _quality_rules(),

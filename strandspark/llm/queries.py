@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, substring_dedup, token_files, warc
+from . import cover_tree, mixing, quality_rules, simhash, substring_dedup, token_files, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return cover_tree.top_k(data, data.where(F.col("id") % 50 == 0), 5)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_cover_tree": op2_cover_tree,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
