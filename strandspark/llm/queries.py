@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, mixing, quality_rules, simhash, substring_dedup, token_files, warc
+from . import cover_tree, mixing, quality_rules, simhash, substring_dedup, token_files, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(data, data.where(F.col("id") % 50 == 0), 5)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_cover_tree": op2_cover_tree,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
