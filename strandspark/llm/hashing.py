@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: Class of each byte: 0 separates, a run of one other class is a word.
+WORDS = np.ones(256, np.int8)
+WORDS[[9, 10, 11, 12, 13, 32]] = 0
+#: The same with ASCII punctuation as a class of its own.
+WORDS_AND_MARKS = WORDS.copy()
+WORDS_AND_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _PIECE = 1 << 20
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -42,19 +46,19 @@ def scrambled(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(text: np.ndarray, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a buffer of UTF-8 bytes."""
-    inside = np.zeros(len(text) + 2, np.int8)
-    inside[1:-1] = ~_SEPARATOR[text]
-    edges = np.diff(inside)
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    kind = np.zeros(len(text) + 2, np.int8)
+    kind[1:-1] = classes[text]
+    change = kind[1:] != kind[:-1]
+    return np.flatnonzero(change & (kind[1:] != 0)), np.flatnonzero(change & (kind[:-1] != 0))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the number of words of each text."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    starts, ends = word_spans(buffer)
+    starts, ends = word_spans(buffer, classes)
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
     hashes, k = np.empty(len(starts), np.uint64), 0
     while k < len(starts):  # pieces bound the power tables; a piece ends with a word
