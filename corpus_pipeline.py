@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandspark.llm import quality_rules
+from strandspark.llm import mixing, pieces, quality_rules, simhash, substring_dedup
 from strandspark.llm.common import DOCUMENT_COLUMNS, table, written
 
 
@@ -13,9 +15,41 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.without_rejected(docs, table(spark, sf_dir, "labels"), DOCUMENT_COLUMNS)
 
 
-STAGES = [("quality_rules", keep_good)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates, the document with the smallest id stays, once; documents without id stay."""
+    found = simhash.near_duplicates(docs, DOCUMENT_COLUMNS[1:])
+    single = found.where("doc_id IS NULL").select(*DOCUMENT_COLUMNS)
+    first = found.where("doc_id = component_id")
+    # rows that repeat the smallest id: the one with the least text hash
+    first = first.groupBy("doc_id").agg(F.min_by(F.struct(*DOCUMENT_COLUMNS[1:]), F.struct(F.xxhash64("text"), "source", "lang", "n_chars")).alias("d"))
+    return first.select("doc_id", "d.*").unionByName(single)
 
-#: Trained and drawn decisions aren't expressible in SQL; a test compares with brute force.
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; documents of which nothing is left go."""
+    found = substring_dedup.without_repeats(docs, ("lang", "source")).where("n_removed = 0 OR n_removed < n_words")
+    return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that a document, or a part of it, is in the mix."""
+    return mixing.mixed_documents(docs)
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids' number and checksum, and the digest of the text decoded from them."""
+    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("near_duplicates", one_of_each_group),
+    ("repeated_passages", without_repeated_passages),
+    ("mixing", mixed),
+    ("pieces", as_pieces),
+]
+
+#: DuckDB has neither XXH64 nor the models' encoding; a test compares with brute force.
 ORACLE_SQL = None
 
 
