@@ -1,0 +1,152 @@
+import json
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandspark.config import EngineConfig
+from strandspark.functions import identity, vectors
+from strandspark.functions import text as tx
+from strandspark.operators import chunking, evaluation, fulltext, quality, retrieval, tables
+from strandspark.operators.cleaning import clean_threads
+from strandspark.sources import bronze
+from strandspark.streaming import incremental
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "text, safe",
+    [
+        ('password = "hunter2"', 'password = "[REDACTED]"'),
+        ("Authorization: Bearer abc.def-1", "Authorization: Bearer [REDACTED]"),
+        ("key sk-abcdefghijklmnop1234", "key [REDACTED]"),
+        ("postgres://bob:pw@host/db", "postgres://[REDACTED]@host/db"),
+        ("SECRET_KEY = os.environ['X']", "SECRET_KEY = os.environ['X']"),
+        ("API_KEY = abc def", "API_KEY = [REDACTED]"),
+        ("PASSWORD: abc", "PASSWORD: [REDACTED]"),
+        ("the token economy", "the token economy"),
+    ],
+)
+def test_redaction(spark, text, safe):
+    assert one(spark, tx.redacted(F.col("t")), t=text) == safe
+
+
+@pytest.mark.parametrize(
+    "title, body, label, confidence",
+    [
+        ("Add support for X", "error error", "feature", "high"),
+        ("It crashes", "", "bug", "high"),
+        ("How do I", "", "usage", "high"),
+        ("Hm", "error, a broken example", "bug", "medium"),
+        ("Hm", "one error, one example", "unknown", "low"),
+        ("", "", "unknown", "low"),
+    ],
+)
+def test_rules(spark, title, body, label, confidence):
+    a, b = tx.rule_label(F.col("t"), F.col("b"))
+    assert one(spark, F.struct(a.alias("a"), b.alias("b")), t=title, b=body) == (label, confidence)
+
+
+def test_text_functions(spark):
+    assert one(spark, tx.normal_title(F.col("t")), t=" a \n b\0 ") == "a b"
+    assert one(spark, tx.normal_body(F.col("t")), t="\r\n a\r\n  b\r") == "a\n  b"
+    assert one(spark, tx.citations(F.col("t")), t="[1] ![2] [3](x) \\[4] [5]") == [1, 5]
+    assert one(spark, tx.content_terms(F.col("t")), t="The Cat and the cat_1 of") == ["cat", "cat_1"]
+    assert one(spark, tx.html_unescape(F.col("t")), t="a &amp; b") == "a & b"
+    assert one(spark, identity.uuid5(uuid.NAMESPACE_URL, F.col("t")), t="x\0y") == str(uuid.uuid5(uuid.NAMESPACE_URL, "x\0y"))
+    assert one(spark, vectors.clamped(F.col("t")), t=float("nan")) == 0.0
+    assert one(spark, vectors.cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[0.0, 0.0]) is None
+
+
+def test_cover_density(spark):
+    words, query = ["a", "x", "b", "b", "y", "a"], ["a", "b"]
+    places = fulltext.places_of(F.col("w"), F.col("q"))
+    assert one(spark, fulltext.cover_density(places, F.size("q")), w=words, q=query) == pytest.approx(1 / 3 + 1 / 3)
+    assert one(spark, fulltext.cover_density(places, F.size("q")), w=["a"], q=query) == 0
+
+
+def test_fusion_and_collapse(spark):
+    a = spark.createDataFrame([(1, 1), (2, 2)], "id long, rank long")
+    b = spark.createDataFrame([(2, 1), (3, 2)], "id long, rank long")
+    got = [r.id for r in retrieval.fused({"a": a, "b": b}, 3).orderBy(F.col("score").desc(), "id").collect()]
+    assert got == [2, 1, 3]
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "rank long, t string")
+    assert [(r["rank"], r.t) for r in retrieval.collapsed(df, ("t",), 5).orderBy("position").collect()] == [(1, "x"), (3, "y")]
+
+
+def test_chunks_keep_text_and_size(spark):
+    text = "Intro line.\n\n```py\n" + "x = 1\n" * 30 + "```\n\n" + "word " * 400
+    for size, overlap in ((50, 10), (1000, 10)):
+        chunks = list(chunking.packed(text, size, overlap))
+        assert all(len(c) <= size for c in chunks)
+        joined = "".join("".join(c) for c in chunks)
+        assert set(text.split()) <= set(joined.split())
+    assert "".join(chunks[0]) == text and len(chunks) == 1
+    rows = spark.createDataFrame([(1, text), (2, None), (3, " ")], "source long, text string")
+    assert {r.source for r in chunking.chunked(rows).collect()} == {1}
+
+
+def test_clean_threads(spark):
+    def raw(seq, number=1, url="https://github.com/a/b/1", comments=(), **issue):
+        return ("r", seq, json.dumps({"issue": {"number": number, "html_url": url, "title": " A &amp;  B ", "body": "x\r\ny", "closed_at": "2024-01-02T00:00:00Z", **issue}, "comments": list(comments)}))
+
+    late = [{"id": 1, "body": "first", "created_at": "2024-01-01T00:00:00Z", "author_association": "OWNER"}, {"id": 2, "body": "second", "created_at": "2024-01-01T00:00:00Z", "author_association": "MEMBER"}, {"id": 3, "body": "after", "created_at": "2024-01-03T00:00:00Z", "author_association": "OWNER"}]
+    rows = [raw(1, comments=late), raw(2), raw(3, number=0), raw(4, number="7"), raw(5, number=True), raw(6, url="http://x"), ("r", 7, "[1]"), ("", 8, "{}"), ("r", 9, "nonsense")]
+    good, bad = clean_threads(spark.createDataFrame(rows, "repository string, seq long, json string"))
+    kept = {r.seq: r for r in good.collect()}
+    assert set(kept) == {1, 4} and kept[4].issue_number == 7
+    assert (kept[1].title, kept[1].body, kept[1].resolution_text, kept[1].comment_count) == ("A & B", "x\ny", "first", 3)
+    assert {r.seq: r.reason for r in bad.collect()} == {2: "duplicate key", 3: "issue number must be positive", 5: "issue number must be an integer", 6: "a valid issue URL is required", 7: "record must contain an object", 8: "repository is required", 9: "record must contain an object"}
+
+
+def test_snapshot_upsert_is_idempotent(spark, tmp_path):
+    t = tables.SnapshotTable(spark, str(tmp_path / "t"))
+    new = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    assert t.read() is None
+    first = t.upsert(new, ("k",))
+    t.upsert(new, ("k",))
+    assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, t.read(first).collect())) == [(1, "a"), (2, None)]
+    t.upsert(spark.createDataFrame([(2, "b"), (3, "c")], "k long, v string"), ("k",))
+    assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_streaming_run_advances_watermarks_after_gates(spark, tmp_path):
+    schema = "id long, key string, at timestamp, v string"
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.json").write_text('{"id":1,"key":"a","at":"2024-01-01T00:00:00Z","v":"x"}\n{"id":1,"key":"a","at":"2024-01-02T00:00:00Z","v":"y"}\n')
+    target, marks = (tables.SnapshotTable(spark, str(tmp_path / n)) for n in ("target", "marks"))
+    gate = lambda df: quality.checks(df, "in", {"null_ids": ("hard", F.count_if(F.col("id").isNull()))})
+    run = lambda: incremental.start(spark.readStream.schema(schema).json(str(source)), str(tmp_path / "cp"), target=target, marks=marks, key="key", ids=("id",), at="at", gate=gate).awaitTermination()
+    run()
+    assert [r.v for r in target.read().collect()] == ["y"] and str(marks.read().first().watermark).startswith("2024-01-02")
+    (source / "2.json").write_text('{"id":null,"key":"a","at":"2024-01-05T00:00:00Z","v":"z"}\n')
+    with pytest.raises(Exception, match="null_ids"):
+        run()
+    assert str(marks.read().first().watermark).startswith("2024-01-02")
+
+
+def test_calibration_example(spark):
+    df = spark.createDataFrame([(0.8, True), (0.2, True), (0.1, False), (0.3, False)], "score double, answerable boolean")
+    assert evaluation.best_threshold(df).first().threshold == pytest.approx(0.15)
+    got = {r.label: r for r in evaluation.precision_recall(evaluation.confusion(spark.createDataFrame([("bug", "bug"), ("feature", "bug"), ("usage", "usage"), ("usage", "unknown")], "a string, p string"), "a", "p")).collect()}
+    assert got["bug"].precision == 0.5 and got["bug"].recall == 1.0 and got["unknown"].support == 0
+
+
+def test_bronze_sources(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1}')
+    (tmp_path / "b.jsonl").write_text('{"x": 2}\n\n[3]\n')
+    good, bad = bronze.split_malformed(bronze.read_objects(spark, str(tmp_path)))
+    assert (good.count(), bad.count()) == (2, 1)
+    manifest = bronze.write_archive(spark.createDataFrame([(1,)], "x int"), str(tmp_path / "out")).collect()
+    assert all(len(r.sha256) == 64 and r.bytes > 0 for r in manifest)
+
+
+def test_config_ranges():
+    with pytest.raises(ValueError):
+        EngineConfig(top_k=0)
+    with pytest.raises(ValueError):
+        EngineConfig(scope=("a", "a"))
