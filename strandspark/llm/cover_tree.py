@@ -40,6 +40,8 @@ SAMPLE, CENTRES, BLOCK, GROUP, LEAF = 2_048, 64, 4_096, 512, 64
 #: A child covers this fraction of its parent's radius; summaries that meet in one task.
 SHRINK, CHUNK = 0.7, 512
 SCALE = 256
+#: No score: below that of any pair.
+_NONE = np.int64(-(2**63))
 _TREE = "part long, chunk long, n long, payload binary, summary binary"
 
 
@@ -58,12 +60,13 @@ def matrix(vectors) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products, clipped to the range of a long."""
     d = min(a.shape[1], b.shape[1])
     a, b = a[:, :d], b[:, :d]
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * d < 2**53:
-        return a @ b.T
+        return (a @ b.T).astype(np.int64)
     whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
-    return np.clip(whole(a) @ whole(b).T, -(2**63), 2**63 - 1)
+    return np.clip(whole(a) @ whole(b).T, _NONE + 1, 2**63 - 1).astype(np.int64)
 
 
 class CoverTree:
@@ -116,9 +119,9 @@ def bounds(a: tuple, b: tuple) -> np.ndarray:
 
 def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the query, id and score of what may be among its k best; ``kth`` has scores known to be reached."""
-    scores = np.full((len(query_ids), k), -np.inf)
+    scores = np.full((len(query_ids), k), _NONE)
     ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
-    worst = kth.astype(float).copy()
+    worst = kth.copy()
     of = lambda t, rows: (t.centres[rows], t.norms[rows], t.radii[rows])
     heap = [(-float(bounds(of(queries, [0]), of(data, [0]))[0, 0]), 0, 0)]
     while heap:
@@ -132,9 +135,9 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
             seen = (found >= worst[a:b, None]) & (query_ids[a:b, None] != data_ids[None, c:e])
             for row in np.flatnonzero(seen.any(1)):
                 take = np.flatnonzero(seen[row])
-                s = np.concatenate([scores[a + row], found[row, take].astype(float)])
+                s = np.concatenate([scores[a + row], found[row, take]])
                 i = np.concatenate([ids[a + row], data_ids[c + take]])
-                best = np.lexsort((i, -s))[:k]
+                best = np.lexsort((i, ~s))[:k]  # ~s falls as s rises, without overflow
                 scores[a + row], ids[a + row] = s[best], i[best]
                 worst[a + row] = max(worst[a + row], scores[a + row, -1])
             continue
@@ -147,7 +150,7 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
             u, v = queries.ranges[x]
             if m >= worst[u:v].min():
                 heapq.heappush(heap, (-m, x, y))
-    row, at = np.nonzero(scores > -np.inf)
+    row, at = np.nonzero(scores > _NONE)
     return row, ids[row, at], scores[row, at]
 
 
@@ -178,13 +181,13 @@ def _trees(sample: tuple[np.ndarray, np.ndarray] | None, k: int):
         points, ids = matrix(frame.vector), frame.id.to_numpy()
         tree = CoverTree(points)
         ids = ids[tree.order]
-        kth = np.full(len(ids), -np.inf)
+        kth = np.full(len(ids), _NONE)
         if sample is not None:
-            found = np.where(ids[:, None] == sample[0][None, :], -np.inf, products(tree.points, sample[1]).astype(float))
+            found = np.where(ids[:, None] == sample[0][None, :], _NONE, products(tree.points, sample[1]))
             if found.shape[1] >= k:
-                kth = -np.partition(-found, k - 1, axis=1)[:, k - 1]
+                kth = np.partition(found, found.shape[1] - k, axis=1)[:, -k]
         part = int(frame.part.iloc[0])
-        summary = (tree.centres[0], float(tree.norms[0]), float(tree.radii[0]), float(kth.min(initial=np.inf)))
+        summary = (tree.centres[0], float(tree.norms[0]), float(tree.radii[0]), int(kth.min()))
         return pd.DataFrame({"part": [part], "chunk": [part // CHUNK], "n": [len(ids)], "payload": [pickle.dumps((tree, ids, kth))], "summary": [pickle.dumps(summary)]})
 
     return trees
@@ -207,7 +210,7 @@ def _searched(k: int):
             for x in frame.itertuples():
                 (queries, query_ids, kth), (data, data_ids, _) = pickle.loads(x.asking), pickle.loads(x.asked)
                 row, ids, scores = search(queries, query_ids, data, data_ids, kth, k)
-                yield pd.DataFrame({"query_id": query_ids[row], "vec_id": ids, "score": [min(int(s), 2**63 - 1) for s in scores]})
+                yield pd.DataFrame({"query_id": query_ids[row], "vec_id": ids, "score": scores})
 
     return searched
 
