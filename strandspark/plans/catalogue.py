@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import documents, retrieval, tables
+from . import documents, experiments, retrieval, tables
 
-QUERIES = {**retrieval.QUERIES, **documents.QUERIES, **tables.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL, **tables.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **documents.QUERIES, **tables.QUERIES, **experiments.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL, **tables.ORACLE_SQL, **experiments.ORACLE_SQL}
