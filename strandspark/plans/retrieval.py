@@ -218,3 +218,15 @@ def q_fts_cover_density(spark, sf_dir):
 
 
 QUERIES["q_fts_cover_density"] = q_fts_cover_density
+
+
+def q_fts_english(spark, sf_dir):
+    """The three documents with most of each question's lexemes, by distinct lexemes and then by hits."""
+    docs, questions = _docs_and_questions(spark, sf_dir)
+    asked = fulltext.lexemes(questions.withColumnRenamed("query_id", "id")).select(F.col("id").alias("query_id"), "lexeme").distinct()
+    hits = fulltext.lexemes(docs).groupBy("id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
+    found = hits.join(asked, "lexeme").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_lexemes"), F.sum("n").alias("n_hits"))
+    return retrieval.ranked(found, [F.col("n_lexemes").desc(), F.col("n_hits").desc(), "id"], within=("query_id",)).where("rank <= 3").select("query_id", "rank", F.col("id").alias("doc_id"), "n_lexemes", "n_hits")
+
+
+QUERIES["q_fts_english"] = q_fts_english
