@@ -100,7 +100,7 @@ def _pooled_rows(vectors: np.ndarray, share: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bucket, counts in _buckets(batches):
             x = pooled(bucket, counts, vectors, share)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["doc_id", "y", "x"])
 
     return rows
 
@@ -152,10 +152,10 @@ def _scored(vectors: np.ndarray, share: np.ndarray, network: Network | None, pri
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MOST_LABELLED) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; two passes over the texts, no shuffle of them."""
     vectors, share = word_vectors(docs)
-    sample = written(labelled_texts(docs, labels, "quality", most).mapInArrow(_pooled_rows(vectors, share), "doc_id long, y int, x array<double>"), "quality-sample")
+    sample = written(labelled_texts(docs, labels, "quality", most).mapInArrow(_pooled_rows(vectors, share), "doc_id long, y int, x binary"), "quality-sample")
     rows = sample.orderBy(F.xxhash64("doc_id"), "y", "x").toPandas()  # bounded: the sample's pooled vectors
     y = rows.y.to_numpy(np.float64)
-    network = Network(np.array(rows.x.tolist()), y) if len(set(y)) == 2 and len(y) > HOLDOUT else None
+    network = Network(np.frombuffer(b"".join(rows.x), "<f4").reshape(len(y), -1).astype(np.float64), y) if len(set(y)) == 2 and len(y) > HOLDOUT else None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     scores = texts.mapInArrow(_scored(vectors, share, network, float(y.mean()) if len(y) else 0.0), "doc_id long, held_out boolean, score double")
     return scores.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
