@@ -15,10 +15,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, most: int) -
     """doc_id, text and y of at most ``most`` labelled documents of the training fold.
 
     The sample is the rows of least hash among the labels, so a rerun has the same; a
-    document with several labels has the greatest, one with several texts all of
-    them. The sampled ids, whose number is bounded, are looked up in the documents.
+    document with several labels has the greatest, one with several texts that of
+    least hash. The sampled ids, whose number is bounded, are looked up in the documents.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id")).limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("of_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(rows), F.col("of_doc") == F.col("doc_id")).select("doc_id", "text", "y")  # at most ``most`` rows of two numbers
+    found = texts.join(F.broadcast(rows), F.col("of_doc") == F.col("doc_id"))  # at most ``most`` rows of two numbers
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("doc_id", "text", "y")
