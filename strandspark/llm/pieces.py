@@ -14,7 +14,7 @@ last piece of the prefix's own encoding: a piece is it exactly if it follows a
 prefix whose last piece, joined with it, is merged into these two pieces again.
 Either way the ids are those of the library for the same model.
 
-Edge cases: a null text is encoded as null's empty text, no ids; characters that no
+Edge cases: a null text is empty and has no ids; characters that no
 piece has become byte pieces, or the unknown id without byte fallback; a mark
 character in a text is decoded as a space, as by the library; repeated rows are
 equal; an empty table gives no rows; further columns are ignored. Caches are bounded.
@@ -22,6 +22,7 @@ equal; an empty table gives no rows; further columns are ignored. Caches are bou
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
-CACHED_WORDS, CACHED_PAIRS = 500_000, 1_000_000
-_ROWS = 512
+CACHED_WORDS, CACHED_PAIRS = 200_000, 400_000
+_ROWS = 256
 _models: dict[str, PieceModel] = {}
 
 
@@ -210,5 +211,17 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and decoded_sha256 of every document: encoded, then decoded from its ids."""
-    return decoded(encoded(docs, path), path).select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_crc32 and decoded_sha256 of every document: encoded, then decoded from its ids.
+
+    Both directions share one Python worker a task, and its model.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_at(path)
+        for part in _slices(batches):
+            data = model.encode(part.column("text").fill_null("").to_pylist())
+            digests = [hashlib.sha256(model.decode(x).encode()).hexdigest() for x in data]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(both, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")

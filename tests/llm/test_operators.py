@@ -324,6 +324,8 @@ def test_pieces_equal_the_library(docs, empty):
         ids = library.encode(r[1] or "")
         want[(r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(library.decode(ids).encode()).hexdigest())] += 1
     assert Counter(map(tuple, pieces.round_trip(docs, path).collect())) == want
+    shown = pieces.decoded(pieces.encoded(docs, path), path).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32, hashlib.sha256(r.text.encode()).hexdigest()) for r in shown) == want
     assert pieces.round_trip(empty, path).count() == 0
     extra = ["  two  spaces ", "\n\n a\n", "def f(x):\n    return x", "Antidisestablishmentarianism interoperability", "żółć Привет", "\0 ab"]
     assert pieces.PieceModel(path).encode(extra) == [np.array(library.encode(t), "<u4").tobytes() for t in extra]
