@@ -1,41 +1,64 @@
-"""The corpus pipeline: five operators in a row, each over all that the one before kept."""
+"""The corpus pipeline: five operators in a row, each over all that the one before kept.
+
+A stage first removes the folders that the stages before have left, except those that
+its own input is read from.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandspark.llm import mixing, pieces, quality_rules, simhash, substring_dedup
-from strandspark.llm.common import DOCUMENT_COLUMNS, table, written
+from strandspark.llm.common import DOCUMENT_COLUMNS, noted_folders, remove_folders, table, written
+
+_left: list[str] = []
+
+
+def tidy(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_folders(spark, _left, docs)
+        with noted_folders(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@tidy
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a risk-controlled cutoff go."""
     return quality_rules.without_rejected(docs, table(spark, sf_dir, "labels"), DOCUMENT_COLUMNS)
 
 
+@tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates, the document with the smallest id stays, once; documents without id stay."""
-    found = simhash.near_duplicates(docs, DOCUMENT_COLUMNS[1:])
-    single = found.where("doc_id IS NULL").select(*DOCUMENT_COLUMNS)
-    first = found.where("doc_id = component_id")
-    # rows that repeat the smallest id: the one with the least text hash
-    first = first.groupBy("doc_id").agg(F.min_by(F.struct(*DOCUMENT_COLUMNS[1:]), F.struct(F.xxhash64("text"), "source", "lang", "n_chars")).alias("d"))
-    return first.select("doc_id", "d.*").unionByName(single)
+    docs = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("text_hash"))
+    found = simhash.near_duplicates(docs, ("text_hash",))
+    # of rows that repeat the smallest id, those with the least text hash; equal rows are one
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    kept = docs.join(first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*DOCUMENT_COLUMNS)
 
 
+@tidy
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; documents of which nothing is left go."""
     found = substring_dedup.without_repeats(docs, ("lang", "source")).where("n_removed = 0 OR n_removed < n_words")
     return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
+@tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that a document, or a part of it, is in the mix."""
     return mixing.mixed_documents(docs)
 
 
+@tidy
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids' number and checksum, and the digest of the text decoded from them."""
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
