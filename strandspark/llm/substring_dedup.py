@@ -142,16 +142,19 @@ def _without(width: int):
 def _repeated(rows: DataFrame) -> DataFrame:
     """With ``first``, the smallest document that has the row's (gram, whole).
 
-    The minimum is combined before the shuffle; the join back is one that Spark may
-    split where a passage is in very many documents.
+    The minimum is combined before the shuffle. Only what occurs in several documents
+    is looked up, from a table: then both sides of the join are plain shuffles, which
+    Spark splits where a passage is in very many documents.
     """
-    first = rows.groupBy("gram", "whole").agg(F.min("id").alias("first"))
-    return rows.join(first, ["gram", "whole"])
+    first = rows.groupBy("gram", "whole").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    found = written(first.select(F.col("gram").alias("g"), F.col("whole").alias("w"), "first"), "first-documents")
+    joined = rows.join(found, (F.col("gram") == F.col("g")) & (F.col("whole") == F.col("w")), "left").drop("g", "w")
+    return joined.withColumn("first", F.coalesce("first", "id"))
 
 
 def _grams_in_several(runs: DataFrame) -> DataFrame:
     found = runs.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("gram")
-    return runs.join(found, "gram", "left_semi")
+    return runs.join(written(found, "shared-grams"), "gram", "left_semi")
 
 
 def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
