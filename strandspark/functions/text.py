@@ -20,9 +20,7 @@ STOP_WORDS = (
 )
 REDACTED = "[REDACTED]"
 SECRET_NAMES = "JWT_SECRET|SECRET_KEY|API_KEY|PASSWORD|ACCESS_TOKEN"
-# End of the fixed values.
-
-#: Pattern and replacement, in the order of use.
+#: Patterns of secrets and what replaces them, in the order of use.
 REDACTIONS = (
     (r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", REDACTED),
     (r"(?i)(\b(?:[a-z0-9_]*(?:password|passwd|secret|api_key|access_token|refresh_token|private_key|authorization)[a-z0-9_]*|token)\b[\"']?\s*[:=]\s*(?:Secret\s*\(\s*)?)([\"'])[^\r\n]*?\2", rf"$1$2{REDACTED}$2"),
@@ -34,6 +32,7 @@ REDACTIONS = (
     (rf"(?im)(\b(?:{SECRET_NAMES})\s*=\s*)(?!(?-i:config\(|Secret\(|os\.|getenv\(|None\b|\[REDACTED\]))[^\s\"'\n][^\n]*", rf"$1{REDACTED}"),
     (rf"(?im)^(\s*(?:{SECRET_NAMES})\s*:\s*)[^\s\"'\n][^\n]*", rf"$1{REDACTED}"),
 )
+# End of the fixed values.
 
 
 @F.pandas_udf(T.StringType())
