@@ -12,13 +12,15 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Links each node's neighbours to the least of its neighbourhood.
 
     The large star sends the greater neighbours, the small star the smaller ones and
-    the node itself. Both keep the components; the minimum is combined map-side, and
-    the join back may be split where a node has very many neighbours.
+    the node itself. Both keep the components. The minimum is combined map-side and
+    written, so both sides of the join back are plain shuffles, which Spark splits
+    where a node has very many neighbours.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if not small:
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+    least = written(least, "least")
     sent = both.join(least, "u")
     if small:
         out = sent.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))

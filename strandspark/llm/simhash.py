@@ -162,7 +162,7 @@ def grouped(bits: DataFrame) -> DataFrame:
     copies needs no links among its members.
     """
     filed = bits.select("bits", F.lit(0).cast("long").alias("grp")).mapInArrow(_keyed(filed_keys), _KEYED).select("key", "bits")
-    least = filed.groupBy("key").agg(F.min("bits").alias("least"))
+    least = written(filed.groupBy("key").agg(F.min("bits").alias("least")), "least-filed")
     return filed.join(least, "key").groupBy("bits").agg(F.coalesce(F.min(F.when(near("bits", "least"), F.col("least"))), F.col("bits")).alias("grp"))
 
 
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     edges = links(groups).unionByName(groups.where("bits != grp").select(F.col("bits").alias("a"), F.col("grp").alias("b")))
     roots = least_of_component(edges)
     rooted = nodes.join(roots, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("least", "bits").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")  # a large component's rows can then be split
     of_bits = rooted.join(ids, "root").select(F.col("bits").alias("of_bits"), "component_id")
     out = marked.join(of_bits, F.col("bits") == F.col("of_bits"))
     return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry], F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
