@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, written
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -113,6 +113,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_REVIS
     ids = [x.page_id for x in rows.groupBy("digest").agg(F.min("page_id").alias("page_id")).where("page_id IS NOT NULL").orderBy("digest").limit(SAMPLE_RECORDS).collect()]
     sample = rows.where(F.col("page_id").isin(ids)).select("digest", "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).dropDuplicates(["page_id", "digest"]).orderBy("digest").limit(SAMPLE_RECORDS)
     first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of_digest"), "first")
+    first = written(first, "first-pages")  # a table: the join's sides are plain shuffles, and a payload of very many pages is split
     rows = rows.join(first, F.col("digest") == F.col("of_digest"), "left")
     rows = rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     dictionary = trained_dictionary([record(x.page_id, x.url, bytes(x.payload), x.digest, None) for x in sample.collect()])
