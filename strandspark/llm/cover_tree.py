@@ -77,11 +77,27 @@ class CoverTree:
         self._build(points, np.arange(len(points)), 0)
         self.order = np.array(self.order, int)
         self.points = points[self.order]
-        self.centres = points[[n[0] for n in self.nodes]]
-        self.norms = np.sqrt((self.centres**2).sum(1))
+        place = np.empty(len(points), int)
+        place[self.order] = np.arange(len(points))
+        self.centre_at = place[[n[0] for n in self.nodes]]
         self.radii = np.array([n[1] for n in self.nodes])
         self.ranges = [(n[2], n[3]) for n in self.nodes]
         self.children = [n[4] for n in self.nodes]
+        self._measure()
+
+    def _measure(self) -> None:
+        self.centres = self.points[self.centre_at]
+        self.norms = np.sqrt((self.centres**2).sum(1))
+
+    def __getstate__(self) -> dict:
+        """Without what the points give again, and the points as the smallest integers that hold them."""
+        most = np.abs(self.points).max(initial=0)
+        kind = next((t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), np.float64)
+        return {k: v for k, v in self.__dict__.items() if k not in ("centres", "norms", "nodes", "order")} | {"points": self.points.astype(kind)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"points": state["points"].astype(np.float64)}
+        self._measure()
 
     def _build(self, points: np.ndarray, at: np.ndarray, centre: int, leaf: bool = False) -> int:
         distance = np.sqrt(((points[at] - points[centre]) ** 2).sum(1))
@@ -227,7 +243,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     sample = (found.id.to_numpy(np.int64), matrix(found.vector))
     centres = [0]
     away = ((sample[1] - sample[1][:1]) ** 2).sum(1) if len(found) else np.empty(0)
-    while len(centres) < CENTRES and away.max(initial=0) > 0:
+    wanted = min(CENTRES, -(-data.count() // BLOCK))
+    while len(centres) < wanted and away.max(initial=0) > 0:
         centres.append(int(away.argmax()))
         away = np.minimum(away, ((sample[1] - sample[1][centres[-1]]) ** 2).sum(1))
     centres = sample[1][centres] if len(found) else np.zeros((1, 1))
