@@ -35,7 +35,7 @@ from .common import shared_folder
 #: Bytes of a row group before compression, and of a page.
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 #: Parts of words that a worker remembers; beyond that it starts anew.
-CACHED_PARTS = 500_000
+CACHED_PARTS = 1_000_000
 SHARD_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 _BEYOND = re.compile("[\u0130\u0250-\U0010ffff]").search
 _encoders: dict[str, WordEncoder] = {}
