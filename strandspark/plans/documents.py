@@ -258,6 +258,44 @@ CASE WHEN why IS NULL THEN CASE WHEN last IS NULL THEN 'unavailable_no_maintaine
 CASE WHEN why IS NULL THEN 64 END AS n_hash FROM f"""
 
 
+def q_clean_threads_all(spark, sf_dir):
+    """Every document as a thread of its own number, so that all that are valid are cleaned, resolved and hashed.
+
+    A document in fifty comes a second time, with another closing time, and is rejected
+    as a duplicate; seq is twice the id, and one more for the second copy.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("repository"))
+    copies = F.explode(F.when(F.col("doc_id") % 50 == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    docs = docs.select("*", copies.alias("copy"))
+    turns = table(spark, sf_dir, "conversations")
+    role = F.element_at(F.array(*map(F.lit, (*MAINTAINERS, "NONE"))), (F.col("turn") % 4 + 1).cast("int"))
+    comment = F.struct(F.col("turn").alias("turn"), F.col("turn").cast("string").alias("id"), F.col("text").alias("body"), F.date_format(F.timestamp_seconds(F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), role.alias("author_association"))
+    threads = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(comment)), lambda c: c.dropFields("turn")).alias("comments"))
+    closed = F.when(F.col("copy") == 0, "1970-01-01T00:03:00Z").otherwise("1970-01-01T00:09:00Z")
+    issue = F.struct(F.when(F.col("doc_id") % 17 != 3, F.col("doc_id")).alias("number"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.concat(F.lit("https://github.com/x/"), F.col("doc_id").cast("string")).alias("html_url"), closed.alias("closed_at"))
+    raw = docs.join(threads, F.col("doc_id") == F.col("conv_id"), "left").select("repository", (F.col("doc_id") * 2 + F.col("copy")).alias("seq"), F.to_json(F.struct(issue.alias("issue"), F.coalesce("comments", F.array().cast(threads.schema["comments"].dataType)).alias("comments"))).alias("json"))
+    good, bad = clean_threads(raw)
+    rows = good.select("seq", F.lit("valid").alias("reason"), "comment_count", "resolution_heuristic", F.md5("title").alias("title"), F.md5("body").alias("body"), F.md5("resolution_text").alias("resolution"), "content_hash")
+    return rows.unionByName(bad.select("seq", "reason"), allowMissingColumns=True)
+
+
+def _normal_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '\r\n?', chr(10), 'g'), '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+ORACLE_SQL["q_clean_threads_all"] = rf"""
+WITH t AS (SELECT conv_id, count(*) AS n, arg_max({_normal_sql("text")}, turn) FILTER (turn * 60 < 180 AND turn % 4 < 3) AS last,
+    list({{'body': {_normal_sql("text")}, 'html_url': NULL::varchar}} ORDER BY turn) FILTER ({_normal_sql("text")} <> '') AS spoken FROM conversations GROUP BY conv_id),
+d AS (SELECT doc_id * 2 + copy AS seq, CASE WHEN doc_id % 17 <> 3 THEN doc_id END AS number, coalesce(source, '') AS repository, coalesce(n, 0) AS n, last, coalesce(spoken, []) AS spoken, copy, doc_id, text
+    FROM documents LEFT JOIN t ON doc_id = conv_id JOIN (VALUES (0), (1)) AS c(copy) ON copy = 0 OR doc_id % 50 = 7),
+r AS (SELECT *, CASE WHEN trim(repository) = '' THEN 'repository is required' WHEN number IS NULL THEN 'issue number must be an integer' WHEN number < 1 THEN 'issue number must be positive' WHEN copy = 1 THEN 'duplicate key' END AS why,
+    regexp_replace(regexp_replace(regexp_replace(substring(text, 1, 60), '{_WS}+', ' ', 'g'), '^ +', ''), ' +$', '') AS title, {_normal_sql("text")} AS body, nullif(last, '') AS solved FROM d)
+SELECT seq, coalesce(why, 'valid') AS reason, CASE WHEN why IS NULL THEN n::int END AS comment_count,
+CASE WHEN why IS NULL THEN CASE WHEN last IS NULL THEN 'unavailable_no_maintainer_comment_before_closure' WHEN last = '' THEN 'unavailable_last_maintainer_comment_has_no_text' ELSE 'last_maintainer_comment_before_closure' END END AS resolution_heuristic,
+CASE WHEN why IS NULL THEN md5(title) END AS title, CASE WHEN why IS NULL THEN md5(body) END AS body, CASE WHEN why IS NULL THEN md5(solved) END AS resolution,
+CASE WHEN why IS NULL THEN sha256(to_json({{'body': body, 'comments': spoken, 'github_url': 'https://github.com/x/' || doc_id, 'resolution_confidence': CASE WHEN solved IS NULL THEN 'none' ELSE 'low' END, 'resolution_text': solved, 'title': title}})::varchar) END AS content_hash FROM r"""
+
+
 def q_abstention(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return turns.groupBy("role").agg(F.count_if(tx.is_abstention(F.col("text"))).alias("n_abstained"), F.count(F.lit(1)).alias("n"))
