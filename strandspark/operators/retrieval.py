@@ -36,13 +36,15 @@ def collapsed(df: DataFrame, thread: tuple[str, ...], k: int, rank: str = "rank"
     return ranked(best, [rank], "position", within).where(F.col("position") <= k)
 
 
-def fused(branches: dict[str, DataFrame], k: int) -> DataFrame:
-    """Reciprocal-rank fusion of frames with id and rank: the sum of shares, at most 1, ties by id."""
-    parts = [df.select("id", rrf(F.col("rank")).alias("share"), F.lit(name).alias("branch")) for name, df in branches.items()]
+def fused(branches: dict[str, DataFrame], k: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal-rank fusion of frames with id and rank: the sum of shares, at most 1, ties by id; the first k, or k of each ``within``."""
+    parts = [df.select(*within, "id", rrf(F.col("rank")).alias("share"), F.lit(name).alias("branch")) for name, df in branches.items()]
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    scores = both.groupBy("id").agg(F.least(F.lit(1.0), F.sum("share")).alias("score"), F.count(F.lit(1)).cast("long").alias("n_branches"))
+    scores = both.groupBy(*within, "id").agg(F.least(F.lit(1.0), F.sum("share")).alias("score"), F.count(F.lit(1)).cast("long").alias("n_branches"))
+    if within:
+        return ranked(scores, [F.col("score").desc(), "id"], within=within).where(F.col("rank") <= k)
     return scores.orderBy(F.col("score").desc(), "id").limit(k)
 
 

@@ -207,26 +207,30 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n_terms DESC,
 
 
 def q_fts_cover_density(spark, sf_dir):
-    """Documents that have both first terms of a question, by the density of the spans that cover them."""
-    docs, questions = _docs_and_questions(spark, sf_dir)
-    short = questions.select("query_id", F.array_join(F.slice(F.array_distinct(fulltext.terms(F.col("text"))), 1, 2), " ").alias("text"))
-    asked = short.select("query_id", fulltext.terms(F.col("text")).alias("q"))
-    found = fulltext.all_terms_match(docs, short).join(asked, "query_id").join(docs.select("id", fulltext.terms(F.col("text")).alias("w")), "id")
-    at = found.select("query_id", "id", fulltext.places_of(F.col("w"), F.col("q")).alias("places"), F.size("q").alias("n"))
-    scored = at.select("query_id", "id", F.round(fulltext.cover_density(F.col("places"), F.col("n")), 6).alias("score"))
-    return retrieval.ranked(scored, [F.col("score").desc(), "id"], within=("query_id",)).where("rank <= 3").select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+    """The three best documents for each whole question, with the density of the spans that cover its lexemes."""
+    return q_fts_english(spark, sf_dir).select("query_id", "rank", "doc_id", "score")
 
 
 QUERIES["q_fts_cover_density"] = q_fts_cover_density
 
 
 def q_fts_english(spark, sf_dir):
-    """The three documents with most of each question's lexemes, by distinct lexemes and then by hits."""
-    docs, questions = _docs_and_questions(spark, sf_dir)
-    asked = fulltext.lexemes(questions.withColumnRenamed("query_id", "id")).select(F.col("id").alias("query_id"), "lexeme").distinct()
-    hits = fulltext.lexemes(docs).groupBy("id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
-    found = hits.join(asked, "lexeme").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_lexemes"), F.sum("n").alias("n_hits"))
-    return retrieval.ranked(found, [F.col("n_lexemes").desc(), F.col("n_hits").desc(), "id"], within=("query_id",)).where("rank <= 3").select("query_id", "rank", F.col("id").alias("doc_id"), "n_lexemes", "n_hits")
+    """The three documents with most of each question's lexemes, by distinct lexemes and then by cover density."""
+    found = fulltext.density_ranked(*_docs_and_questions(spark, sf_dir), 3)
+    return found.select("query_id", "rank", F.col("id").alias("doc_id"), "n_lexemes", "n_hits", "score")
 
 
 QUERIES["q_fts_english"] = q_fts_english
+
+
+def q_hybrid_rrf_questions(spark, sf_dir):
+    """Every whole question in both branches: its text by cover density, the row of its number as its vector."""
+    chunks = _chunks(spark, sf_dir)
+    docs, questions = _docs_and_questions(spark, sf_dir)
+    vectors = chunks.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi")
+    branches = {"vector": retrieval.batch_top_k(chunks, vectors, 100), "text": fulltext.density_ranked(docs, questions, 100)}
+    best = retrieval.fused(branches, 20, within=("query_id",))
+    return best.join(chunks.select("id", "grp"), "id", "left").select("query_id", "rank", "id", F.round("score", 12).alias("score"), "n_branches", F.col("grp").cast("int").alias("label"))
+
+
+QUERIES["q_hybrid_rrf_questions"] = q_hybrid_rrf_questions
