@@ -36,11 +36,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the document with the smallest id stays, once; documents without id stay."""
+    """Of each group of near-duplicates, the row of least (doc_id, text hash) stays, once; documents without id stay."""
     docs = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("text_hash"))
-    found = simhash.near_duplicates(docs, ("text_hash",))
-    # of rows that repeat the smallest id, those with the least text hash; equal rows are one
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    found = simhash.near_duplicates(docs, ("text_hash",), with_root=True)
+    # an id with unrelated texts heads several groups; of a group's rows under its smallest id, those with the least text hash; equal rows are one
+    first = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     kept = docs.join(first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*DOCUMENT_COLUMNS)
 

@@ -178,9 +178,12 @@ def links(groups: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = (), with_root: bool = False) -> DataFrame:
     """doc_id, ``carry``, fingerprint and component_id of every document.
 
+    A doc_id that repeats with unrelated texts gives several components one id; their
+    root, the least fingerprint of a component as a long, tells them apart.
+
     Equal fingerprints are one node; fingerprints, groups and edges are tables in the
     shared folder, so a lost executor costs single tasks of the step that runs.
     """
@@ -191,6 +194,6 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     roots = least_of_component(edges)
     rooted = nodes.join(roots, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("least", "bits").alias("root"))
     ids = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")  # a large component's rows can then be split
-    of_bits = rooted.join(ids, "root").select(F.col("bits").alias("of_bits"), "component_id")
+    of_bits = rooted.join(ids, "root").select(F.col("bits").alias("of_bits"), "component_id", "root")
     out = marked.join(of_bits, F.col("bits") == F.col("of_bits"))
-    return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry], F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry], F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", *(["root"] if with_root else []))
