@@ -143,8 +143,8 @@ def mixed_sizes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     same = ["doc_id", "key", "size", "sid", "start"]
     pieces = taken_pieces(rows, slots_of(targets), block).select(*same, (F.col("n") * F.col("uses")).alias("taken"))
     none = rows.select(*same, F.lit(0).cast("long").alias("taken"))
-    # every document has a row of its own here, so no outer join is needed
-    taken = pieces.unionByName(none).groupBy(*same).agg(F.sum("taken").alias("taken"))
+    # every document with words has a row of its own here, so no outer join is needed; rows without words may be equal
+    taken = pieces.unionByName(none.where("size > 0")).groupBy(*same).agg(F.sum("taken").alias("taken")).unionByName(none.where("size = 0"))
     of = targets.select(F.col("sid").alias("t_sid"), "source_size", "target")
     return taken.join(of, F.col("sid") == F.col("t_sid")).select("doc_id", "size", "source_size", "target", "taken")
 
