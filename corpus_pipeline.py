@@ -55,7 +55,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 @tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that a document, or a part of it, is in the mix."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs).select(*DOCUMENT_COLUMNS)
 
 
 @tidy
