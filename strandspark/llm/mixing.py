@@ -4,12 +4,14 @@ Sources get weights by their order, share ``budget`` times all words, and stop a
 twice their size; what is above is shared anew by weight until none is (a running
 sum over the sources, ordered by where they stop, finds the level). Each source's
 documents, in a pseudorandom order, are one stream of words, packed into blocks of
-``block`` words. A source fills as many slots as its target needs; these fall on the
-output shards as a multinomial draw with the source's total fixed, so a shard's
-counts are multinomial and the totals still meet the targets to half a block. Slot k
-of a source takes block permutation[k mod blocks], a keyed Feistel permutation that
-is walked into range, so no block is taken more than twice, and the draw is the same
-whenever it is repeated. Slots and blocks meet in a join by (source, block index).
+``block`` words. The output has shards of a fixed number of slots, a block each. For
+each shard the number of slots of every source is a multinomial draw by the sources'
+shares of the mix; a repair then moves the few slots by which the draws' sums miss
+the sources' totals, so targets are met to half a block. The counts drawn number a
+source's slots through the shards, and slot k takes block permutation[k mod blocks],
+a keyed Feistel permutation that is walked into range: no block is taken more than
+twice, and the draw is the same whenever it is repeated. Slots and blocks meet in a
+join by (source, block index).
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source,
 the last; a null doc_id is a document like others; repeated rows each have a place
@@ -31,8 +33,10 @@ from .common import words_of, written
 from .hashing import scrambled
 
 WEIGHTS, BUDGET, MOST, BLOCK = (3, 1, 2), 1.5, 2, 256
-#: Slots of an output shard on average; parts in which a source's running sum is taken.
-SHARD_SLOTS, BUCKETS, SEED = 4096, 4096, 17
+#: Slots of an output shard; shards that are drawn in one task; parts in which a source's running sum is taken.
+SHARD_SLOTS, SHARDS_DRAWN, BUCKETS, SEED = 4096, 1024, 4096, 17
+#: Slots that a task numbers, as long as there are no more tasks than this.
+TASK_SLOTS, MOST_TASKS = 1 << 16, 20_000
 _KEYS = np.random.default_rng(SEED).integers(0, 2**63, 4, np.uint64)
 
 
@@ -72,18 +76,45 @@ def permuted(k: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _shares(shards: int):
-    def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def drawn(totals: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """How many slots of each source fall on each part: a multinomial draw for each part, repaired to the totals.
+
+    ``totals`` has the slots of each source, ``sizes`` those of each part; both have
+    the same sum. What the draws have too much of a source is given up by all parts in
+    proportion, and the places so freed go, shuffled, to the sources that lack slots.
+    """
+    totals, sizes = np.asarray(totals, np.int64), np.asarray(sizes, np.int64)
+    if not totals.sum():
+        return np.zeros((len(sizes), len(totals)), np.int64)
+    counts = np.stack([rng.multinomial(n, totals / totals.sum()) for n in sizes])
+    over = counts.sum(0) - totals
+    for s in np.flatnonzero(over > 0):
+        upto = np.concatenate([[0], np.cumsum(counts[:, s])])
+        given = upto * over[s] // upto[-1]
+        counts[:, s] -= np.diff(given)
+    lacking = rng.permutation(np.repeat(np.arange(len(totals)), np.maximum(-over, 0)))
+    np.add.at(counts, (np.repeat(np.arange(len(sizes)), sizes - counts.sum(1)), lacking), 1)
+    return counts
+
+
+def _parts(slots: int, size: int) -> np.ndarray:
+    """Sizes of as many full parts as there are, and of the rest."""
+    return np.array([size] * (slots // size) + ([slots % size] if slots % size else []), np.int64)
+
+
+def _shards(blocks: list[int], shard_slots: int, seed: int):
+    """A group's draw over its shards: shard, sid, the source's first slot in it, and their number."""
+
+    def shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for s in frame.itertuples():
-                counts = np.random.default_rng([SEED, s.sid]).multinomial(s.slots, np.full(shards, 1 / shards))
-                first = np.cumsum(counts) - counts
-                for a in range(0, shards, 10_000):
-                    part = slice(a, a + 10_000)
-                    found = pd.DataFrame({"sid": s.sid, "blocks": s.blocks, "shard": np.arange(shards)[part], "first": first[part], "n": counts[part]})
-                    yield found[found.n > 0]
+            for g in frame.itertuples():
+                totals = np.array(g.slots, np.int64)
+                counts = drawn(totals, _parts(int(totals.sum()), shard_slots), np.random.default_rng([seed, 1, g.grp]))
+                first = np.array(g.first, np.int64) + np.cumsum(counts, 0) - counts
+                shard, sid = np.nonzero(counts)
+                yield pd.DataFrame({"sid": sid, "blocks": np.array(blocks)[sid], "shard": g.grp * SHARDS_DRAWN + shard, "first": first[shard, sid], "n": counts[shard, sid]})
 
-    return shares
+    return shards
 
 
 def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,11 +129,27 @@ def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"sid": x.sid, "shard": x.shard, "slot": k, "block": block})
 
 
-def slots_of(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """sid, shard, slot, block: what each output shard holds, a row for each block in it."""
-    shards = max(1, round((targets.agg(F.sum("slots")).first()[0] or 0) / shard_slots))
-    shares = targets.where("slots > 0").select("sid", "blocks", "slots").mapInPandas(_shares(shards), "sid int, blocks long, shard long, first long, n long")
-    return shares.repartition("sid", "shard").mapInPandas(_slots, "sid int, shard long, slot long, block long")
+def slots_of(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """sid, shard, slot, block: what each output shard holds, a row for each block in it.
+
+    Shards have ``shard_slots`` slots, the last one what is left. The sources, a row
+    each, are the mixture's settings and are listed in the driver, which draws over
+    groups of SHARDS_DRAWN shards; a group's shards are drawn in a task. A source's
+    slots are numbered through all shards, so the counts drawn say which of its blocks
+    a shard gets.
+    """
+    spark = targets.sparkSession
+    sources = targets.select("sid", "slots", "blocks").orderBy("sid").collect()
+    totals, blocks = np.array([s.slots for s in sources], np.int64), [s.blocks for s in sources]
+    sizes = _parts(int(totals.sum()), shard_slots * SHARDS_DRAWN)
+    groups = drawn(totals, sizes, np.random.default_rng([seed, 0])) if len(sizes) else np.zeros((0, len(totals)), np.int64)
+    first = np.cumsum(groups, 0) - groups
+    rows = [(i, g, f) for i, (g, f) in enumerate(zip(groups.tolist(), first.tolist(), strict=True))]
+    drawn_groups = spark.createDataFrame(rows, "grp long, slots array<long>, first array<long>")
+    shares = drawn_groups.mapInPandas(_shards(blocks, shard_slots, seed), "sid int, blocks long, shard long, first long, n long")
+    # a number of partitions that is given isn't lessened by the adaptive planner
+    tasks = max(1, min(MOST_TASKS, -(-int(totals.sum()) // TASK_SLOTS)))
+    return shares.repartition(tasks, "shard", "sid").mapInPandas(_slots, "sid int, shard long, slot long, block long")
 
 
 def row_key() -> Column:
@@ -128,42 +175,70 @@ def placed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "key", "size", "sid", "source_size", "target", (F.col("base") + F.col("within")).alias("start")), targets
 
 
+def _spans(rows: DataFrame, block: int) -> DataFrame:
+    """A row for each document and block that holds words of it: at and n, the first word and the number of words."""
+    last = F.col("start") + F.col("size") - 1
+    spans = rows.where("size > 0").select("doc_id", "key", "size", "sid", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))).alias("block"))
+    a, b = F.greatest("start", F.col("block") * block), F.least(last + 1, (F.col("block") + 1) * block)
+    return spans.select("*", (a - F.col("start")).cast("int").alias("at"), (b - a).cast("int").alias("n"))
+
+
 def taken_pieces(rows: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each document and block that holds words of it: at, n, uses."""
-    uses = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
-    end = F.col("start") + F.col("size")
-    spans = rows.where("size > 0").select("doc_id", "key", "size", "sid", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
-    a, b = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return spans.join(uses, ["sid", "block"]).select("doc_id", "key", "size", "sid", "start", (a - F.col("start")).cast("int").alias("at"), (b - a).cast("int").alias("n"), "uses")
+    """The spans of documents in blocks that are taken, with the shards, at most two, that hold the block."""
+    uses = slots.groupBy("sid", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+    return _spans(rows, block).join(uses.hint("merge"), ["sid", "block"]).drop("block")  # both sides grow with the input: neither is broadcast
 
 
-def mixed_sizes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+def mixed_sizes(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken and first_shard (the least that holds words of it) of every document."""
     rows, targets = placed(docs, block)
     same = ["doc_id", "key", "size", "sid", "start"]
-    pieces = taken_pieces(rows, slots_of(targets), block).select(*same, (F.col("n") * F.col("uses")).alias("taken"))
-    none = rows.select(*same, F.lit(0).cast("long").alias("taken"))
+    pieces = taken_pieces(rows, slots_of(targets, shard_slots, seed), block).select(*same, (F.col("n") * F.size("shards")).alias("taken"), F.col("shards")[0].alias("shard"))
+    none = rows.select(*same, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("shard"))
     # every document with words has a row of its own here, so no outer join is needed; rows without words may be equal
-    taken = pieces.unionByName(none.where("size > 0")).groupBy(*same).agg(F.sum("taken").alias("taken")).unionByName(none.where("size = 0"))
+    sums = pieces.unionByName(none.where("size > 0")).groupBy(*same).agg(F.sum("taken").alias("taken"), F.min("shard").alias("shard"))
+    taken = sums.unionByName(none.where("size = 0"))
     of = targets.select(F.col("sid").alias("t_sid"), "source_size", "target")
-    return taken.join(of, F.col("sid") == F.col("t_sid")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken.join(of, F.col("sid") == F.col("t_sid")).select("doc_id", "size", "source_size", "target", "taken", F.col("shard").alias("first_shard"))
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents' columns after mixing: a row for each time that words of a document are taken.
+def _texts(docs: DataFrame) -> DataFrame:
+    """What row_key stands for, once; equal rows share the least lang."""
+    columns = ("doc_id", "text", "lang", "source")
+    return docs.select(*columns, row_key().alias("text_key")).groupBy("text_key", "doc_id").agg(*[F.min(c).alias(c) for c in columns[1:]])
+
+
+def _of_text():
+    return (F.col("key") == F.col("text_key")) & F.col("of_doc").eqNullSafe(F.col("doc_id"))
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The documents' columns after mixing and shard: a row for each time that words of a document are taken.
 
     A document that is taken whole keeps its text; one that is taken in part has
-    the taken words in order, joined by a space. Rows that are equal in doc_id,
-    source and text are as many places in the stream, and share the least lang.
+    the taken words in order, joined by a space; shard is the least that holds some of
+    them. Rows that are equal in doc_id, source and text are as many places in the
+    stream, and share the least lang.
     """
-    columns = ("doc_id", "text", "lang", "source")
     rows, targets = placed(docs, block)
-    pieces = taken_pieces(rows, slots_of(targets), block).groupBy("doc_id", "key", "size", "start").agg(F.sort_array(F.collect_list(F.struct("at", "n", "uses"))).alias("pieces"))
-    texts = docs.select(*columns, row_key().alias("text_key")).groupBy("text_key", "doc_id").agg(*[F.min(c).alias(c) for c in columns[1:]])
-    taken = pieces.select(F.col("doc_id").alias("of_doc"), "key", "size", "pieces").join(texts, (F.col("key") == F.col("text_key")) & F.col("of_doc").eqNullSafe(F.col("doc_id")))
-    taken = taken.select(*columns, "size", "pieces", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("pieces", lambda p: p["uses"])).cast("int"))).alias("time"))
-    taken = taken.withColumn("now", F.filter("pieces", lambda p: p["uses"] >= F.col("time")))
+    pieces = taken_pieces(rows, slots_of(targets, shard_slots, seed), block).groupBy("doc_id", "key", "size", "start").agg(F.sort_array(F.collect_list(F.struct("at", "n", "shards"))).alias("pieces"))
+    taken = pieces.select(F.col("doc_id").alias("of_doc"), "key", "size", "pieces").join(_texts(docs), _of_text())
+    taken = taken.select("doc_id", "text", "lang", "source", "size", "pieces", F.explode(F.sequence(F.lit(0), F.array_max(F.transform("pieces", lambda p: F.size(p["shards"]))) - 1)).alias("time"))
+    taken = taken.withColumn("now", F.filter("pieces", lambda p: F.size(p["shards"]) > F.col("time")))
+    shard = F.array_min(F.transform("now", lambda p: F.get(p["shards"], F.col("time"))))
     taken = taken.withColumn("n_taken", F.aggregate("now", F.lit(0), lambda a, p: a + p["n"])).withColumn("words", words_of(F.col("text")))
     part = F.array_join(F.flatten(F.transform("now", lambda p: F.slice(F.col("words"), p["at"] + 1, p["n"]))), " ")
-    taken = taken.select("doc_id", F.when(F.col("n_taken") == F.col("size"), F.col("text")).otherwise(part).alias("text"), "lang", "source")
-    return taken.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    taken = taken.select("doc_id", F.when(F.col("n_taken") == F.col("size"), F.col("text")).otherwise(part).alias("text"), "lang", "source", shard.alias("shard"))
+    return taken.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "shard")
+
+
+def write_shards(docs: DataFrame, folder: str, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> None:
+    """Writes the mix below ``folder``, in the order of its shards: shard, slot of the source, source, doc_id, at, and the block's words of that document.
+
+    A shard's rows are together in one file; a block of several documents has a row for each.
+    """
+    rows, targets = placed(docs, block)
+    held = _spans(rows, block).join(slots_of(targets, shard_slots, seed).hint("merge"), ["sid", "block"]).withColumnRenamed("doc_id", "of_doc")
+    words = F.array_join(F.slice(words_of(F.col("text")), F.col("at") + 1, F.col("n")), " ")
+    shown = held.join(_texts(docs), _of_text()).select("shard", "slot", "source", "doc_id", "start", "at", words.alias("words"))
+    shown.repartitionByRange("shard").sortWithinPartitions("shard", "source", "slot", "start").drop("start").write.parquet(folder)
