@@ -19,7 +19,6 @@ is the sample's raw content. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
 import uuid
@@ -42,21 +41,23 @@ SAMPLE_RECORDS, SAMPLE_BYTES = 1_000, 16 << 10
 #: Compressed bytes after which a task starts its next archive.
 ARCHIVE_BYTES = 256 << 20
 LEAST_REVISIT_BYTES = 100
+#: Tasks that read archives; with more archives a task has several.
+MOST_TASKS = 20_000
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A response record, or a revisit that refers to the response and has no payload."""
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
-    named = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest}")
+    named = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{named}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {named(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
     ]
     if url is not None:
         head.insert(4, "WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", url))
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -180,16 +181,23 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     Each task streams its share of the manifest's archives record by record.
     """
-    archives = spark.read.schema("archive string").parquet(f"{folder}/manifest").repartition("archive")
+    archives = spark.read.schema("archive string").parquet(f"{folder}/manifest")
+    # a task an archive: they are bounded in size, and a number that is given isn't lessened by the adaptive planner
+    archives = archives.repartitionByRange(max(1, min(MOST_TASKS, archives.count())), "archive")
     return archives.mapInArrow(lambda batches: _read(folder, batches), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and authority of the cluster's default file system, where it has none of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
 def archived(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Writes the archives into the shared folder and returns what is read back from them."""
     spark = pages.sparkSession
-    folder = shared_folder(spark, "warc")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + os.path.abspath(folder)
+    folder = qualified(spark, shared_folder(spark, "warc"))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     write_archives(pages, folder, least_bytes)
