@@ -153,8 +153,13 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def _grams_in_several(runs: DataFrame) -> DataFrame:
+    """The rows whose gram several documents have.
+
+    Written: an aggregate by (gram, ...) right behind the join would take over the
+    join's partitions by gram, and then Spark couldn't split a very common gram.
+    """
     found = runs.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("gram")
-    return runs.join(written(found, "shared-grams"), "gram", "left_semi")
+    return written(runs.join(written(found, "shared-grams"), "gram", "left_semi"), "runs-of-shared-grams")
 
 
 def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
