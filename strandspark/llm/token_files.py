@@ -8,8 +8,8 @@ doc_id let a reader of some documents skip the pages of all others. Reading coun
 touches no id.
 
 Edge cases: a null text is empty and has the end id alone; rows with a null doc_id
-come first; repeated doc_ids are kept, in the order of their text's hash; an empty
-table gives no rows; further columns are ignored. The cache is bounded and
+come first; repeated doc_ids are kept, in the order of their text's hash, and equal
+rows may be in several shards; an empty table gives no rows; further columns are ignored. The cache is bounded and
 only saves time. The end id and the special tokens' strings inside a text are
 encoded as the library does it.
 """
@@ -49,7 +49,8 @@ class WordEncoder:
     encodes all unseen parts in one text, with spaces between: a part's last token is
     the one that ends with the word-end mark. Texts with letters beyond U+024F, whose
     normal form may depend on neighbours, and texts that may hold a special token are
-    encoded by the library as a whole. With any other kind of tokenizer all are.
+    encoded by the library as a whole. With any other kind of tokenizer all are, and also
+    where the cut disagrees with the library on any character that it may meet.
     """
 
     def __init__(self, path: str):
@@ -71,6 +72,16 @@ class WordEncoder:
             self.latin_parts = re.compile(pattern).findall
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+            if not self._agrees():
+                self.parts = None
+
+    def _agrees(self) -> bool:
+        """Whether every character that texts are cut at by pattern is cut as by the library, among letters, digits, marks and itself."""
+        texts = [f"a{c}b {c}{c} 1{c}2 .{c}. it{c}s'{c}" for c in map(chr, range(0x250)) if not _BEYOND(c)]
+        try:
+            return self.encode(texts) == [self._by_library(t) for t in texts]
+        except (KeyError, ValueError):  # a part that the library splits, or drops
+            return False
 
     def _by_library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -132,13 +143,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     """Encodes ``docs`` (doc_id, text) and writes the shards below ``folder``.
 
     The one shuffle moves the texts to their range; encoding and writing follow in
-    the same task, so a lost executor repeats single shards. The sort key holds the
-    text's hash, so copies under one doc_id are split as well.
+    the same task, so a lost executor repeats single shards. The ranges are also by the
+    text's hash and the row's number, so copies under one doc_id are split as well.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = ranged.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ranged = ranged.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "row").drop("row")
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
     encoded = ranged.mapInArrow(_shards(tokenizer_path, end_id), SHARD_SCHEMA)
     writer = encoded.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
