@@ -32,8 +32,8 @@ RULES = {
     "repeat": ("n_repeat_words / n_words", (0.05, 0.1, 0.2, 0.3, 0.4, 0.45)),
 }
 RISK, DELTA = 0.03, 0.05
-#: Terms of the binomial sum, from its largest; what is left out stays below 1e-9 up to 1e9 labels.
-MOST_TERMS = 20_000
+#: Terms of the binomial sum that are added one by one, from the largest; the others are bounded from above.
+TERMS = 20_000
 
 
 def text_counts(docs: DataFrame, carry: dict[str, str]) -> DataFrame:
@@ -75,11 +75,19 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
-def lower_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Binomial(n, p) <= k); 1 where k / n >= p, as no such cutoff can be certified."""
+def lower_tail(k: Column, n: Column, p: float, terms: int = TERMS) -> Column:
+    """P(Binomial(n, p) <= k), never less; 1 where k / n >= p, as no such cutoff can be certified.
+
+    The sum is exact up to ``terms`` terms. Each lower term is less than the one above
+    it by a ratio that falls on the way down, so beyond that the first term left out,
+    over one minus its ratio, bounds all others, and is added.
+    """
     term = lambda j: F.exp(log_factorial(n) - log_factorial(j) - log_factorial(n - j) + j * math.log(p) + (n - j) * math.log1p(-p))
-    terms = F.sequence(F.greatest(F.lit(0).cast("long"), k - MOST_TERMS), k)
-    return F.when(k < n * p, F.aggregate(terms, F.lit(0.0), lambda a, j: a + term(j))).otherwise(F.lit(1.0))
+    lowest = F.greatest(F.lit(0).cast("long"), k - (terms - 1))
+    below = F.greatest(lowest - 1, F.lit(0).cast("long"))
+    ratio = below * (1 - p) / ((n - below + 1) * p)  # of the term under ``below`` to that at it
+    rest = F.when(lowest > 0, term(below) / (1 - ratio)).otherwise(0.0)
+    return F.when(k < n * p, F.aggregate(F.sequence(lowest, k), F.lit(0.0), lambda a, j: a + term(j)) + rest).otherwise(F.lit(1.0))
 
 
 def certified_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
