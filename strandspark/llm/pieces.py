@@ -7,12 +7,13 @@ the depth-first order of their trie: a stack keeps the forward state of every
 character of the current word, and the next word goes on from the end of the prefix
 that both share.
 
-With a unigram model the forward state is the Viterbi one: the best score of a path
-to this place, and its last piece. A BPE model's scores are merge ranks and don't
-add up, so a best sum wouldn't be the model's own encoding. There the state is the
-last piece of the prefix's own encoding: a piece is it exactly if it follows a
-prefix whose last piece, joined with it, is merged into these two pieces again.
-Either way the ids are those of the library for the same model.
+The forward state is Viterbi's: the best sum of scores of a path to this place, and
+its last piece. With a unigram model a path may be any row of pieces. A BPE model's
+scores are merge ranks, so its best sum alone wouldn't be the model's own encoding.
+There a step of a path from a piece to the next is allowed only if the two, joined,
+are merged into just these two again; along such steps only the model's own encoding
+of a prefix reaches its end. Either way the ids are those of the library for the same
+model, as far as its sums of 32-bit floats over a whole text are exact.
 
 Edge cases: a null text is empty and has no ids; characters that no
 piece has become byte pieces, or the unknown id without byte fallback; a mark
@@ -55,10 +56,12 @@ class PieceModel:
         if not normal or any(p.type == kinds.USER_DEFINED for p in spec.pieces):
             raise ValueError("only models with plain normalization and without user-defined pieces are supported")
         self.unigram = spec.trainer_spec.model_type == spec.trainer_spec.UNIGRAM
+        if not self.unigram and any(p.type == kinds.UNUSED for p in spec.pieces):
+            raise ValueError("BPE models with unused pieces are not supported")
         self.unknown = spec.trainer_spec.unk_id
         self.pieces = [p.piece for p in spec.pieces]
         self.scores = [p.score for p in spec.pieces]
-        self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type in (kinds.NORMAL, kinds.UNUSED)}
+        self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece reaches over a mark")
         of_byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
@@ -107,7 +110,7 @@ class PieceModel:
 
     def learn(self, words: list[str]) -> None:
         """Ids of the words, in one walk over their trie."""
-        step, piece_at, length, scores, stays = self.step, self.piece_at, self.length, self.scores, self.stays
+        step, piece_at, length, scores, stays, unigram = self.step, self.piece_at, self.length, self.scores, self.stays, self.unigram
         # by depth: score, last piece (-1: none yet, or a character without a piece), its length, open trie nodes with their starts
         best, last, size, open_at = [0.0], [-1], [0], [[]]
         before = ""
@@ -127,13 +130,12 @@ class PieceModel:
                     piece = piece_at[node]
                     if piece < 0:
                         continue
-                    if self.unigram:
-                        total = best[start] + scores[piece]
-                        if value is None or total > value:
-                            found, value, width = piece, total, length[piece]
-                    elif value is None and stays(last[start], piece):
-                        found, value, width = piece, 0.0, length[piece]
-                if value is None or (self.unigram and found >= 0 and best[i] + self.unknown_score > value and (0, c) not in step):
+                    if not unigram and (value is not None or not stays(last[start], piece)):
+                        continue  # the step isn't allowed; of a BPE model's only one is
+                    total = best[start] + scores[piece]
+                    if value is None or total > value:
+                        found, value, width = piece, total, length[piece]
+                if value is None or (unigram and found >= 0 and best[i] + self.unknown_score > value and (0, c) not in step):
                     found, value, width = -1, best[i] + self.unknown_score, 1
                 best.append(value), last.append(found), size.append(width), open_at.append(going)
             ids, i = [], len(word)
