@@ -1,41 +1,47 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Only confirmed toxic examples are used as labels; all other labelled rows are
-unlabelled text. The class prior is the share of toxic rows in the training fold. A
-text is the set of its words and their beginnings; Spark counts these over the
-sample, and those that divide toxic from unlabelled texts best, by the log-likelihood
-ratio, are the model's features. A few linear numpy classifiers are trained on
-bootstrap draws, by the prior-corrected risk with sigmoid loss: when the estimated
-risk of the negatives falls below zero, the step goes the other way. The score is
-the mean of their probabilities. Only the text is an input.
+Only confirmed toxic examples are used as labels. Unlabelled text is drawn from all
+documents of the training fold, with or without a label, which is not looked at: the
+mixture that the class prior is a share of. The prior is the share of toxic rows
+among all labelled rows of that fold. A text is the set of its words and their
+beginnings; Spark counts these over all documents of the training fold, and those
+that divide confirmed toxic texts from the mixture best, by the log-likelihood ratio,
+are the model's features. A few linear numpy classifiers are trained on bootstrap
+draws, by the prior-corrected risk with sigmoid loss: when the estimated risk of the
+negatives falls below zero, the step goes the other way. The score is the mean of
+their probabilities. Only the text is an input.
 
 Edge cases: a null or empty text has no features and the score of the bias; without
 toxic examples, or without any labels, every score is the prior (0 if unknown);
-repeated rows score alike; an empty table gives no rows; further columns are
-ignored. The fit uses at most MOST_LABELLED labelled rows; scoring reads whole texts.
+repeated rows score alike; rows under a toxic id are all toxic texts in the counts; an
+empty table gives no rows; further columns are ignored. The fit uses at most
+MOST_POSITIVE toxic and MOST_UNLABELLED unlabelled texts; prior and counts cover all
+rows, and scoring reads whole texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .folds import held_out, labelled_texts
+from .folds import held_out, least_hashed, texts_of, training_labels
 
-MOST_LABELLED, FEATURES = 40_000, 1_024
+#: Bounds of the fit: toxic texts, unlabelled texts, features.
+MOST_POSITIVE, MOST_UNLABELLED, FEATURES = 10_000, 30_000, 1_024
 #: A feature is in so many toxic texts at least; beginnings of words, in bytes.
 LEAST_TEXTS, BEGINNINGS = 3, (4, 5, 6)
 #: Least log-likelihood ratio of a feature: about one in 100,000 by chance.
 LEAST_RATIO = 10.0
 MEMBERS, STEPS, BATCH, RATE, DECAY = 3, 1_200, 1_024, 0.02, 1e-5
-#: Words whose features a worker remembers.
-CACHED_WORDS = 300_000
+#: Words whose features a worker remembers, and features that it counts before it passes them on.
+CACHED_WORDS, COUNTED_FEATURES = 200_000, 500_000
 _EDGE = b".,;:!?\"'()[]{}<>*$%&#|-_/\\"
 
 
@@ -54,9 +60,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [set(t.split()) for t in part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
 
 
+#: Stands for no feature: what every text has.
+_ANY = -1
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """feature, and the toxic and all texts that have it; a task adds up what it meets."""
-    toxic, every = {}, {}
+    toxic, every, known = Counter(), Counter(), {}
 
     def rows() -> pa.RecordBatch:
         keys = list(every)
@@ -64,26 +74,38 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part, texts in _texts(batches):
         for words, y in zip(texts, part.column("y").to_pylist(), strict=True):
-            for x in {x for w in words for x in features_of(w)}:
-                every[x] = every.get(x, 0) + 1
-                if y:
-                    toxic[x] = toxic.get(x, 0) + 1
-        if len(every) > 500_000:
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            for w in words.difference(known):
+                known[w] = features_of(w)
+            has = {x for w in words for x in known[w]}
+            has.add(_ANY)
+            every.update(has)
+            if y:
+                toxic.update(has)
+        if len(every) > COUNTED_FEATURES:
             yield rows()
             toxic.clear(), every.clear()
     if every:
         yield rows()
 
 
-def chosen_features(sample: DataFrame, n_toxic: int, n_all: int, most: int = FEATURES) -> list[int]:
-    """The hashes of the features with the greatest log-likelihood ratio, positive or negative."""
-    counts = sample.mapInArrow(_counted, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_TEXTS)
-    p, rest = F.col("p").cast("double"), (F.col("u") - F.col("p")).cast("double")
-    n_rest = float(max(1, n_all - n_toxic))
-    both = (p + rest) / float(max(1, n_all))
-    part = lambda x, n: F.when(x > 0, x * F.log(x / (n * both))).otherwise(0.0)
-    counts = counts.select("feature", (part(p, float(max(1, n_toxic))) + part(rest, n_rest)).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
-    return [r.feature for r in counts.orderBy(F.col("ratio").desc(), "feature").limit(most).collect()]
+def ratio(p: Column, u: Column, n_p: float, n_u: float) -> Column:
+    """Log-likelihood ratio of p in n_p toxic texts and u in n_u texts of the mixture, against one common rate."""
+    rate = (p + u) / (n_p + n_u)
+    part = lambda x, n: F.when(x > 0, x * F.log(x / (n * rate))).otherwise(0.0)
+    return part(p, n_p) + part(u, n_u)
+
+
+def chosen_features(train: DataFrame, most: int = FEATURES) -> list[int]:
+    """The hashes of the features of ``train`` (text, y) that divide best, in either direction."""
+    counts = train.select("text", "y").mapInArrow(_counted, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = written(counts.where(F.col("p") >= LEAST_TEXTS), "toxicity-features")
+    of_all = counts.where(F.col("feature") == _ANY).first()
+    if of_all is None:
+        return []
+    rated = counts.where(F.col("feature") != _ANY).select("feature", ratio(F.col("p").cast("double"), F.col("u").cast("double"), float(of_all.p), float(of_all.u)).alias("ratio"))
+    return [r.feature for r in rated.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.col("ratio").desc(), "feature").limit(most).collect()]
 
 
 def _looked_up(index: dict[int, int]) -> Callable[[set[bytes]], list[int]]:
@@ -104,7 +126,7 @@ def _sparse(index: dict[int, int]):
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _looked_up(index)
         for part, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([of(t) for t in texts], pa.list_(pa.int32()))], ["doc_id", "y", "has"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "drawn")), pa.array([of(t) for t in texts], pa.list_(pa.int32()))], ["doc_id", "toxic", "drawn", "has"])
 
     return sparse
 
@@ -113,45 +135,64 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fitted(x: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> np.ndarray:
+def risk(w: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk of calling toxic texts clean, that of calling clean ones toxic, and their gradients.
+
+    ``a`` are toxic rows, ``b`` rows of the mixture, with l(g) = sigmoid(-g). The clean
+    texts' risk is the mixture's less the toxic texts' share: E_u[l(-g)] - prior E_p[l(-g)].
+    """
+    sp, su = sigmoid(a @ w), sigmoid(b @ w)  # l(-g) = sigmoid(g)
+    slope_p, slope_u = (sp * (1 - sp)) @ a / len(a), (su * (1 - su)) @ b / len(b)
+    return prior * (1 - sp).mean(), su.mean() - prior * sp.mean(), -prior * slope_p, slope_u - prior * slope_p
+
+
+def fitted(toxic: np.ndarray, mixture: np.ndarray, prior: float, seed: int) -> np.ndarray:
     """Weights, the bias last, of one classifier.
 
-    Risk: prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with l(g) = sigmoid(-g);
-    below zero the second term's gradient is followed upwards.
+    The non-negative risk is that of the toxic texts and, at least 0, that of the clean
+    ones; where the latter's estimate is below 0 only its gradient is followed, upwards.
     """
     rng = np.random.default_rng(seed)
-    of_p, of_u = rng.choice(np.flatnonzero(positive), positive.sum()), rng.choice(len(x), len(x))
-    w = np.zeros(x.shape[1] + 1, np.float32)
+    of_p, of_u = rng.choice(len(toxic), len(toxic)), rng.choice(len(mixture), len(mixture))
+    w = np.zeros(toxic.shape[1] + 1, np.float32)
     w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    with_bias = lambda rows: np.concatenate([x[rows].astype(np.float32), np.ones((len(rows), 1), np.float32)], axis=1)
+    with_bias = lambda x, rows: np.concatenate([x[rows].astype(np.float32), np.ones((len(rows), 1), np.float32)], axis=1)
     for t in range(1, STEPS + 1):
-        a, b = with_bias(rng.choice(of_p, min(len(of_p), BATCH // 2))), with_bias(rng.choice(of_u, min(len(of_u), BATCH)))
-        sp, su = sigmoid(a @ w), sigmoid(b @ w)  # l(-g) = sigmoid(g)
-        slope_p, slope_u = (sp * (1 - sp)) @ a / len(a), (su * (1 - su)) @ b / len(b)
-        negative = su.mean() - prior * sp.mean()
-        grad = slope_u - 2 * prior * slope_p if negative >= 0 else prior * slope_p - slope_u
+        a, b = with_bias(toxic, rng.choice(of_p, min(len(of_p), BATCH // 2))), with_bias(mixture, rng.choice(of_u, min(len(of_u), BATCH)))
+        _, clean, slope_toxic, slope_clean = risk(w, a, b, prior)
+        grad = slope_toxic + slope_clean if clean >= 0 else -slope_clean
         grad[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w.astype(np.float64)
 
 
-def model_of(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[int, int], np.ndarray, float]:
+def model_of(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[dict[int, int], np.ndarray, float]:
     """Features, a row of weights for each classifier, and the prior.
 
     The driver holds the bounded sample's rows as bits of the chosen features.
     """
-    sample = written(labelled_texts(docs, labels, "toxic", most), "toxicity-sample")
-    n_toxic, n_all = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    marks = written(training_labels(labels, "toxic"), "toxicity-labels")
+    n_toxic, n_all = marks.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     prior = n_toxic / n_all if n_all else 0.0
     if not n_toxic:
         return {}, np.zeros((0, 1)), prior
-    index = {h: i for i, h in enumerate(chosen_features(sample, n_toxic, n_all))}
-    x, y = np.zeros((n_all, max(1, len(index))), np.uint8), np.zeros(n_all, bool)
-    for i, row in enumerate(sample.mapInArrow(_sparse(index), "doc_id long, y int, has array<int>").orderBy(F.xxhash64("doc_id"), "y", "has").toLocalIterator()):
-        x[i, row.has], y[i] = 1, row.y == 1
-    return index, np.array([fitted(x, y, prior, seed) for seed in range(MEMBERS)]), prior
+    confirmed = marks.where("y = 1").select("doc_id")
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out())
+    index = {h: i for i, h in enumerate(chosen_features(train.join(confirmed.withColumn("y", F.lit(1)), "doc_id", "left")))}
+    drawn = least_hashed(train.select("doc_id").where("doc_id IS NOT NULL").distinct(), most_unlabelled)
+    ids = least_hashed(confirmed, most_positive).selectExpr("doc_id", "1 AS toxic", "0 AS drawn").unionByName(drawn.selectExpr("doc_id", "0 AS toxic", "1 AS drawn"))
+    sample = written(texts_of(train, ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("drawn").alias("drawn"))), "toxicity-sample")
+    rows = sample.mapInArrow(_sparse(index), "doc_id long, toxic int, drawn int, has array<int>").orderBy(F.xxhash64("doc_id"), "doc_id")
+    x, sides = np.zeros((most_positive + most_unlabelled, max(1, len(index))), np.uint8), ([], [])
+    for i, row in enumerate(rows.toLocalIterator()):
+        x[i, row.has] = 1
+        for side, of in zip(sides, (row.toxic, row.drawn), strict=True):
+            side += [i] * of
+    if not all(sides):
+        return {}, np.zeros((0, 1)), prior
+    return index, np.array([fitted(x[sides[0]], x[sides[1]], prior, seed) for seed in range(MEMBERS)]), prior
 
 
 def _scored(index: dict[int, int], weights: np.ndarray, prior: float):
