@@ -1,12 +1,14 @@
 """Quality scores from random-indexing word vectors and a small calibrated network.
 
-Words and runs of punctuation are hashed to buckets. Each bucket has a fixed sparse
-random index vector; a word's vector is the sum of the index vectors found within two
-words of it, over all documents: tasks add up what they read, and Spark sums over
-tasks. A document is the mean of its words' directions, plain and weighted against
-frequent words. A two-layer numpy network is trained on labelled documents of the
-training fold, and a temperature, fitted on labelled documents that the network hasn't
-seen, makes its outputs probabilities. Only the text is an input.
+Words and runs of punctuation are counted over all documents. Each of the VOCABULARY
+most frequent ones has a row of its own; all rarer ones share SHARED rows by hash, so
+the table of vectors has a fixed size. Each row has a fixed sparse random index
+vector; a word's vector is the sum of the index vectors found within two words of it,
+over all documents: tasks add up what they read, and Spark sums over tasks. A document
+is the mean of its words' directions, plain and weighted against frequent words. A
+two-layer numpy network is trained on labelled documents of the training fold, and a
+temperature, fitted on labelled documents that the network hasn't seen, makes its
+outputs probabilities. Only the text is an input.
 
 Edge cases: a null or empty text is the zero vector and has a score like any other;
 without labels of both kinds every score is the share of good labels (0 if unknown);
@@ -17,6 +19,7 @@ ignored. The word vectors cover all texts; the fit uses at most MOST_LABELLED ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,64 +31,127 @@ from .folds import held_out, labelled_texts
 from .hashing import WORDS_AND_MARKS, word_hashes
 
 MOST_LABELLED = 40_000
-#: Buckets of words (a power of two), dimensions, non-zeros of an index vector, words on either side.
-BUCKETS, DIMENSIONS, NON_ZEROS, REACH = 1 << 13, 64, 4, 2
+#: Words with a row of their own, rows that rarer words share, dimensions, non-zeros of an index vector, words on either side.
+VOCABULARY, SHARED, DIMENSIONS, NON_ZEROS, REACH = 1 << 15, 1 << 13, 64, 4, 2
 HIDDEN, STEPS, BATCH, RATE, DECAY, HOLDOUT = 32, 2_000, 1_024, 0.003, 2e-3, 5
-_PIECE = 1 << 17
-_rng = np.random.default_rng(8)
-_PLACES = np.argsort(_rng.random((BUCKETS, DIMENSIONS)), axis=1)[:, :NON_ZEROS]
-_SIGNS = _rng.choice([-1, 1], (BUCKETS, NON_ZEROS))
+#: Words that are pooled, and that are summed or counted, at a time.
+_PIECE, _TOKENS = 1 << 17, 1 << 19
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Buckets of all words of some texts, and the number of words of each text."""
+@cache
+def index_vectors(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the non-zeros of each row's index vector."""
+    rng = np.random.default_rng(8)
+    return np.argsort(rng.random((rows, DIMENSIONS)), axis=1)[:, :NON_ZEROS], rng.choice([-1, 1], (rows, NON_ZEROS))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Hashes of all words of some texts, and the number of words of each text."""
     for batch in batches:
         for k in range(0, batch.num_rows, 128):
             part = batch.slice(k, 128)
-            hashes, counts = word_hashes(part.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), WORDS_AND_MARKS)
-            yield part, (hashes % np.uint64(BUCKETS)).astype(np.int64), counts
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bucket, n, and its summed context, of what a task reads."""
-    sums, n = np.zeros(BUCKETS * DIMENSIONS), np.zeros(BUCKETS, np.int64)
-    for _, bucket, counts in _buckets(batches):
-        n += np.bincount(bucket, minlength=BUCKETS)
-        text = np.repeat(np.arange(len(counts)), counts)
-        for off in range(1, REACH + 1):
-            inside = text[off:] == text[:-off]
-            a, b = bucket[:-off][inside], bucket[off:][inside]
-            for j in range(NON_ZEROS):
-                for word, near in ((a, b), (b, a)):
-                    sums += np.bincount(word * DIMENSIONS + _PLACES[near, j], weights=_SIGNS[near, j], minlength=BUCKETS * DIMENSIONS)
-    met = np.flatnonzero(n)
-    table = sums.reshape(BUCKETS, DIMENSIONS)[met].astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met]), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["bucket", "n", *(f"d{i}" for i in range(DIMENSIONS))])
-
-
-def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A direction for each bucket, and its share of all words: a table of fixed size."""
+            yield part, *word_hashes(part.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), WORDS_AND_MARKS)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, shared: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, in the table of vectors, of all words of some texts; ``vocabulary`` is sorted."""
+    for part, hashes, counts in _hashed(batches):
+        at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
+        own = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+        yield part, np.where(own, at, len(vocabulary) + (hashes % np.uint64(shared)).astype(np.int64)), counts
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word (its hash) and n, combined over some hundred thousand words at a time."""
+    held, n = [np.empty(0, np.uint64)], 0
+
+    def rows() -> pa.RecordBatch:
+        words, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"])
+
+    for _, hashes, _ in _hashed(batches):
+        held.append(hashes)
+        n += len(hashes)
+        if n > 4 * _TOKENS:
+            yield rows()
+            held, n = [np.empty(0, np.uint64)], 0
+    yield rows()
+
+
+def frequent_words(docs: DataFrame, most: int = VOCABULARY) -> np.ndarray:
+    """Sorted hashes of the ``most`` most frequent words of all texts, ties by hash."""
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.col("n").desc(), "word").limit(most).select("word").toPandas()
+    return np.sort(found.word.to_numpy(np.int64).view(np.uint64))
+
+
+def summed_contexts(row: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the sum of the index vectors within REACH words of its words; ``text`` tells texts apart."""
+    places, signs = index_vectors(rows)
+    sums = np.zeros(rows * DIMENSIONS)
+    for off in range(1, REACH + 1):
+        inside = text[off:] == text[:-off]
+        a, b = row[:-off][inside], row[off:][inside]
+        for j in range(NON_ZEROS):
+            for word, near in ((a, b), (b, a)):
+                sums += np.bincount(word * DIMENSIONS + places[near, j], weights=signs[near, j], minlength=rows * DIMENSIONS)
+    return sums.reshape(rows, DIMENSIONS)
+
+
+def _contexts(vocabulary: np.ndarray, shared: int):
+    """row, n, and its summed context, of what a task reads."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = len(vocabulary) + shared
+        sums, n = np.zeros((rows, DIMENSIONS)), np.zeros(rows, np.int64)
+        held, texts, words = [], [], 0
+
+        def add() -> None:
+            nonlocal sums, n
+            row, text = np.concatenate(held), np.repeat(np.arange(len(texts)), texts)
+            n += np.bincount(row, minlength=rows)
+            sums += summed_contexts(row, text, rows)
+
+        for _, row, counts in _numbered(batches, vocabulary, shared):
+            held.append(row)
+            texts += counts.tolist()
+            words += len(row)
+            if words > _TOKENS:
+                add()
+                held, texts, words = [], [], 0
+        if words:
+            add()
+        met = np.flatnonzero(n)
+        table = sums[met].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met]), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["row", "n", *(f"d{i}" for i in range(DIMENSIONS))])
+
+    return contexts
+
+
+def word_vectors(docs: DataFrame, vocabulary: np.ndarray, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
+    """A direction for each row, and its share of all words: a table of fixed size."""
     names = [f"d{i}" for i in range(DIMENSIONS)]
-    schema = ", ".join(f"{c} long" for c in ("bucket", "n", *names))
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).toPandas()
-    vectors, share = np.zeros((BUCKETS, DIMENSIONS)), np.zeros(BUCKETS)
+    schema = ", ".join(f"{c} long" for c in ("row", "n", *names))
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_contexts(vocabulary, shared), schema).groupBy("row").agg(*[F.sum(c).cast("float" if c != "n" else "long").alias(c) for c in ("n", *names)])
+    found = sums.toPandas()
+    vectors, share = np.zeros((len(vocabulary) + shared, DIMENSIONS), np.float32), np.zeros(len(vocabulary) + shared)
     if len(found):
         raw = found[names].to_numpy(np.float64)
         raw /= found[["n"]].to_numpy(np.float64)
         raw -= np.average(raw, axis=0, weights=found["n"].to_numpy(np.float64))  # what all words share says nothing
-        vectors[found.bucket] = raw / np.maximum(np.sqrt((raw**2).sum(1, keepdims=True)), 1e-12)
-        share[found.bucket] = found["n"] / found["n"].sum()
-    return vectors.astype(np.float32), share
+        vectors[found.row] = raw / np.maximum(np.sqrt((raw**2).sum(1, keepdims=True)), 1e-12)
+        share[found.row] = found["n"] / found["n"].sum()
+    return vectors, share
 
 
-def pooled(bucket: np.ndarray, counts: np.ndarray, vectors: np.ndarray, share: np.ndarray) -> np.ndarray:
+def pooled(row: np.ndarray, counts: np.ndarray, vectors: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Plain and weighted mean of each text's word directions."""
     weight = (1e-3 / (1e-3 + share)).astype(np.float32)
     out = np.zeros((len(counts), 2 * DIMENSIONS))
     total = np.zeros(len(counts))
     text = np.repeat(np.arange(len(counts)), counts)
-    for k in range(0, len(bucket), _PIECE):  # pieces bound the memory of a long text
-        b, t = bucket[k : k + _PIECE], text[k : k + _PIECE]
+    for k in range(0, len(row), _PIECE):  # pieces bound the memory of a long text
+        b, t = row[k : k + _PIECE], text[k : k + _PIECE]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         v, w = vectors[b], weight[b]
         out[t[first], :DIMENSIONS] += np.add.reduceat(v, first)
@@ -96,10 +162,10 @@ def pooled(bucket: np.ndarray, counts: np.ndarray, vectors: np.ndarray, share: n
     return out
 
 
-def _pooled_rows(vectors: np.ndarray, share: np.ndarray):
+def _pooled_rows(vocabulary: np.ndarray, vectors: np.ndarray, share: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bucket, counts in _buckets(batches):
-            x = pooled(bucket, counts, vectors, share)
+        for part, row, counts in _numbered(batches, vocabulary, len(share) - len(vocabulary)):
+            x = pooled(row, counts, vectors, share)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["doc_id", "y", "x"])
 
     return rows
@@ -140,22 +206,23 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -60, 60)))
 
 
-def _scored(vectors: np.ndarray, share: np.ndarray, network: Network | None, prior: float):
+def _scored(vocabulary: np.ndarray, vectors: np.ndarray, share: np.ndarray, network: Network | None, prior: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bucket, counts in _buckets(batches):
-            scores = network.probabilities(pooled(bucket, counts, vectors, share)) if network else np.full(part.num_rows, prior)
+        for part, row, counts in _numbered(batches, vocabulary, len(share) - len(vocabulary)):
+            scores = network.probabilities(pooled(row, counts, vectors, share)) if network else np.full(part.num_rows, prior)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
 
     return scored
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; two passes over the texts, no shuffle of them."""
-    vectors, share = word_vectors(docs)
-    sample = written(labelled_texts(docs, labels, "quality", most).mapInArrow(_pooled_rows(vectors, share), "doc_id long, y int, x binary"), "quality-sample")
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MOST_LABELLED, most_words: int = VOCABULARY, shared: int = SHARED) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; three passes over the texts, no shuffle of them."""
+    vocabulary = frequent_words(docs, most_words)
+    vectors, share = word_vectors(docs, vocabulary, shared)
+    sample = written(labelled_texts(docs, labels, "quality", most).mapInArrow(_pooled_rows(vocabulary, vectors, share), "doc_id long, y int, x binary"), "quality-sample")
     rows = sample.orderBy(F.xxhash64("doc_id"), "y", "x").toPandas()  # bounded: the sample's pooled vectors
     y = rows.y.to_numpy(np.float64)
     network = Network(np.frombuffer(b"".join(rows.x), "<f4").reshape(len(y), -1).astype(np.float64), y) if len(set(y)) == 2 and len(y) > HOLDOUT else None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    scores = texts.mapInArrow(_scored(vectors, share, network, float(y.mean()) if len(y) else 0.0), "doc_id long, held_out boolean, score double")
+    scores = texts.mapInArrow(_scored(vocabulary, vectors, share, network, float(y.mean()) if len(y) else 0.0), "doc_id long, held_out boolean, score double")
     return scores.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
