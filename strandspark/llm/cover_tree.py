@@ -8,7 +8,12 @@ leaf. For a query node with centre q and covering radius r, and a data node with
 centre p and radius s, no inner product exceeds q.p + |q| s + |p| r + r s. A pair of
 nodes whose bound is below the worst kth score of the node's queries is pruned:
 first whole groups against whole blocks, from their summaries, then nodes while a
-group descends a block. A group's first kth scores come from the routing sample.
+group descends a block.
+
+The first kth scores come from the routing sample. Each group then searches the block
+of nearest centre, and what it finds there raises its kth scores before it is held
+against all other blocks. Groups travel to blocks, as they are small: a task holds one
+block and a bounded number of groups.
 
 The result doesn't depend on the sample, which only steers the pruning.
 
@@ -35,14 +40,17 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Bounds of the sample, its centres, a block of data, a group of queries, and a leaf.
-SAMPLE, CENTRES, BLOCK, GROUP, LEAF = 2_048, 64, 4_096, 512, 64
+#: Bounds of the sample, its centres, a block of data, a group of queries, a leaf, and the groups that meet a block in one task.
+SAMPLE, CENTRES, BLOCK, GROUP, LEAF, LOT = 2_048, 64, 8_192, 512, 64, 64
 #: A child covers this fraction of its parent's radius; summaries that meet in one task.
 SHRINK, CHUNK = 0.7, 512
 SCALE = 256
 #: No score: below that of any pair.
 _NONE = np.int64(-(2**63))
 _TREE = "part long, chunk long, n long, payload binary, summary binary"
+_PAIR = "grp long, block long, near double"
+#: Most tasks of a search.
+MOST_TASKS = 20_000
 
 
 def valid(vector: Column) -> Column:
@@ -59,6 +67,23 @@ def matrix(vectors) -> np.ndarray:
     return out
 
 
+def packed(points: np.ndarray) -> list[bytes]:
+    """Each row as bytes: the size of its components, then these as the smallest integers, or floats, that hold all rows."""
+    most = np.abs(points).max(initial=0)
+    kind = next((t for t in ("<i1", "<i2", "<i4") if most <= np.iinfo(t).max), "<f8")
+    head = bytes([np.dtype(kind).itemsize])
+    return [head + row.tobytes() for row in points.astype(kind)]
+
+
+def unpacked(rows) -> np.ndarray:
+    """The matrix of packed rows, padded with zeros to the longest."""
+    rows = [np.frombuffer(x, {1: "<i1", 2: "<i2", 4: "<i4", 8: "<f8"}[x[0]], offset=1) for x in rows]
+    out = np.zeros((len(rows), max([1, *map(len, rows)])))
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products, clipped to the range of a long."""
     d = min(a.shape[1], b.shape[1])
@@ -133,8 +158,9 @@ def bounds(a: tuple, b: tuple) -> np.ndarray:
     return most + 1e-9 * (np.abs(most) + 1)  # rounding must not prune
 
 
-def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the query, id and score of what may be among its k best; ``kth`` has scores known to be reached."""
+def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row of the query, id and score of what may be among its k best, and how many pairs were scored; ``kth`` has scores known to be reached."""
+    tested = 0
     scores = np.full((len(query_ids), k), _NONE)
     ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
     worst = kth.copy()
@@ -148,6 +174,7 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
         if not queries.children[q] and not data.children[d]:
             c, e = data.ranges[d]
             found = products(queries.points[a:b], data.points[c:e])
+            tested += found.size
             seen = (found >= worst[a:b, None]) & (query_ids[a:b, None] != data_ids[None, c:e])
             for row in np.flatnonzero(seen.any(1)):
                 take = np.flatnonzero(seen[row])
@@ -167,34 +194,39 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
             if m >= worst[u:v].min():
                 heapq.heappush(heap, (-m, x, y))
     row, at = np.nonzero(scores > _NONE)
-    return row, ids[row, at], scores[row, at]
+    return row, ids[row, at], scores[row, at], tested
 
 
 def _routed(rows: DataFrame, centres: np.ndarray, most: int) -> DataFrame:
-    """With part, the number of the block: a centre's rows are dealt by hash over as many blocks as their number needs."""
+    """With part, the number of the block: a centre's rows are dealt over as many blocks as their number needs, also rows of one id."""
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = matrix(frame.vector)
             d = min(x.shape[1], centres.shape[1])
             # the nearest centre, up to the row's own norm
-            frame["centre"] = (0.5 * (centres**2).sum(1)[None, :] - x[:, :d] @ centres[:, :d].T).argmin(1) if len(frame) else np.empty(0, int)
-            yield frame[["id", "vector", "centre"]]
+            centre = (0.5 * (centres**2).sum(1)[None, :] - x[:, :d] @ centres[:, :d].T).argmin(1) if len(frame) else np.empty(0, int)
+            yield pd.DataFrame({"id": frame.id, "vector": packed(x), "centre": centre, "salt": np.arange(len(frame))})
 
-    routed = written(rows.mapInPandas(route, "id long, vector array<double>, centre int"), "routed")
+    routed = written(rows.mapInPandas(route, "id long, vector binary, centre int, salt int"), "routed")
     counts = {x.centre: x.n for x in routed.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a centre
     blocks = [-(-counts.get(c, 0) // most) for c in range(len(centres))]
     first = np.concatenate([[0], np.cumsum(blocks)]).tolist()
     of = F.col("centre") + 1
-    part = F.element_at(F.array(*map(F.lit, first)), of) + F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.element_at(F.array(*map(F.lit, blocks)), of)))
+    part = F.element_at(F.array(*map(F.lit, first)), of) + F.pmod(F.xxhash64("id", "salt"), F.greatest(F.lit(1), F.element_at(F.array(*map(F.lit, blocks)), of)))
     return routed.select("id", "vector", part.cast("long").alias("part"))
 
 
+def _row(tree: CoverTree, ids: np.ndarray, kth: np.ndarray, part: int) -> pd.DataFrame:
+    summary = (tree.centres[0], float(tree.norms[0]), float(tree.radii[0]), int(kth.min()))
+    return pd.DataFrame({"part": [part], "chunk": [part // CHUNK], "n": [len(ids)], "payload": [pickle.dumps((tree, ids, kth))], "summary": [pickle.dumps(summary)]})
+
+
 def _trees(sample: tuple[np.ndarray, np.ndarray] | None, k: int):
     """Indexes a part; with ``sample``, also each point's kth score in the sample."""
 
     def trees(frame: pd.DataFrame) -> pd.DataFrame:
-        points, ids = matrix(frame.vector), frame.id.to_numpy()
+        points, ids = unpacked(frame.vector), frame.id.to_numpy()
         tree = CoverTree(points)
         ids = ids[tree.order]
         kth = np.full(len(ids), _NONE)
@@ -202,41 +234,72 @@ def _trees(sample: tuple[np.ndarray, np.ndarray] | None, k: int):
             found = np.where(ids[:, None] == sample[0][None, :], _NONE, products(tree.points, sample[1]))
             if found.shape[1] >= k:
                 kth = np.partition(found, found.shape[1] - k, axis=1)[:, -k]
-        part = int(frame.part.iloc[0])
-        summary = (tree.centres[0], float(tree.norms[0]), float(tree.radii[0]), int(kth.min()))
-        return pd.DataFrame({"part": [part], "chunk": [part // CHUNK], "n": [len(ids)], "payload": [pickle.dumps((tree, ids, kth))], "summary": [pickle.dumps(summary)]})
+        return _row(tree, ids, kth, int(frame.part.iloc[0]))
 
     return trees
 
 
+def _raised(groups: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
+    """A group's tree with the kth scores that its queries have reached."""
+    if not len(groups):
+        return pd.DataFrame({"part": [], "chunk": [], "n": [], "payload": [], "summary": []})
+    tree, ids, kth = pickle.loads(groups.payload.iloc[0])
+    kth, at = kth.copy(), pd.Index(ids).get_indexer(reached.query_id)
+    kth[at] = np.maximum(kth[at], reached.score.to_numpy())
+    return _row(tree, ids, kth, int(groups.part.iloc[0]))
+
+
 def _survivors(groups: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a group and a block whose bound reaches the group's worst kth score."""
+    """Pairs of a group and a block whose bound reaches the group's worst kth score, and the centres' inner product."""
     if not len(groups) or not len(blocks):
-        return pd.DataFrame({"grp": np.empty(0, np.int64), "block": np.empty(0, np.int64)})
+        return pd.DataFrame({"grp": np.empty(0, np.int64), "block": np.empty(0, np.int64), "near": np.empty(0)})
     a, b = ([pickle.loads(x) for x in side.summary] for side in (groups, blocks))
     wide = max(len(x[0]) for x in a + b)
     stack = lambda side: (np.array([np.pad(x[0], (0, wide - len(x[0]))) for x in side]), np.array([x[1] for x in side]), np.array([x[2] for x in side]))
-    g, d = np.nonzero(bounds(stack(a), stack(b)) >= np.array([x[3] for x in a])[:, None])
-    return pd.DataFrame({"grp": groups.part.to_numpy()[g], "block": blocks.part.to_numpy()[d]})
+    p, q = stack(a), stack(b)
+    g, d = np.nonzero(bounds(p, q) >= np.array([x[3] for x in a])[:, None])
+    return pd.DataFrame({"grp": groups.part.to_numpy()[g], "block": blocks.part.to_numpy()[d], "near": (p[0] @ q[0].T)[g, d]})
+
+
+def _surviving(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Summaries meet chunk by chunk."""
+    chunks = lambda trees: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees.agg(F.max("chunk")).first()[0] or 0).cast("long")))
+    left = groups.select("part", "summary", F.col("chunk").alias("g"), chunks(blocks).alias("b"))
+    right = blocks.select("part", "summary", F.col("chunk").alias("b"), chunks(groups).alias("g"))
+    return left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(_survivors, _PAIR)
 
 
 def _searched(k: int):
-    def searched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for x in frame.itertuples():
-                (queries, query_ids, kth), (data, data_ids, _) = pickle.loads(x.asking), pickle.loads(x.asked)
-                row, ids, scores = search(queries, query_ids, data, data_ids, kth, k)
-                yield pd.DataFrame({"query_id": query_ids[row], "vec_id": ids, "score": scores})
+    """A block against a lot of groups; ``tested``, the number of scored pairs, is in a row of its own for each group, and -1 in results."""
+
+    def searched(asking: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [np.empty((0, 5), np.int64)]
+        if len(asked):
+            data, data_ids, _ = pickle.loads(asked.asked.iloc[0])
+            for x in asking.itertuples():
+                queries, query_ids, kth = pickle.loads(x.asking)
+                row, ids, scores, tested = search(queries, query_ids, data, data_ids, kth, k)
+                out += [np.array([[x.grp, 0, 0, 0, tested]]), np.stack([np.full(len(row), x.grp), query_ids[row], ids, scores, np.full(len(row), -1)], 1)]
+        return pd.DataFrame(np.concatenate(out), columns=["grp", "query_id", "vec_id", "score", "tested"])
 
     return searched
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows of ``data`` for each row of ``queries`` (id, vector).
+def _results(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, k: int, name: str) -> DataFrame:
+    """grp, query_id, vec_id, score (at most k rows of each pair's block for a query of its group) and tested, as a table."""
+    n_groups, n_blocks = groups.count(), blocks.count()
+    lots = max(1, -(-n_groups // LOT))
+    pairs = pairs.select("grp", "block", F.pmod("grp", F.lit(lots)).alias("lot"))
+    tasks = max(1, min(MOST_TASKS, n_blocks * lots))  # given, so the adaptive planner doesn't put all into few tasks
+    asking = pairs.join(groups.select(F.col("part").alias("grp"), F.col("payload").alias("asking")), "grp").repartition(tasks, "block", "lot")
+    met = pairs.select(F.col("block").alias("part"), F.col("lot").alias("of_lot")).distinct()
+    asked = met.join(blocks.select("part", F.col("payload").alias("asked")), "part").repartition(tasks, "part", "of_lot")
+    found = asking.groupBy("block", "lot").cogroup(asked.groupBy("part", "of_lot")).applyInPandas(_searched(k), "grp long, query_id long, vec_id long, score long, tested long")
+    return written(found, name)
+
 
-    Summaries meet chunk by chunk; only pairs that may matter carry their trees to a
-    task, one pair at a time, and return at most k rows a query.
-    """
+def candidates(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Rows among which are the k best of each query, as ``_results`` has them."""
     usable = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & valid(F.col("vector")))
     data, queries = usable(data), usable(queries).groupBy("id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
     found = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()  # bounded; steers the pruning only
@@ -250,12 +313,21 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     centres = sample[1][centres] if len(found) else np.zeros((1, 1))
     blocks = written(_routed(data, centres, BLOCK).groupBy("part").applyInPandas(_trees(None, k), _TREE), "data-trees")
     groups = written(_routed(queries, centres, GROUP).groupBy("part").applyInPandas(_trees(sample, k), _TREE), "query-trees")
-    chunks = lambda trees: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees.agg(F.max("chunk")).first()[0] or 0).cast("long")))
-    left = groups.select("part", "summary", F.col("chunk").alias("g"), chunks(blocks).alias("b"))
-    right = blocks.select("part", "summary", F.col("chunk").alias("b"), chunks(groups).alias("g"))
-    pairs = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(_survivors, "grp long, block long")
-    asked = blocks.select(F.col("part").alias("block"), F.col("payload").alias("asked"))
-    asking = groups.select(F.col("part").alias("grp"), F.col("payload").alias("asking"))
-    near = pairs.join(asked, "block").join(asking, "grp").repartition("block", "grp").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
+    nearest = written(_surviving(groups, blocks).groupBy("grp").agg(F.max_by("block", F.struct("near", "block")).alias("block")), "nearest-blocks")
+    one = _results(nearest, groups, blocks, k, "nearest-results")
+    reached = one.where("tested < 0").groupBy("grp", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
+    groups = written(groups.groupBy("part").cogroup(reached.select(F.col("grp").alias("part"), "query_id", "score").groupBy("part")).applyInPandas(_raised, _TREE), "raised-trees")
+    rest = _surviving(groups, blocks).join(nearest, ["grp", "block"], "left_anti")
+    return one.unionByName(_results(rest, groups, blocks, k, "other-results"))
+
+
+def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best rows of ``data`` for each row of ``queries`` (id, vector)."""
+    found = candidates(data, queries, k).where("tested < 0")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def scored_pairs(data: DataFrame, queries: DataFrame, k: int = 5) -> int:
+    """How many inner products the search takes; what it prunes is the rest of queries times rows."""
+    return candidates(data, queries, k).where("tested >= 0").agg(F.coalesce(F.sum("tested"), F.lit(0))).first()[0]
