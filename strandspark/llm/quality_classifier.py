@@ -34,8 +34,8 @@ MOST_LABELLED = 40_000
 #: Words with a row of their own, rows that rarer words share, dimensions, non-zeros of an index vector, words on either side.
 VOCABULARY, SHARED, DIMENSIONS, NON_ZEROS, REACH = 1 << 15, 1 << 13, 64, 4, 2
 HIDDEN, STEPS, BATCH, RATE, DECAY, HOLDOUT = 32, 2_000, 1_024, 0.003, 2e-3, 5
-#: Words that are pooled, and that are summed or counted, at a time.
-_PIECE, _TOKENS = 1 << 17, 1 << 19
+#: Words of a piece of a text that is pooled, and words that are summed or counted at a time.
+_PIECE, _TOKENS = 1 << 12, 1 << 18
 
 
 @cache
@@ -72,7 +72,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, hashes, _ in _hashed(batches):
         held.append(hashes)
         n += len(hashes)
-        if n > 4 * _TOKENS:
+        if n > 8 * _TOKENS:
             yield rows()
             held, n = [np.empty(0, np.uint64)], 0
     yield rows()
@@ -85,17 +85,15 @@ def frequent_words(docs: DataFrame, most: int = VOCABULARY) -> np.ndarray:
     return np.sort(found.word.to_numpy(np.int64).view(np.uint64))
 
 
-def summed_contexts(row: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
-    """For each row the sum of the index vectors within REACH words of its words; ``text`` tells texts apart."""
-    places, signs = index_vectors(rows)
-    sums = np.zeros(rows * DIMENSIONS)
+def add_contexts(sums: np.ndarray, row: np.ndarray, text: np.ndarray) -> None:
+    """Adds to each row of ``sums`` the index vectors within REACH words of its words; ``text`` tells texts apart."""
+    places, signs = index_vectors(len(sums))
+    flat = sums.reshape(-1)
     for off in range(1, REACH + 1):
         inside = text[off:] == text[:-off]
         a, b = row[:-off][inside], row[off:][inside]
-        for j in range(NON_ZEROS):
-            for word, near in ((a, b), (b, a)):
-                sums += np.bincount(word * DIMENSIONS + places[near, j], weights=signs[near, j], minlength=rows * DIMENSIONS)
-    return sums.reshape(rows, DIMENSIONS)
+        for word, near in ((a, b), (b, a)):
+            flat += np.bincount((word[:, None] * DIMENSIONS + places[near]).ravel(), weights=signs[near].ravel(), minlength=len(flat))
 
 
 def _contexts(vocabulary: np.ndarray, shared: int):
@@ -107,10 +105,9 @@ def _contexts(vocabulary: np.ndarray, shared: int):
         held, texts, words = [], [], 0
 
         def add() -> None:
-            nonlocal sums, n
-            row, text = np.concatenate(held), np.repeat(np.arange(len(texts)), texts)
-            n += np.bincount(row, minlength=rows)
-            sums += summed_contexts(row, text, rows)
+            row = np.concatenate(held)
+            np.add(n, np.bincount(row, minlength=rows), out=n)
+            add_contexts(sums, row, np.repeat(np.arange(len(texts)), texts))
 
         for _, row, counts in _numbered(batches, vocabulary, shared):
             held.append(row)
@@ -122,8 +119,9 @@ def _contexts(vocabulary: np.ndarray, shared: int):
         if words:
             add()
         met = np.flatnonzero(n)
-        table = sums[met].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met]), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["row", "n", *(f"d{i}" for i in range(DIMENSIONS))])
+        for k in range(0, len(met), 2048):
+            at = met[k : k + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), *(pa.array(c) for c in sums[at].astype(np.int64).T.copy())], ["row", "n", *(f"d{i}" for i in range(DIMENSIONS))])
 
     return contexts
 
@@ -144,28 +142,42 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray, shared: int = SHARED)
     return vectors, share
 
 
-def pooled(row: np.ndarray, counts: np.ndarray, vectors: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Plain and weighted mean of each text's word directions."""
-    weight = (1e-3 / (1e-3 + share)).astype(np.float32)
-    out = np.zeros((len(counts), 2 * DIMENSIONS))
-    total = np.zeros(len(counts))
+def pooling_table(vectors: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's direction, plain and weighted against frequent words, in whole 4096ths, and the weights."""
+    weight = 1e-3 / (1e-3 + share)
+    return np.rint(_PIECE * np.concatenate([vectors, vectors * weight[:, None]], axis=1)).astype(np.float32), weight
+
+
+def pooled(row: np.ndarray, counts: np.ndarray, table: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Plain and weighted mean of each text's word directions.
+
+    Counts of rows by pieces of texts are multiplied with the table. A piece has at most
+    4096 words, so the sums are whole numbers that 32-bit floats hold, whatever their order.
+    """
     text = np.repeat(np.arange(len(counts)), counts)
-    for k in range(0, len(row), _PIECE):  # pieces bound the memory of a long text
-        b, t = row[k : k + _PIECE], text[k : k + _PIECE]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        v, w = vectors[b], weight[b]
-        out[t[first], :DIMENSIONS] += np.add.reduceat(v, first)
-        out[t[first], DIMENSIONS:] += np.add.reduceat(v * w[:, None], first)
-        total[t[first]] += np.add.reduceat(w, first)
-    out[:, :DIMENSIONS] /= np.maximum(counts, 1)[:, None]
-    out[:, DIMENSIONS:] /= np.maximum(total, 1e-12)[:, None]
-    return out
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begins = np.flatnonzero(place % _PIECE == 0)
+    sums = np.zeros((len(counts), table.shape[1]))
+    for k in range(0, len(begins), 64):
+        a, b = begins[k], begins[k + 64] if k + 64 < len(begins) else len(row)
+        met = np.zeros(len(table), bool)
+        met[row[a:b]] = True
+        some, at = np.flatnonzero(met), np.cumsum(met) - 1
+        piece = np.searchsorted(begins, np.arange(a, b), "right") - 1 - k
+        n = len(begins[k : k + 64])
+        held = np.bincount(piece * len(some) + at[row[a:b]], minlength=n * len(some)).astype(np.float32).reshape(n, -1)
+        np.add.at(sums, text[begins[k : k + 64]], held @ table[some])
+    total = np.bincount(text, weights=weight[row], minlength=len(counts))
+    sums[:, :DIMENSIONS] /= np.maximum(counts, 1)[:, None]
+    sums[:, DIMENSIONS:] /= np.maximum(total, 1e-12)[:, None]
+    return sums / _PIECE
 
 
 def _pooled_rows(vocabulary: np.ndarray, vectors: np.ndarray, share: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, weight = pooling_table(vectors, share)
         for part, row, counts in _numbered(batches, vocabulary, len(share) - len(vocabulary)):
-            x = pooled(row, counts, vectors, share)
+            x = pooled(row, counts, table, weight)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["doc_id", "y", "x"])
 
     return rows
@@ -208,8 +220,9 @@ class Network:
 
 def _scored(vocabulary: np.ndarray, vectors: np.ndarray, share: np.ndarray, network: Network | None, prior: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, weight = pooling_table(vectors, share)
         for part, row, counts in _numbered(batches, vocabulary, len(share) - len(vocabulary)):
-            scores = network.probabilities(pooled(row, counts, vectors, share)) if network else np.full(part.num_rows, prior)
+            scores = network.probabilities(pooled(row, counts, table, weight)) if network else np.full(part.num_rows, prior)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
 
     return scored
