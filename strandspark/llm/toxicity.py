@@ -42,6 +42,8 @@ LEAST_RATIO = 10.0
 MEMBERS, STEPS, BATCH, RATE, DECAY = 3, 1_200, 1_024, 0.02, 1e-5
 #: Words whose features a worker remembers, and features that it counts before it passes them on.
 CACHED_WORDS, COUNTED_FEATURES = 200_000, 500_000
+#: Bits of the filter of features that toxic texts have: one megabyte.
+FILTER_BITS = 1 << 23
 _EDGE = b".,;:!?\"'()[]{}<>*$%&#|-_/\\"
 
 
@@ -64,31 +66,49 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 _ANY = -1
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """feature, and the toxic and all texts that have it; a task adds up what it meets."""
-    toxic, every, known = Counter(), Counter(), {}
-
-    def rows() -> pa.RecordBatch:
-        keys = list(every)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([toxic.get(k, 0) for k in keys], pa.int64()), pa.array(list(every.values()), pa.int64())], ["feature", "p", "u"])
-
-    for part, texts in _texts(batches):
-        for words, y in zip(texts, part.column("y").to_pylist(), strict=True):
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            for w in words.difference(known):
-                known[w] = features_of(w)
-            has = {x for w in words for x in known[w]}
-            has.add(_ANY)
-            every.update(has)
-            if y:
-                toxic.update(has)
-        if len(every) > COUNTED_FEATURES:
-            yield rows()
-            toxic.clear(), every.clear()
-    if every:
+def _counted(bits: np.ndarray | None):
+    """feature, and the texts that have it; a task adds up what it meets. With ``bits`` only features whose bit is set."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, known = Counter(), {}
+        held = None if bits is None else bits.astype("<u8").tobytes()
+
+        def wanted(word: bytes) -> list[int]:
+            found = features_of(word)
+            return found if held is None else [x for x in found if held[x % FILTER_BITS >> 3] >> (x & 7) & 1]
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
+
+        for _, texts in _texts(batches):
+            for words in texts:
+                if len(known) > CACHED_WORDS:
+                    known.clear()
+                for w in words.difference(known):
+                    known[w] = wanted(w)
+                counts.update({x for w in words for x in known[w]})
+            counts[_ANY] += len(texts)
+            if len(counts) > COUNTED_FEATURES:
+                yield rows()
+                counts.clear()
         yield rows()
 
+    return counted
+
+
+def feature_counts(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    return texts.select("text").mapInArrow(_counted(bits), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def feature_bits(features: DataFrame) -> np.ndarray:
+    """A bit for each remainder that a feature has: a filter of fixed size, whatever the number of features."""
+    at = F.pmod("feature", F.lit(FILTER_BITS))
+    words = features.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(feature, 64) AS INT))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    for r in words:
+        out[r.word] = r.bits & (2**64 - 1)
+    return out
+
 
 def ratio(p: Column, u: Column, n_p: float, n_u: float) -> Column:
     """Log-likelihood ratio of p in n_p toxic texts and u in n_u texts of the mixture, against one common rate."""
@@ -97,14 +117,19 @@ def ratio(p: Column, u: Column, n_p: float, n_u: float) -> Column:
     return part(p, n_p) + part(u, n_u)
 
 
-def chosen_features(train: DataFrame, most: int = FEATURES) -> list[int]:
-    """The hashes of the features of ``train`` (text, y) that divide best, in either direction."""
-    counts = train.select("text", "y").mapInArrow(_counted, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    counts = written(counts.where(F.col("p") >= LEAST_TEXTS), "toxicity-features")
-    of_all = counts.where(F.col("feature") == _ANY).first()
-    if of_all is None:
+def chosen_features(toxic: DataFrame, mixture: DataFrame, most: int = FEATURES) -> list[int]:
+    """The hashes of the features that divide the texts of ``toxic`` best from those of ``mixture``, in either direction.
+
+    The mixture's texts are counted for the features that toxic texts have, which a
+    filter of bits tells with a few false ones, and these go in the join.
+    """
+    p = written(feature_counts(toxic).where(F.col("n") >= LEAST_TEXTS).withColumnRenamed("n", "p"), "toxic-features")
+    n_toxic = p.where(F.col("feature") == _ANY).first()
+    if n_toxic is None:
         return []
-    rated = counts.where(F.col("feature") != _ANY).select("feature", ratio(F.col("p").cast("double"), F.col("u").cast("double"), float(of_all.p), float(of_all.u)).alias("ratio"))
+    u = written(feature_counts(mixture, feature_bits(p)).withColumnRenamed("n", "u"), "mixture-features")
+    n_mixture = u.where(F.col("feature") == _ANY).first()
+    rated = p.where(F.col("feature") != _ANY).join(u, "feature").select("feature", ratio(F.col("p").cast("double"), F.col("u").cast("double"), float(n_toxic.p), float(n_mixture.u)).alias("ratio"))
     return [r.feature for r in rated.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.col("ratio").desc(), "feature").limit(most).collect()]
 
 
@@ -180,7 +205,7 @@ def model_of(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSIT
         return {}, np.zeros((0, 1)), prior
     confirmed = marks.where("y = 1").select("doc_id")
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out())
-    index = {h: i for i, h in enumerate(chosen_features(train.join(confirmed.withColumn("y", F.lit(1)), "doc_id", "left")))}
+    index = {h: i for i, h in enumerate(chosen_features(train.join(confirmed, "doc_id", "left_semi"), train))}
     drawn = least_hashed(train.select("doc_id").where("doc_id IS NOT NULL").distinct(), most_unlabelled)
     ids = least_hashed(confirmed, most_positive).selectExpr("doc_id", "1 AS toxic", "0 AS drawn").unionByName(drawn.selectExpr("doc_id", "0 AS toxic", "1 AS drawn"))
     sample = written(texts_of(train, ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("drawn").alias("drawn"))), "toxicity-sample")
