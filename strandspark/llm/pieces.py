@@ -1,7 +1,8 @@
 """SentencePiece ids by one forward pass over a trie of distinct marked words.
 
 A text's spaces become marks, and no piece reaches from a letter over a mark, so a
-text is a row of marked words (a mark, or several, and what follows up to the next).
+text is a row of marked words (a mark, or several, and what follows up to the next),
+which are cut further where the vocabulary has no piece that reaches over.
 The distinct unseen words of some texts are sorted, and the sorted list is walked as
 the depth-first order of their trie: a stack keeps the forward state of every
 character of the current word, and the next word goes on from the end of the prefix
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
-CACHED_WORDS, CACHED_PAIRS = 200_000, 400_000
+CACHED_WORDS, CACHED_PAIRS = 500_000, 400_000
 _ROWS = 256
 _models: dict[str, PieceModel] = {}
 
@@ -68,22 +69,36 @@ class PieceModel:
         self.of_byte = of_byte if len(of_byte) == 256 else None
         least = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.unknown_score = least - 10.0
-        #: Trie of the pieces: (node, character) to node, and the piece that ends at a node.
-        self.step, self.piece_at = {}, [-1]
+        #: Trie of the pieces: a node's next nodes by character, and the piece that ends at a node.
+        self.next, self.piece_at = [{}], [-1]
         for piece, i in self.ids.items():
             node = 0
             for c in piece:
-                node = self.step.setdefault((node, c), len(self.piece_at))
-                if node == len(self.piece_at):
+                node = self.next[node].setdefault(c, len(self.next))
+                if node == len(self.next):
+                    self.next.append({})
                     self.piece_at.append(-1)
             self.piece_at[node] = i
-        alone = "" if any("\n" in p for p in self.ids) else "\n"  # splits too where no piece has it
-        self.words = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + "|\n" * bool(alone)).findall
+        self.words = re.compile(self._word_pattern()).findall
         self.length = [len(p) for p in self.pieces]
         self.plain = [bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else " ⁇ ".encode() if p.type == kinds.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in spec.pieces]
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
+    def _word_pattern(self) -> str:
+        """Marked words, cut also where no piece reaches over: around line ends, and from a letter to a digit or mark of ASCII.
+
+        Which of these no piece has after a letter is found in the vocabulary. What ends a
+        run of unknown characters must be known, as such a run is one id.
+        """
+        after_letters = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
+        opening = [c for c in map(chr, range(33, 127)) if not c.isalpha() and c not in after_letters and (self.of_byte or c in self.ids)]
+        alone = "" if any("\n" in p for p in self.ids) else "\n"
+        o = "".join(map(re.escape, opening))
+        rest = f"[^{MARK}{alone}{o}]"
+        plain = f"{MARK}+{rest}*|{rest}+" if not o else f"(?:{MARK}+[{o}]*|[{o}]+|(?={rest})){rest}*(?:(?<![^\\W\\d_])[{o}]+{rest}*)*"
+        return plain + "|\n" * bool(alone)
+
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored neighbours merge first, the leftmost on ties."""
         parts, ids, scores = list(text), self.ids, self.scores
@@ -110,7 +125,8 @@ class PieceModel:
 
     def learn(self, words: list[str]) -> None:
         """Ids of the words, in one walk over their trie."""
-        step, piece_at, length, scores, stays, unigram = self.step, self.piece_at, self.length, self.scores, self.stays, self.unigram
+        following, piece_at, length, scores, stays, unigram = self.next, self.piece_at, self.length, self.scores, self.stays, self.unigram
+        root, pairs = following[0], self.pairs
         # by depth: score, last piece (-1: none yet, or a character without a piece), its length, open trie nodes with their starts
         best, last, size, open_at = [0.0], [-1], [0], [[]]
         before = ""
@@ -122,20 +138,23 @@ class PieceModel:
             for i in range(shared, len(word)):
                 c, going = word[i], []
                 found, value, width = -1, None, 1
-                for start, node in (*open_at[i], (i, 0)):
-                    node = step.get((node, c))
+                for start, after in (*open_at[i], (i, root)):
+                    node = after.get(c)
                     if node is None:
                         continue
-                    going.append((start, node))
+                    if following[node]:
+                        going.append((start, following[node]))
                     piece = piece_at[node]
                     if piece < 0:
                         continue
-                    if not unigram and (value is not None or not stays(last[start], piece)):
-                        continue  # the step isn't allowed; of a BPE model's only one is
+                    if not unigram:
+                        # a BPE model allows one step at most; others don't count
+                        if value is not None or not pairs.get((last[start] + 1) << 32 | piece, True) or not stays(last[start], piece):
+                            continue
                     total = best[start] + scores[piece]
                     if value is None or total > value:
                         found, value, width = piece, total, length[piece]
-                if value is None or (unigram and found >= 0 and best[i] + self.unknown_score > value and (0, c) not in step):
+                if value is None or (unigram and found >= 0 and best[i] + self.unknown_score > value and c not in root):
                     found, value, width = -1, best[i] + self.unknown_score, 1
                 best.append(value), last.append(found), size.append(width), open_at.append(going)
             ids, i = [], len(word)
@@ -153,9 +172,10 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        if unseen := set(chain.from_iterable(cut)).difference(self.known):
+        met = set(chain.from_iterable(cut))
+        if len(self.known) > CACHED_WORDS:  # what these texts have is likely to come again
+            self.known = {w: self.known[w] for w in met.intersection(self.known)}
+        if unseen := met.difference(self.known):
             self.learn(list(unseen))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
