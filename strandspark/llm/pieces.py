@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers.
-CACHED_WORDS, CACHED_PAIRS = 500_000, 400_000
+#: Words between spaces, parts of words, and pairs of pieces, that a worker remembers.
+CACHED_WORDS, CACHED_PARTS, CACHED_PAIRS = 400_000, 300_000, 400_000
 _ROWS = 256
 _models: dict[str, PieceModel] = {}
 
@@ -82,6 +82,8 @@ class PieceModel:
         self.words = re.compile(self._word_pattern()).findall
         self.length = [len(p) for p in self.pieces]
         self.plain = [bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else " ⁇ ".encode() if p.type == kinds.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in spec.pieces]
+        #: Ids of words between spaces, of the marked parts of words, and which pieces follow each other.
+        self.spaced: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -169,16 +171,40 @@ class PieceModel:
             self.known[word] = np.array(ids[::-1], "<u4").tobytes()
             before = word
 
+    def _spaced(self, text: str) -> list[str] | None:
+        """A text's words between spaces; those after a run of spaces with all but one of them. None: the text has marks of its own."""
+        if MARK in text:
+            return None
+        words = text.split(" ")
+        if "" not in words:
+            return words
+        out, run = [], 0
+        for w in words:
+            if w:
+                out.append(" " * run + w)
+                run = 0
+            else:
+                run += 1
+        return out + [" " * (run - 1)] * (run > 0)
+
+    def _met(self, words: set[str], known: dict[str, bytes], most: int) -> set[str]:
+        """Forgets what isn't among ``words``, if too much is known, as these are likely to come again; returns what is new."""
+        if len(known) > most:
+            kept = {w: known[w] for w in words.intersection(known)}
+            known.clear()
+            known.update(kept)
+        return words.difference(known)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        met = set(chain.from_iterable(cut))
-        if len(self.known) > CACHED_WORDS:  # what these texts have is likely to come again
-            self.known = {w: self.known[w] for w in met.intersection(self.known)}
-        if unseen := met.difference(self.known):
-            self.learn(list(unseen))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        cut = [self._spaced(t) if t else [] for t in texts]
+        marked = {w: self.words(MARK + w.replace(" ", MARK)) for w in self._met(set(chain.from_iterable(c for c in cut if c)), self.spaced, CACHED_WORDS)}
+        whole = {t: self.words(MARK + t.replace(" ", MARK)) for t, c in zip(texts, cut, strict=True) if c is None}
+        self.learn(list(self._met(set(chain.from_iterable((*marked.values(), *whole.values()))), self.known, CACHED_PARTS)))
+        part = self.known.__getitem__
+        self.spaced.update((w, b"".join(map(part, parts))) for w, parts in marked.items())
+        get = self.spaced.__getitem__
+        return [b"".join(map(part, whole[t]) if c is None else map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.plain.__getitem__, np.frombuffer(ids, "<u4").tolist()))
