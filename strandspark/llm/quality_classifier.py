@@ -34,8 +34,8 @@ MOST_LABELLED = 40_000
 #: Words with a row of their own, rows that rarer words share, dimensions, non-zeros of an index vector, words on either side.
 VOCABULARY, SHARED, DIMENSIONS, NON_ZEROS, REACH = 1 << 15, 1 << 13, 64, 4, 2
 HIDDEN, STEPS, BATCH, RATE, DECAY, HOLDOUT = 32, 2_000, 1_024, 0.003, 2e-3, 5
-#: Words of a piece of a text that is pooled, and words that are summed or counted at a time.
-_PIECE, _TOKENS = 1 << 12, 1 << 18
+#: Words that are summed or counted at a time.
+_TOKENS = 1 << 18
 
 
 @cache
@@ -142,42 +142,35 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray, shared: int = SHARED)
     return vectors, share
 
 
-def pooling_table(vectors: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's direction, plain and weighted against frequent words, in whole 4096ths, and the weights."""
-    weight = 1e-3 / (1e-3 + share)
-    return np.rint(_PIECE * np.concatenate([vectors, vectors * weight[:, None]], axis=1)).astype(np.float32), weight
-
+def pooled(row: np.ndarray, counts: np.ndarray, vectors: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Plain and weighted mean of each text's word directions: counts of rows by texts, times the directions.
 
-def pooled(row: np.ndarray, counts: np.ndarray, table: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Plain and weighted mean of each text's word directions.
-
-    Counts of rows by pieces of texts are multiplied with the table. A piece has at most
-    4096 words, so the sums are whole numbers that 32-bit floats hold, whatever their order.
+    In 64-bit floats, so that which texts are counted together doesn't show in a score.
     """
-    text = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begins = np.flatnonzero(place % _PIECE == 0)
-    sums = np.zeros((len(counts), table.shape[1]))
-    for k in range(0, len(begins), 64):
-        a, b = begins[k], begins[k + 64] if k + 64 < len(begins) else len(row)
-        met = np.zeros(len(table), bool)
-        met[row[a:b]] = True
-        some, at = np.flatnonzero(met), np.cumsum(met) - 1
-        piece = np.searchsorted(begins, np.arange(a, b), "right") - 1 - k
-        n = len(begins[k : k + 64])
-        held = np.bincount(piece * len(some) + at[row[a:b]], minlength=n * len(some)).astype(np.float32).reshape(n, -1)
-        np.add.at(sums, text[begins[k : k + 64]], held @ table[some])
-    total = np.bincount(text, weights=weight[row], minlength=len(counts))
+    weight = 1e-3 / (1e-3 + share)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    sums, total = np.zeros((len(counts), 2 * DIMENSIONS)), np.zeros(len(counts))
+    for k in range(0, len(counts), 64):
+        some = row[begins[k] : begins[min(k + 64, len(counts))]]
+        met = np.zeros(len(vectors), bool)
+        met[some] = True
+        used, at = np.flatnonzero(met), np.cumsum(met) - 1
+        n = counts[k : k + 64]
+        held = np.bincount(np.repeat(np.arange(len(n)), n) * len(used) + at[some], minlength=len(n) * len(used)).reshape(len(n), -1).astype(np.float64)
+        directions = vectors[used].astype(np.float64)
+        sums[k : k + 64, :DIMENSIONS] = held @ directions
+        held *= weight[used]
+        sums[k : k + 64, DIMENSIONS:] = held @ directions
+        total[k : k + 64] = held.sum(1)
     sums[:, :DIMENSIONS] /= np.maximum(counts, 1)[:, None]
     sums[:, DIMENSIONS:] /= np.maximum(total, 1e-12)[:, None]
-    return sums / _PIECE
+    return sums
 
 
 def _pooled_rows(vocabulary: np.ndarray, vectors: np.ndarray, share: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weight = pooling_table(vectors, share)
         for part, row, counts in _numbered(batches, vocabulary, len(share) - len(vocabulary)):
-            x = pooled(row, counts, table, weight)
+            x = pooled(row, counts, vectors, share)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["doc_id", "y", "x"])
 
     return rows
@@ -220,9 +213,8 @@ class Network:
 
 def _scored(vocabulary: np.ndarray, vectors: np.ndarray, share: np.ndarray, network: Network | None, prior: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weight = pooling_table(vectors, share)
         for part, row, counts in _numbered(batches, vocabulary, len(share) - len(vocabulary)):
-            scores = network.probabilities(pooled(row, counts, table, weight)) if network else np.full(part.num_rows, prior)
+            scores = network.probabilities(pooled(row, counts, vectors, share)) if network else np.full(part.num_rows, prior)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
 
     return scored
