@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..staging import written
+from .ordering import cumulated, percentiles
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -24,14 +26,17 @@ def best_threshold(df: DataFrame) -> DataFrame:
     """threshold and balanced accuracy of the best cutoff for (score, answerable): refuse what is below it.
 
     Cutoffs are 0, 1 and the midpoints of neighbouring scores (1 after the last); ties go to
-    the lowest. Counts below a midpoint are running sums over the distinct scores, so no
-    cutoff meets all rows.
+    the lowest. Counts below a midpoint are running sums over the distinct scores, taken by
+    ranges of the score, so no cutoff meets all rows and no task all scores.
     """
-    scores = df.groupBy("score").agg(F.count_if("answerable").alias("a"), F.count_if(~F.col("answerable")).alias("u"))
-    along = Window.orderBy("score")  # one row a distinct score
+    scores = written(df.groupBy("score").agg(F.count_if("answerable").alias("a"), F.count_if(~F.col("answerable")).alias("u")), "scores")
     totals = scores.agg(F.sum("a").alias("all_a"), F.sum("u").alias("all_u"))
-    run = scores.select("score", F.lead("score", 1, 1.0).over(along).alias("next"), F.sum("a").over(along).alias("below_a"), F.sum("u").over(along).alias("below_u"))
-    middles = run.where("score < next").select(((F.col("score") + F.col("next")) / 2).alias("t"), "below_a", "below_u")
+    run = written(cumulated(scores, [F.col("score")], {"a": "before_a", "u": "before_u"}), "running-scores")
+    # neighbours share a count: of the rows up to the lower score, and of those before the higher one
+    lower = run.select((F.col("before_a") + F.col("a")).alias("below_a"), (F.col("before_u") + F.col("u")).alias("below_u"), F.col("score").alias("low"))
+    higher = run.select(F.col("before_a").alias("below_a"), F.col("before_u").alias("below_u"), F.col("score").alias("next"))
+    pairs = lower.join(higher, ["below_a", "below_u"], "left").select("low", F.coalesce("next", F.lit(1.0)).alias("next"), "below_a", "below_u")
+    middles = pairs.where("low < next").select(((F.col("low") + F.col("next")) / 2).alias("t"), "below_a", "below_u")
     below = lambda t: scores.agg(F.lit(float(t)).alias("t"), F.coalesce(F.sum(F.when(F.col("score") < t, F.col("a"))), F.lit(0)).alias("below_a"), F.coalesce(F.sum(F.when(F.col("score") < t, F.col("u"))), F.lit(0)).alias("below_u"))
     every = middles.unionByName(below(0)).unionByName(below(1)).crossJoin(F.broadcast(totals))  # totals: one row
     rated = every.select("t", "below_a", "below_u", ((F.col("below_u") / F.col("all_u") + (F.col("all_a") - F.col("below_a")) / F.col("all_a")) / 2).alias("balanced_accuracy"))
@@ -40,5 +45,4 @@ def best_threshold(df: DataFrame) -> DataFrame:
 
 def latency_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Linear-interpolated percentiles and the mean."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.avg(value).alias("mean"))
+    return percentiles(df, group, value, {"p50": 0.5, "p95": 0.95})

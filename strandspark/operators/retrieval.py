@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine_to, rrf
+from ..staging import written
 
-#: Rows of data and of queries that meet in one task.
-DATA_BLOCK, QUERY_BLOCK = 8_192, 1_024
+#: Rows of a block of data and of a block of queries, and blocks of queries that meet a block of data in one task.
+DATA_BLOCK, QUERY_BLOCK, LOT = 8_192, 1_024, 16
+#: Most tasks of a batch.
+MOST_TASKS = 20_000
 
 
 def in_scope(df: DataFrame, column: str, scope) -> DataFrame:
@@ -53,30 +57,45 @@ def refused(score: Column, cutoff: float) -> Column:
     return F.coalesce(score, F.lit(0.0)) < cutoff
 
 
-def _blocks(rows: int):
+def _blocks(rows: int, name: str):
+    """Rows packed into blocks; a block's number is the task's and its own, so it is the same when the task is repeated."""
+
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n = TaskContext.get().partitionId(), 0
         for frame in frames:
             for k in range(0, len(frame), rows):
                 part = frame.iloc[k : k + rows]
-                yield pd.DataFrame({"ids": [part.id.to_numpy()], "groups": [part.grp.to_numpy()], "flat": [np.concatenate([np.asarray(v, np.float64) for v in part.vector])]})
+                yield pd.DataFrame({name: [task << 32 | n], "ids": [part.id.to_numpy()], "groups": [part.grp.to_numpy()], "flat": [np.concatenate([np.asarray(v, np.float64) for v in part.vector])]})
+                n += 1
 
     return blocks
 
 
+def _unit_rows(x) -> np.ndarray:
+    flat = np.asarray(x.flat, np.float64).reshape(len(x.ids), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+
+
 def _best(k: int):
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for x in frame.itertuples():
-                q, d = x.q_flat.reshape(len(x.q_ids), -1), x.flat.reshape(len(x.ids), -1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T, 9)
-                s[np.isnan(s)] = -np.inf
-                s[np.asarray(x.q_ids)[:, None] == np.asarray(x.ids)[None, :]] = -np.inf
-                for i, row in enumerate(s):
-                    kth = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
-                    take = np.flatnonzero((row >= kth) & (row > -np.inf))
-                    take = take[np.lexsort((np.asarray(x.ids)[take], -row[take]))[:k]]
-                    yield pd.DataFrame({"query_id": x.q_ids[i], "query_group": x.q_groups[i], "id": np.asarray(x.ids)[take], "grp": np.asarray(x.groups)[take], "similarity": row[take]})
+    """The k nearest rows of one block for each query of a lot, by a matrix product for each block of queries."""
+
+    def best(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "query_group": np.empty(0, np.int64), "id": np.empty(0, np.int64), "grp": np.empty(0, np.int64), "similarity": np.empty(0)})]
+        for d in data.itertuples():
+            ids, groups, rows = np.asarray(d.ids), np.asarray(d.groups), _unit_rows(d)
+            for x in asked.itertuples():
+                s = np.round(_unit_rows(x) @ rows.T, 9)
+                s[np.isnan(s) | (np.asarray(x.ids)[:, None] == ids[None, :])] = -np.inf
+                kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+                row, at = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
+                order = np.lexsort((ids[at], -s[row, at], row))
+                row, at = row[order], at[order]
+                first = np.searchsorted(row, row)
+                take = np.arange(len(row)) - first < k
+                row, at = row[take], at[take]
+                out.append(pd.DataFrame({"query_id": np.asarray(x.ids)[row], "query_group": np.asarray(x.groups)[row], "id": ids[at], "grp": groups[at], "similarity": s[row, at]}))
+        return pd.concat(out)
 
     return best
 
@@ -84,12 +103,20 @@ def _best(k: int):
 def batch_top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest rows of ``data`` (id, grp, vector) for each query, the query's own id left out.
 
-    Both sides are packed into blocks, a row each, and every pair of blocks is one
-    matrix product; a pair returns k rows a query, so ranks are taken over few rows.
+    Both sides are packed into blocks, a row each, and written. A block of data meets
+    the queries in lots of LOT blocks: it travels once for each lot, a task holds one
+    block and one lot, and returns k rows a query, so ranks are taken over few rows.
     """
     packed = "ids array<long>, groups array<long>, flat array<double>"
     usable = lambda df: df.where("id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long"), F.col("grp").cast("long"), F.col("vector").cast("array<double>"))
-    left = usable(queries).mapInPandas(_blocks(QUERY_BLOCK), packed).toDF("q_ids", "q_groups", "q_flat")
-    right = usable(data).mapInPandas(_blocks(DATA_BLOCK), packed)
-    found = right.crossJoin(left).mapInPandas(_best(k), "query_id long, query_group long, id long, grp long, similarity double")  # blocks, not rows
-    return ranked(found, [F.col("similarity").desc(), "id"], within=("query_id",)).where(F.col("rank") <= k)
+    asked = written(usable(queries).mapInPandas(_blocks(QUERY_BLOCK, "q"), f"q long, {packed}"), "query-blocks")
+    held = written(usable(data).mapInPandas(_blocks(DATA_BLOCK, "block"), f"block long, {packed}"), "data-blocks")
+    lots = max(1, -(-asked.count() // LOT))
+    every = F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))
+    # which blocks there are is a number each; the queries are copied to each of them, the blocks to each lot
+    left = held.select("*", every.alias("lot"))
+    right = asked.withColumn("lot", F.pmod(F.xxhash64("q"), F.lit(lots)).cast("int")).join(held.select("block", every.alias("lot")), "lot").select("block", "lot", "q", "ids", "groups", "flat")
+    tasks = max(1, min(MOST_TASKS, held.count() * lots))
+    found = left.repartition(tasks, "block", "lot").groupBy("block", "lot").cogroup(right.withColumnsRenamed({"block": "of_block", "lot": "of_lot"}).repartition(tasks, "of_block", "of_lot").groupBy("of_block", "of_lot"))
+    near = found.applyInPandas(_best(k), "query_id long, query_group long, id long, grp long, similarity double")
+    return ranked(near, [F.col("similarity").desc(), "id"], within=("query_id",)).where(F.col("rank") <= k)
