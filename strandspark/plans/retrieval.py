@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.vectors import clamped, cosine_to
 from ..operators import fulltext, retrieval
+from ..operators.ordering import global_rank
+from ..staging import spread
 from .common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -129,12 +131,10 @@ QUALIFY row_number() OVER (PARTITION BY s.vec_id ORDER BY similarity DESC, e.vec
 
 
 def q_exact_rank(spark, sf_dir):
-    """Rank of each group's best row among all rows: one more than those before it."""
+    """Rank of each group's best row among all rows, from one sort by ranges."""
     scored = _chunks(spark, sf_dir).where("vector IS NOT NULL AND id <> 0").select("id", "grp", F.round(cosine_to(F.col("vector"), _query(spark, sf_dir)), 9).alias("s"))
-    best = scored.groupBy("grp").agg(F.max(F.struct("s", (-F.col("id")).alias("i"))).alias("b")).select("grp", F.col("b.s").alias("bs"), (-F.col("b.i")).alias("bi"))
-    closer = scored.select("id", "s").join(best, (F.col("s") > F.col("bs")) | ((F.col("s") == F.col("bs")) & (F.col("id") < F.col("bi"))))  # the stated gold rows against all
-    ranks = closer.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    return best.join(ranks, "grp", "left").select(F.col("grp").cast("int").alias("label"), F.col("bi").alias("vec_id"), (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("rank"))
+    ranks = global_rank(scored, [F.col("s").desc(), F.col("id")])
+    return ranks.groupBy(F.col("grp").cast("int").alias("label")).agg(F.min_by("id", "rank").alias("vec_id"), F.min("rank").cast("long").alias("rank"))
 
 
 QUERIES["q_exact_rank"] = q_exact_rank
@@ -183,7 +183,7 @@ ORACLE_SQL["q_metrics_by_group"] = f"WITH {_batch_sql(5)}, {_PER} SELECT query_g
 
 
 def _docs_and_questions(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def q_text_and_match(spark, sf_dir):
@@ -197,8 +197,7 @@ ORACLE_SQL["q_text_and_match"] = f"WITH {_HELD} SELECT query_id, doc_id FROM q J
 
 def q_text_or_match(spark, sf_dir):
     """The ten documents with most of each question's terms."""
-    found = fulltext.any_terms_match(*_docs_and_questions(spark, sf_dir))
-    return retrieval.ranked(found, [F.col("n_terms").desc(), "id"], within=("query_id",)).where("rank <= 10").select("query_id", "rank", F.col("id").alias("doc_id"), "n_terms")
+    return fulltext.most_terms_match(*_docs_and_questions(spark, sf_dir), 10).select("query_id", "rank", F.col("id").alias("doc_id"), "n_terms")
 
 
 QUERIES["q_text_or_match"] = q_text_or_match
