@@ -1,10 +1,11 @@
-"""Text expressions: cleaning, rules, terms, citations, redaction. All are JVM-side columns."""
+"""Text expressions: cleaning, rules, terms, citations, redaction. All are JVM-side columns, but for HTML entities."""
 
 from __future__ import annotations
 
 import html
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +36,35 @@ REDACTIONS = (
 # End of the fixed values.
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(texts: pd.Series) -> pd.Series:
+def _plain(texts: pa.Array) -> pa.Array:
+    """Entities to characters; texts without an ampersand aren't touched."""
+    some = pc.fill_null(pc.match_substring(texts, "&"), False)
+    return pc.replace_with_mask(texts, some, pa.array([html.unescape(t) for t in texts.filter(some).to_pylist()], texts.type))
+
+
+@F.arrow_udf(T.StringType())
+def html_unescape(texts: pa.Array) -> pa.Array:
     """HTML entities to characters; Spark has no such function."""
-    return texts.map(html.unescape, na_action="ignore")
+    return _plain(texts)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def unescaped(texts: pa.Array) -> pa.Array:
+    """The same for all texts of a row at once."""
+    return pa.ListArray.from_arrays(texts.offsets, _plain(texts.values), mask=texts.is_null()) if texts.null_count else pa.ListArray.from_arrays(texts.offsets, _plain(texts.values))
+
+
+#: White space of any script, the separators U+001C to U+001F included.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends; Spark's trim knows the space only."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE_SPACE))
 
 
 def normal_title(x: Column) -> Column:
-    return strip(F.regexp_replace(F.translate(x, "\0", ""), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.translate(x, "\0", ""), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def normal_body(x: Column) -> Column:
@@ -61,17 +78,27 @@ def redacted(x: Column) -> Column:
     return x
 
 
-def rule_label(title: Column, body: Column) -> tuple[Column, Column]:
-    """Label and confidence: a signal in the title decides, else the signal found most often, if only one is."""
+def rule_label(title: Column, body: Column) -> Column:
+    """Struct of label and confidence: a signal in the title decides, else the signal found most often, if only one is.
+
+    The counts are the elements of an array that a lambda gets, so each text is searched
+    once for each kind of signal.
+    """
+    kinds = ("bug", "feature", "usage")
     title = F.coalesce(title, F.lit(""))
-    text = strip(F.concat_ws("\n", title, F.coalesce(body, F.lit(""))))
-    counts = {name: F.regexp_count(text, F.lit(p)) for name, p in (("bug", BUG_SIGNALS), ("feature", FEATURE_SIGNALS), ("usage", USAGE_SIGNALS))}
-    most = F.greatest(*counts.values())
-    alone = sum((n == most).cast("int") for n in counts.values()) == 1
-    by_count = F.when((most > 0) & alone, F.coalesce(*[F.when(n == most, F.lit(name)) for name, n in counts.items()]))
+    text = F.concat_ws("\n", title, F.coalesce(body, F.lit("")))
+    counts = F.array(*[F.regexp_count(text, F.lit(p)) for p in (BUG_SIGNALS, FEATURE_SIGNALS, USAGE_SIGNALS)])
     in_title = F.when(title.rlike(FEATURE_SIGNALS), "feature").when(title.rlike(BUG_SIGNALS), "bug").when(title.rlike(USAGE_SIGNALS), "usage")
-    confidence = F.when(in_title.isNotNull(), "high").when(by_count.isNotNull() & (most >= 2), "medium").otherwise("low")
-    return F.coalesce(in_title, by_count, F.lit("unknown")), confidence
+
+    def decided(found: Column) -> Column:
+        n, by_title = found["n"], found["by_title"]
+        most = F.array_max(n)
+        alone = F.size(F.filter(n, lambda x: x == most)) == 1
+        by_count = F.when((most > 0) & alone, F.element_at(F.array(*map(F.lit, kinds)), F.array_position(n, most).cast("int")))
+        confidence = F.when(by_title.isNotNull(), "high").when(by_count.isNotNull() & (most >= 2), "medium").otherwise("low")
+        return F.struct(F.coalesce(by_title, by_count, F.lit("unknown")).alias("label"), confidence.alias("confidence"))
+
+    return F.get(F.transform(F.array(F.struct(counts.alias("n"), in_title.alias("by_title"))), decided), F.lit(0))
 
 
 def is_abstention(answer: Column) -> Column:

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import chunking
 from ..operators.cleaning import MAINTAINERS, clean_threads, first_reason
 from ..operators.tables import first_wins
+from ..staging import spread
 from .common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -86,17 +87,13 @@ def q_chunk_identity(spark, sf_dir):
     return docs.select("doc_id", identity.uuid5(NAMESPACE, name).alias("chunk_id"))
 
 
-def _threads(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # a conversation's turns
-
-
 def q_resolution_argmax(spark, sf_dir):
-    """The last assistant turn before the last turn of each conversation."""
-    turns = F.col("turns")
-    before = F.filter(turns, lambda t: (t["turn"] < F.array_max(F.transform(turns, lambda x: x["turn"]))) & (t["role"] == "assistant"))
-    last = F.array_max(before)
-    return _threads(spark, sf_dir).select("conv_id", last["turn"].alias("turn"), F.md5(last["text"]).alias("resolution"))
+    """The last assistant turn before the last turn of each conversation: two aggregates that combine before the shuffle."""
+    turns = table(spark, sf_dir, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    said = turns.where("role = 'assistant'").join(last, "conv_id").where("turn < last")
+    best = said.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("b"))
+    return last.join(best, "conv_id", "left").select("conv_id", F.col("b.turn").alias("turn"), F.md5("b.text").alias("resolution"))
 
 
 ORACLE_SQL["q_resolution_argmax"] = """
@@ -105,10 +102,10 @@ SELECT conv_id, max(turn) FILTER (role = 'assistant' AND turn < last) AS turn, m
 
 
 def q_nested_comments(spark, sf_dir):
-    threads = _threads(spark, sf_dir)
-    said = lambda role: F.size(F.filter("turns", lambda t: t["role"] == role)).cast("long")
-    total = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t["text"]), F.lit(0)))
-    return threads.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said("user").alias("n_user"), said("assistant").alias("n_assistant"), total.alias("n_chars"))
+    """Counts over the comments of each thread, which are flat rows: nothing is nested to be counted."""
+    said = lambda role: F.count_if(F.col("role") == role)
+    total = F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), said("user").alias("n_user"), said("assistant").alias("n_assistant"), total.alias("n_chars"))
 
 
 ORACLE_SQL["q_nested_comments"] = """SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, count(*) FILTER (role = 'assistant') AS n_assistant,
@@ -116,9 +113,9 @@ coalesce(sum(length(text)), 0)::bigint AS n_chars FROM conversations GROUP BY co
 
 
 def q_exists_in_array(spark, sf_dir):
-    """Conversations with a blank or overlong turn: no join, a test within the array."""
-    odd = F.exists("turns", lambda t: (F.trim(F.coalesce(t["text"], F.lit(""))) == "") | (F.length(t["text"]) > 400))
-    return _threads(spark, sf_dir).select("conv_id", odd.alias("odd"))
+    """Conversations with a blank or overlong turn: no join, an aggregate of a test."""
+    odd = (F.trim(F.coalesce("text", F.lit(""))) == "") | (F.length("text") > 400)
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(odd).alias("odd"))
 
 
 ORACLE_SQL["q_exists_in_array"] = "SELECT conv_id, bool_or(trim(coalesce(text, '')) = '' OR length(text) > 400) AS odd FROM conversations GROUP BY conv_id"
@@ -145,11 +142,22 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, w,
 SELECT doc_id, (a // 600)::bigint AS piece, len(w[a + 1:a + 700])::bigint AS n_words, md5(array_to_string(w[a + 1:a + 700], ' ')) AS h FROM s"""
 
 
+def chunk_threads(spark, sf_dir):
+    """Every document as a thread: a title for two of three, the conversation of its number as comments, for some a resolution."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("repository"), F.col("doc_id").alias("issue_number"), F.col("text").alias("body"), F.md5("text").alias("content_hash"))
+    turns = table(spark, sf_dir, "conversations")
+    url = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://github.com/x/"), F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string")))
+    said = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("body"), url.alias("html_url")))).alias("comments"), F.min_by("text", "turn").alias("opening"))
+    at = docs.join(said, F.col("issue_number") == F.col("conv_id"), "left")
+    title = F.when(F.col("issue_number") % 3 != 0, F.concat(F.lit("Document "), F.col("issue_number").cast("string")))
+    resolution = F.when(F.col("issue_number") % 5 == 0, F.col("opening"))
+    return at.select("repository", "issue_number", "content_hash", title.alias("title"), "body", F.concat(F.lit("https://github.com/x/"), F.col("issue_number").cast("string")).alias("github_url"), "comments", resolution.alias("resolution_text"), F.lit("low").alias("resolution_confidence"))
+
+
 def q_chunks_packed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    prefixed = F.concat(F.lit("Repository: "), F.coalesce("source", F.lit("")), F.lit("\nIssue: #"), F.col("doc_id").cast("string"), F.lit("\n\n"), tx.strip(F.col("text")))
-    found = chunking.chunked(docs.where(tx.strip(F.col("text")) != "").select(F.col("doc_id").alias("source"), prefixed.alias("text")))
-    return found.select(F.col("source").alias("doc_id"), "piece", "n_tokens", F.md5("chunk").alias("h"))
+    """The chunks of whole threads, with their ids."""
+    found = chunking.thread_chunks(spread(chunk_threads(spark, sf_dir)))
+    return found.select("chunk_id", F.col("issue_number").alias("doc_id"), "chunk_type", "chunk_index", "n_tokens", "source_url", F.md5("chunk_text").alias("h"))
 
 
 def q_chunk_summary(spark, sf_dir):
@@ -165,9 +173,8 @@ SELECT lang, count(*) AS n_chunks, sum(len(w[a + 1:a + 700]))::bigint AS n_words
 def q_classify_rules(spark, sf_dir):
     """Every letter beyond ASCII counts as a word character in both engines."""
     ascii_text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "_")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index(ascii_text, "\n", 1).alias("title"), ascii_text.alias("body"))
-    label, confidence = tx.rule_label(F.col("title"), F.col("body"))
-    return docs.select("doc_id", label.alias("label"), confidence.alias("confidence"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.substring_index(ascii_text, "\n", 1).alias("title"), ascii_text.alias("body"))
+    return docs.select("doc_id", tx.rule_label(F.col("title"), F.col("body")).alias("r")).select("doc_id", "r.*")
 
 
 _COUNT = lambda p: f"len(regexp_extract_all(t, '{p}'))"
@@ -182,7 +189,7 @@ SELECT doc_id, coalesce(x, y, 'unknown') AS label, CASE WHEN x IS NOT NULL THEN
 
 
 def q_redact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tx.redacted(F.col("text")).alias("safe"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", tx.redacted(F.col("text")).alias("safe"))
     return docs.select("doc_id", (F.col("safe") != F.col("text")).alias("changed"), F.md5("safe").alias("h"))
 
 
@@ -242,7 +249,7 @@ def q_clean_threads(spark, sf_dir):
     threads = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(comment)).alias("comments"))
     issue = F.struct(F.when(F.col("doc_id") % 17 != 3, F.col("doc_id") % 900).alias("number"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.concat(F.lit("https://github.com/x/"), F.col("doc_id").cast("string")).alias("html_url"), F.lit("1970-01-01T00:03:00Z").alias("closed_at"))
     raw = docs.join(threads, F.col("doc_id") == F.col("conv_id"), "left").select("repository", F.col("doc_id").alias("seq"), F.to_json(F.struct(issue.alias("issue"), F.coalesce("comments", F.array().cast(threads.schema["comments"].dataType)).alias("comments"))).alias("json"))
-    good, bad = clean_threads(raw)
+    good, bad = clean_threads(spread(raw))
     rows = good.select("seq", F.lit("valid").alias("reason"), "comment_count", "resolution_heuristic", F.length("content_hash").alias("n_hash"))
     return rows.unionByName(bad.select("seq", "reason"), allowMissingColumns=True)
 
@@ -274,7 +281,7 @@ def q_clean_threads_all(spark, sf_dir):
     closed = F.when(F.col("copy") == 0, "1970-01-01T00:03:00Z").otherwise("1970-01-01T00:09:00Z")
     issue = F.struct(F.when(F.col("doc_id") % 17 != 3, F.col("doc_id")).alias("number"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.concat(F.lit("https://github.com/x/"), F.col("doc_id").cast("string")).alias("html_url"), closed.alias("closed_at"))
     raw = docs.join(threads, F.col("doc_id") == F.col("conv_id"), "left").select("repository", (F.col("doc_id") * 2 + F.col("copy")).alias("seq"), F.to_json(F.struct(issue.alias("issue"), F.coalesce("comments", F.array().cast(threads.schema["comments"].dataType)).alias("comments"))).alias("json"))
-    good, bad = clean_threads(raw)
+    good, bad = clean_threads(spread(raw))
     rows = good.select("seq", F.lit("valid").alias("reason"), "comment_count", "resolution_heuristic", F.md5("title").alias("title"), F.md5("body").alias("body"), F.md5("resolution_text").alias("resolution"), "content_hash")
     return rows.unionByName(bad.select("seq", "reason"), allowMissingColumns=True)
 

@@ -8,7 +8,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import urlencode, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -16,7 +16,11 @@ _NEXT = re.compile(r'<([^>]+)>\s*;\s*rel="?next"?')
 
 
 class PagedJson(DataSource):
-    """``format("paged_json")``: options urls (comma-separated), hosts (allowed), token, attempts, most_wait.
+    """``format("paged_json")``: options urls (comma-separated), hosts (allowed), token, attempts, most_wait, since, without, most.
+
+    ``since`` is sent with each start address; elements with the key ``without`` are
+    skipped; a start address gives at most ``most`` elements, and no page is fetched
+    beyond them.
 
     Rows have url, page (from 1), position (from 0) and json, an element of the page's
     list each. Credentials go to allowed hosts only. A repeated task reads its pages
@@ -40,6 +44,9 @@ class _Reader(DataSourceReader):
         self.hosts = set(options["hosts"].split(","))
         self.token = options.get("token")
         self.attempts, self.most_wait = int(options.get("attempts", 5)), float(options.get("most_wait", 60))
+        self.without, self.most = options.get("without"), int(options["most"]) if "most" in options else None
+        if since := options.get("since"):
+            self.urls = [f"{u}{'&' if '?' in u else '?'}{urlencode({'since': since})}" for u in self.urls]
         for url in self.urls:
             self._allowed(url)
 
@@ -66,9 +73,14 @@ class _Reader(DataSourceReader):
         raise RuntimeError("no attempt was made")
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        url, page = partition.value, 1
-        while url:
+        url, page, left = partition.value, 1, self.most
+        while url and left != 0:
             items, following = self._fetch(url)
             for i, item in enumerate(items):
+                if left == 0:
+                    break
+                if self.without and isinstance(item, dict) and self.without in item:
+                    continue
                 yield partition.value, page, i, json.dumps(item)
+                left = None if left is None else left - 1
             url, page = following, page + 1

@@ -46,8 +46,7 @@ def test_redaction(spark, text, safe):
     ],
 )
 def test_rules(spark, title, body, label, confidence):
-    a, b = tx.rule_label(F.col("t"), F.col("b"))
-    assert one(spark, F.struct(a.alias("a"), b.alias("b")), t=title, b=body) == (label, confidence)
+    assert one(spark, tx.rule_label(F.col("t"), F.col("b")), t=title, b=body) == (label, confidence)
 
 
 def test_text_functions(spark):
@@ -80,11 +79,11 @@ def test_fusion_and_collapse(spark):
 def test_chunks_keep_text_and_size(spark):
     text = "Intro line.\n\n```py\n" + "x = 1\n" * 30 + "```\n\n" + "word " * 400
     for size, overlap in ((50, 10), (1000, 10)):
-        chunks = list(chunking.packed(text, size, overlap))
-        assert all(len(c) <= size for c in chunks)
-        joined = "".join("".join(c) for c in chunks)
+        chunks = list(chunking.packed(text, size, overlap, chunking.words()))
+        assert all(n <= size for _, n in chunks)
+        joined = "".join(c for c, _ in chunks)
         assert set(text.split()) <= set(joined.split())
-    assert "".join(chunks[0]) == text and len(chunks) == 1
+    assert chunks[0][0] == text and len(chunks) == 1
     rows = spark.createDataFrame([(1, text), (2, None), (3, " ")], "source long, text string")
     assert {r.source for r in chunking.chunked(rows).collect()} == {1}
 
