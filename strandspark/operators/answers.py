@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -85,6 +88,67 @@ def safe_excerpt(x: Column) -> Column:
     return without_unsafe_blocks(tx.redacted(x))
 
 
+def or_query(x: Column) -> Column:
+    """A question's words with OR in between, for a web-search query."""
+    return F.array_join(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""), " OR ")
+
+
+@F.pandas_udf(T.StringType())
+def safe_payload(payloads: pd.Series) -> pd.Series:
+    """JSON text in which every excerpt and answer, at any depth, is masked; unsafe answers are withheld, all else stays."""
+    unsafe = re.compile(UNSAFE_SETTINGS)
+    rules = [(re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", to)) for pattern, to in tx.REDACTIONS]
+
+    def masked(text: str) -> str:
+        for rule, to in rules:
+            text = rule.sub(to, text)
+        return _FENCED.sub(lambda m: OMITTED_EXAMPLE + "\n" if unsafe.search(m[0]) else m[0], text)
+
+    def safe(key: str | None, value):
+        if isinstance(value, dict):
+            return {k: safe(k, v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [safe(None, v) for v in value]
+        if isinstance(value, str) and key in ("answer", "excerpt", "chunk_text"):
+            return UNSAFE_SETTINGS_ANSWER if key == "answer" and unsafe.search(value) else masked(value)
+        return value
+
+    return payloads.map(lambda p: json.dumps(safe(None, json.loads(p)), ensure_ascii=False), na_action="ignore")
+
+
+def prompts(rows, limit: int, template: str, tokenizer: Callable[[], tuple], reserve: int = 0):
+    """``rows`` (id, question, evidence) with messages, excerpts and truncated, for a token limit.
+
+    ``evidence`` is an array of JSON objects with an excerpt each. All of them are kept,
+    in order; if the whole message, roles included, has too many tokens, every excerpt is
+    cut to the greatest common length that fits, and says whether it was cut. Nulls where
+    even empty excerpts don't fit. ``template`` has the place {retrieved_chunks}.
+    """
+
+    def pack(frames):
+        encode, _ = tokenizer()
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                items = [json.loads(e) for e in row.evidence]
+
+                def written(size, question=row.question, items=items):
+                    shown = items if size is None else [{**x, "excerpt": x["excerpt"][:size], "excerpt_truncated": len(x["excerpt"]) > size} for x in items]
+                    return [{"role": "system", "content": template.replace("{retrieved_chunks}", json.dumps(shown, ensure_ascii=False))}, {"role": "user", "content": question}], [x["excerpt"] for x in shown]
+
+                cost = lambda size: reserve + sum(len(encode(text)) for m in written(size)[0] for text in m.values())  # noqa: E731, B023
+                size = None
+                if cost(None) > limit:
+                    longest = max((len(x["excerpt"]) for x in items), default=0)
+                    size = bisect.bisect_right(range(longest + 1), limit, key=cost) - 1
+                messages, excerpts = written(size) if size is None or size >= 0 else (None, None)
+                out.append((row.id, messages and json.dumps(messages, ensure_ascii=False), excerpts, size is not None))
+            yield pd.DataFrame(out, columns=["id", "messages", "excerpts", "truncated"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "question", "evidence").mapInPandas(pack, f"id {kind}, messages string, excerpts array<string>, truncated boolean")
+
+
 def answer_state(answer: Column, refused: Column) -> Column:
     return F.when(refused, "blocked").when(tx.is_abstention(answer), "abstained").when(F.size(tx.citations(answer)) > 0, "cited").otherwise("uncited")
 

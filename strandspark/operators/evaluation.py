@@ -22,6 +22,14 @@ def precision_recall(counts: DataFrame) -> DataFrame:
     return per.select("*", rate(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"))
 
 
+def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """One row: n, accuracy, and the mean F1 of the classes that have rows."""
+    counts = confusion(df, actual, predicted)
+    whole = counts.agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    macro = precision_recall(counts).where("support > 0").agg(F.avg("f1").alias("macro_f1"))
+    return whole.crossJoin(F.broadcast(macro))  # one row each
+
+
 def best_threshold(df: DataFrame) -> DataFrame:
     """threshold and balanced accuracy of the best cutoff for (score, answerable): refuse what is below it.
 

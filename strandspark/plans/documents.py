@@ -48,12 +48,12 @@ SELECT source, reason, count(*) AS n FROM r GROUP BY ROLLUP (source, reason)"""
 
 def q_normalize_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.md5(tx.normal_body(F.col("text"))).alias("body"), F.md5(tx.normal_title(F.substring("text", 1, 200))).alias("title"))
+    return docs.select("doc_id", F.md5(tx.normal_body(F.col("text"))).alias("body"), F.md5(tx.normal_title(F.col("text"))).alias("title"))
 
 
 _WS = r"[ \t\n\x0b\f\r]"
 ORACLE_SQL["q_normalize_text"] = rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^{_WS}+', ''), '{_WS}+$', '')) AS body,
-md5(regexp_replace(regexp_replace(regexp_replace(substring(text, 1, 200), '{_WS}+', ' ', 'g'), '^ +', ''), ' +$', '')) AS title FROM documents"""
+md5(regexp_replace(regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), '^ +', ''), ' +$', '')) AS title FROM documents"""
 
 
 def q_html_unescape(spark, sf_dir):
@@ -62,6 +62,10 @@ def q_html_unescape(spark, sf_dir):
     return pages.select("page_id", tx.normal_title(tx.html_unescape(title)).alias("title"))
 
 
+#: The entities that the pages' titles have.
+ORACLE_SQL["q_html_unescape"] = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages"""
+
+
 def q_url_validation(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     url = F.col("url")
@@ -87,6 +91,11 @@ def q_chunk_identity(spark, sf_dir):
     return docs.select("doc_id", identity.uuid5(NAMESPACE, name).alias("chunk_id"))
 
 
+ORACLE_SQL["q_chunk_identity"] = f"""
+WITH h AS (SELECT doc_id, sha1(unhex('{NAMESPACE.hex}') || encode(coalesce(source, '') || chr(0) || doc_id || chr(0) || 'issue_body' || chr(0) || '0')) AS h FROM documents)
+SELECT doc_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substring('89ab', 1 + (instr('0123456789abcdef', h[17:17]) - 1)::int % 4, 1) || h[18:20], h[21:32]) AS chunk_id FROM h"""
+
+
 def q_resolution_argmax(spark, sf_dir):
     """The last assistant turn before the last turn of each conversation: two aggregates that combine before the shuffle."""
     turns = table(spark, sf_dir, "conversations")
@@ -214,7 +223,7 @@ ORACLE_SQL["q_redact"] = _redact_sql()
 
 def q_citations(spark, sf_dir):
     """References of answers made from the questions, joined to the ranked sources by number."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("See [1] and ![2](x) or [3](y), "), F.substring("text", 1, 40), F.lit(" [2]. Then [7].")).alias("answer"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("See [1] and ![2](x) or [3](y), "), F.col("text"), F.lit(" [2]. Then [7].")).alias("answer"))
     refs = asked.select("item_id", F.posexplode(tx.citations(F.col("answer"))).alias("at", "number"))
     sources = table(spark, sf_dir, "nation").where("n_nationkey < 5").select((F.col("n_nationkey") + 1).alias("rank"), "n_name")
     return refs.join(F.broadcast(sources), F.col("number") == F.col("rank"), "left").select("item_id", F.col("at").cast("long").alias("pos"), F.col("number").cast("long").alias("number"), F.col("n_name").alias("source"))  # five sources

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import ann, answers, fulltext, retrieval
 from ..operators import tables as tb
@@ -82,11 +83,10 @@ SELECT conv_id, CASE WHEN room >= 0 THEN list_max(list_filter(range(0, list_max(
 
 
 def _answers(spark, sf_dir):
-    """Assistant turns as answers, the turns before them as evidence."""
-    threads = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    at = threads.select("conv_id", "turns", F.explode("turns").alias("t")).where("t.role = 'assistant'")
-    chunks = F.transform(F.filter("turns", lambda x: x["turn"] < F.col("t.turn")), lambda x: F.coalesce(x["text"], F.lit("")))
-    return at.select("conv_id", F.col("t.turn").alias("turn"), F.concat(F.coalesce("t.text", F.lit("")), F.lit(" [1]")).alias("answer"), chunks.alias("chunks"))
+    """Assistant turns as answers, the five turns before each of them as its evidence."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, -1)
+    at = table(spark, sf_dir, "conversations").withColumn("chunks", F.collect_list(F.coalesce("text", F.lit(""))).over(before)).where("role = 'assistant'")
+    return at.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" [1]")).alias("answer"), "chunks")
 
 
 def q_generation_metrics(spark, sf_dir):
