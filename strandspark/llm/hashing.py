@@ -54,14 +54,10 @@ def word_spans(text: np.ndarray, classes: np.ndarray = WORDS) -> tuple[np.ndarra
     return np.flatnonzero(change & (kind[1:] != 0)), np.flatnonzero(change & (kind[:-1] != 0))
 
 
-def word_hashes(texts: list[bytes], classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    starts, ends = word_spans(buffer, classes)
-    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a buffer, whose starts and ends both ascend."""
     hashes, k = np.empty(len(starts), np.uint64), 0
-    while k < len(starts):  # pieces bound the power tables; a piece ends with a word
+    while k < len(starts):  # pieces bound the power tables; a piece ends with a span
         a = starts[k]
         to = max(k + 1, int(np.searchsorted(ends, a + _PIECE, "right")))
         piece = buffer[a : ends[to - 1]]
@@ -71,7 +67,20 @@ def word_hashes(texts: list[bytes], classes: np.ndarray = WORDS) -> tuple[np.nda
         s, e = starts[k:to] - a, ends[k:to] - a
         hashes[k:to] = scrambled((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         k = to
-    return hashes, counts
+    return hashes
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One buffer of all texts, each with a separator behind it, and where each begins, the buffer's end last."""
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)]).astype(np.int64)
+    return np.frombuffer(b" ".join(texts) + b" ", np.uint8), begins
+
+
+def word_hashes(texts: list[bytes], classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words of each text."""
+    buffer, begins = joined(texts)
+    starts, ends = word_spans(buffer, classes)
+    return span_hashes(buffer, starts, ends), np.diff(np.searchsorted(starts, begins))
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:

@@ -21,16 +21,15 @@ rows, and scoring reads whole texts.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .hashing import WORDS_AND_MARKS, joined, scrambled, span_hashes, word_spans
 from .folds import held_out, least_hashed, texts_of, training_labels
 
 #: Bounds of the fit: toxic texts, unlabelled texts, features.
@@ -40,26 +39,53 @@ LEAST_TEXTS, BEGINNINGS = 3, (4, 5, 6)
 #: Least log-likelihood ratio of a feature: about one in 100,000 by chance.
 LEAST_RATIO = 10.0
 MEMBERS, STEPS, BATCH, RATE, DECAY = 3, 1_200, 1_024, 0.02, 1e-5
-#: Words whose features a worker remembers, and features that it counts before it passes them on.
-CACHED_WORDS, COUNTED_FEATURES = 200_000, 500_000
+#: Features of texts that a task holds before it counts them and passes them on.
+COUNTED_FEATURES = 4_000_000
 #: Bits of the filter of features that toxic texts have: one megabyte.
 FILTER_BITS = 1 << 23
-_EDGE = b".,;:!?\"'()[]{}<>*$%&#|-_/\\"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def features_of(word: bytes) -> list[int]:
-    """Hashes of the bare lower-case word and of its beginnings."""
-    bare = word.lower().strip(_EDGE)
-    if not bare:
-        return []
-    return [xxhash.xxh64_intdigest(bare) >> 1, *(xxhash.xxh64_intdigest(bare[:n], n) >> 1 for n in BEGINNINGS if len(bare) > n)]
+def _apart(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where the first of each pair of a text and a value is, in ascending order."""
+    pair = scrambled(value + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.sort(np.unique(pair, return_index=True)[1])
+
 
+def text_features(texts: list[bytes], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a text and a feature, each once: its distinct lower-case words, without marks, and their beginnings, as hashes.
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[set[bytes]]]]:
+    With ``bits`` only features whose bit is set.
+    """
+    buffer, begins = joined(texts)
+    buffer = _LOWER[buffer]
+    starts, ends = word_spans(buffer, WORDS_AND_MARKS)
+    word = WORDS_AND_MARKS[buffer[starts]] == 1
+    starts, ends = starts[word], ends[word]
+    text = np.searchsorted(begins, starts, "right") - 1
+    hashes = span_hashes(buffer, starts, ends)
+    first = _apart(text, hashes)
+    starts, ends, text = starts[first], ends[first], text[first]
+    found = [(text, hashes[first])]
+    for n in BEGINNINGS:
+        longer = ends - starts > n
+        found.append((text[longer], scrambled(span_hashes(buffer, starts[longer], starts[longer] + n), n)))
+    text, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    value >>= np.uint64(1)
+    if bits is not None:
+        at = value % np.uint64(FILTER_BITS)
+        kept = (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        text, value = text[kept], value[kept]
+    first = _apart(text, value)
+    return text[first], value[first].view(np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            yield part, [set(t.split()) for t in part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
+        for k in range(0, batch.num_rows, 128):
+            part = batch.slice(k, 128)
+            yield part, part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
 
 
 #: Stands for no feature: what every text has.
@@ -70,27 +96,20 @@ def _counted(bits: np.ndarray | None):
     """feature, and the texts that have it; a task adds up what it meets. With ``bits`` only features whose bit is set."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = Counter(), {}
-        held = None if bits is None else bits.astype("<u8").tobytes()
-
-        def wanted(word: bytes) -> list[int]:
-            found = features_of(word)
-            return found if held is None else [x for x in found if held[x % FILTER_BITS >> 3] >> (x & 7) & 1]
+        held, size, n_texts = [], 0, 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
-
-        for _, texts in _texts(batches):
-            for words in texts:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                for w in words.difference(known):
-                    known[w] = wanted(w)
-                counts.update({x for w in words for x in known[w]})
-            counts[_ANY] += len(texts)
-            if len(counts) > COUNTED_FEATURES:
+            features, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(features), pa.array(n.astype(np.int64))], ["feature", "n"])
+
+        for _, texts in _parts(batches):
+            held.append(text_features(texts, bits)[1])
+            size += len(held[-1])
+            n_texts += len(texts)
+            if size > COUNTED_FEATURES:
                 yield rows()
-                counts.clear()
+                held, size = [], 0
+        held.append(np.full(n_texts, _ANY))
         yield rows()
 
     return counted
@@ -133,25 +152,21 @@ def chosen_features(toxic: DataFrame, mixture: DataFrame, most: int = FEATURES)
     return [r.feature for r in rated.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.col("ratio").desc(), "feature").limit(most).collect()]
 
 
-def _looked_up(index: dict[int, int]) -> Callable[[set[bytes]], list[int]]:
-    """From a text's words to the model's features in it."""
-    known: dict[bytes, tuple[int, ...]] = {}
-
-    def of(words: set[bytes]) -> list[int]:
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in words.difference(known):
-            known[w] = tuple(index[x] for x in features_of(w) if x in index)
-        return sorted({i for w in words for i in known[w]})
-
-    return of
+def _found(texts: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number, in the sorted ``index``, of each of the model's features in each text; ordered."""
+    text, value = text_features(texts)
+    at = np.minimum(np.searchsorted(index, value), max(0, len(index) - 1))
+    known = index[at] == value if len(index) else np.zeros(len(value), bool)
+    order = np.lexsort((at[known], text[known]))
+    return text[known][order], at[known][order]
 
 
-def _sparse(index: dict[int, int]):
+def _sparse(index: np.ndarray):
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _looked_up(index)
-        for part, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "drawn")), pa.array([of(t) for t in texts], pa.list_(pa.int32()))], ["doc_id", "toxic", "drawn", "has"])
+        for part, texts in _parts(batches):
+            text, at = _found(texts, index)
+            offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "drawn")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))], ["doc_id", "toxic", "drawn", "has"])
 
     return sparse
 
@@ -193,8 +208,8 @@ def fitted(toxic: np.ndarray, mixture: np.ndarray, prior: float, seed: int) -> n
     return w.astype(np.float64)
 
 
-def model_of(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[dict[int, int], np.ndarray, float]:
-    """Features, a row of weights for each classifier, and the prior.
+def model_of(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted features, a row of weights for each classifier, and the prior.
 
     The driver holds the bounded sample's rows as bits of the chosen features.
     """
@@ -202,10 +217,10 @@ def model_of(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSIT
     n_toxic, n_all = marks.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     prior = n_toxic / n_all if n_all else 0.0
     if not n_toxic:
-        return {}, np.zeros((0, 1)), prior
+        return np.empty(0, np.int64), np.zeros((0, 1)), prior
     confirmed = marks.where("y = 1").select("doc_id")
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out())
-    index = {h: i for i, h in enumerate(chosen_features(train.join(confirmed, "doc_id", "left_semi"), train))}
+    index = np.sort(np.array(chosen_features(train.join(confirmed, "doc_id", "left_semi"), train), np.int64))
     drawn = least_hashed(train.select("doc_id").where("doc_id IS NOT NULL").distinct(), most_unlabelled)
     ids = least_hashed(confirmed, most_positive).selectExpr("doc_id", "1 AS toxic", "0 AS drawn").unionByName(drawn.selectExpr("doc_id", "0 AS toxic", "1 AS drawn"))
     sample = written(texts_of(train, ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("drawn").alias("drawn"))), "toxicity-sample")
@@ -216,18 +231,17 @@ def model_of(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSIT
         for side, of in zip(sides, (row.toxic, row.drawn), strict=True):
             side += [i] * of
     if not all(sides):
-        return {}, np.zeros((0, 1)), prior
+        return np.empty(0, np.int64), np.zeros((0, 1)), prior
     return index, np.array([fitted(x[sides[0]], x[sides[1]], prior, seed) for seed in range(MEMBERS)]), prior
 
 
-def _scored(index: dict[int, int], weights: np.ndarray, prior: float):
+def _scored(index: np.ndarray, weights: np.ndarray, prior: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _looked_up(index)
-        for part, texts in _texts(batches):
+        for part, texts in _parts(batches):
+            scores = np.full(len(texts), prior)
             if len(weights):
-                scores = [float(sigmoid(weights[:, of(t)].sum(1) + weights[:, -1]).mean()) for t in texts]
-            else:
-                scores = [prior] * part.num_rows
+                text, at = _found(texts, index)
+                scores = np.mean([sigmoid(np.bincount(text, weights=w[at], minlength=len(texts)) + w[-1]) for w in weights], axis=0)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     return scored

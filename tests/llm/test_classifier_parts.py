@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -37,7 +38,7 @@ def test_features_are_those_of_greatest_ratio(spark):
     made = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta,", "Echo"]) for _ in range(6)) + (" villain" if i % 4 == 0 else ""), 1 if i % 4 == 0 else None) for i in range(120)] + [(7, None, None), (8, "", None)]
     p, u = Counter(), Counter()
     for _, text, y in made:
-        has = {x for w in set((text or "").encode().split()) for x in toxicity.features_of(w)}
+        has = set(toxicity.text_features([(text or "").encode()])[1].tolist())
         u.update(has)
         p.update(has if y else ())
     n_p, n_u = 30, len(made)
@@ -52,6 +53,26 @@ def test_features_are_those_of_greatest_ratio(spark):
     assert toxicity.chosen_features(empty, docs) == toxicity.chosen_features(empty, empty) == []
 
 
+def test_features_are_words_and_beginnings():
+    texts = ["The the (the) cats' cat-sat", "", "Überall überall 123456789", "a b a b", "x" * 70_000 + " end"]
+    text, value = toxicity.text_features([t.encode() for t in texts])
+    assert len(set(zip(text.tolist(), value.tolist()))) == len(text)
+    seen = {}
+    for i, t in enumerate(texts):
+        words = {w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.encode().lower()) if w}
+        want = {(0, w) for w in words} | {(n, w[:n]) for w in words for n in toxicity.BEGINNINGS if len(w) > n}
+        assert int((text == i).sum()) == len(want)
+        seen[i] = want
+    shared = lambda i, j: len(set(value[text == i].tolist()) & set(value[text == j].tolist()))
+    again = toxicity.text_features([b"cat sat the", b"cats"])
+    assert len(set(again[1][again[0] == 0].tolist()) & set(value[text == 0].tolist())) == 3 and shared(0, 2) == 0
+    only = value[(text == 2)][:2]
+    bits = np.zeros(toxicity.FILTER_BITS >> 6, np.uint64)
+    for v in only.tolist():
+        bits[v % toxicity.FILTER_BITS >> 6] |= np.uint64(1 << (v & 63))
+    assert set(only.tolist()) <= set(toxicity.text_features([t.encode() for t in texts], bits)[1].tolist())
+
+
 def test_the_filter_has_a_bit_for_every_feature(spark):
     found = [0, 5, 2**62 + 77, 2**63 - 1, toxicity.FILTER_BITS, 64, 63, toxicity._ANY]
     bits = toxicity.feature_bits(spark.createDataFrame([(x,) for x in found], "feature long"))
