@@ -1,12 +1,12 @@
-"""Change detection, upserts and deletes as joins, and snapshot tables."""
+"""Change detection, upserts and deletes as joins, and catalog tables that are upserted by key."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def first_wins(df: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """The row of least ``order`` for each key, combined before the shuffle; whole equal rows of that order are one."""
@@ -17,6 +17,8 @@ def first_wins(df: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
 
 def differs(columns: tuple[str, ...]) -> Column:
     """Null-safe difference of any compared column between o and n."""
+    if not columns:
+        return F.lit(False)
     pack = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in columns])
     return ~pack("o").eqNullSafe(pack("n"))
 
@@ -68,41 +70,49 @@ def changed_or_pending(source: DataFrame, derived: DataFrame, keys: tuple[str, .
     return at.select(*keys, reason.alias("reason")).where("reason IS NOT NULL")
 
 
-class SnapshotTable:
-    """Versions of a Parquet table below one folder, with a pointer to the current one.
+class KeyedTable:
+    """A catalog table with one row a key, dealt over ``parts`` partitions by the key's hash.
 
-    A write makes a new version and then appends a pointer, so readers hold a version
-    and a failed write changes nothing. Files are reached through Spark alone.
+    An upsert joins only the partitions that the new rows fall in, stages the result in
+    the shared folder, and has Spark overwrite these partitions. A failed upsert changes
+    nothing before that last step, and a repeated one changes nothing at all. One writer
+    at a time: later ones win.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def version(self) -> str | None:
-        try:
-            pointers = self.spark.read.schema("n long, version string").json(f"{self.folder}/pointers")
-            return pointers.agg(F.max_by("version", "n")).first()[0]
-        except Exception as e:  # noqa: BLE001  only a missing folder means that nothing was written
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
-    def read(self, version: str | None = None) -> DataFrame | None:
-        version = version or self.version()
-        return self.spark.read.parquet(f"{self.folder}/{version}") if version else None
-
-    def overwrite(self, df: DataFrame) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{version}")
+    def __init__(self, spark: SparkSession, name: str, keys: tuple[str, ...], parts: int = 64):
+        self.spark, self.name, self.keys, self.parts = spark, name, keys, parts
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_part", F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int"))
+
+    def read(self) -> DataFrame | None:
+        """The rows, or None before the first upsert."""
+        return self.spark.table(self.name).drop("_part") if self.spark.catalog.tableExists(self.name) else None
+
+    def add_columns(self, **types: str) -> None:
+        """Adds columns that aren't there yet; earlier rows have null."""
+        held = self.spark.table(self.name).columns
+        if missing := [f"`{c}` {t}" for c, t in types.items() if c not in held]:
+            self.spark.sql(f"ALTER TABLE {self.name} ADD COLUMNS ({', '.join(missing)})")
+
+    def upsert(self, new: DataFrame, compared: tuple[str, ...] | None = None, reset: dict[str, tuple[str, ...]] | None = None) -> None:
+        """``upserted`` over the table's rows; columns that the new rows lack stay as they are."""
+        if not self.spark.catalog.tableExists(self.name):
+            self._dealt(written(new, "first-rows")).write.partitionBy("_part").format("parquet").saveAsTable(self.name)
+            return
+        held = self.spark.table(self.name)
+        columns = [c for c in held.columns if c != "_part"]
+        new = written(self._dealt(new), "new-rows")
+        old = held.join(F.broadcast(new.select("_part").distinct()), "_part", "left_semi").select(*columns)  # at most ``parts`` rows
+        for c in set(columns) - set(new.columns):  # kept where the key is known
+            new = new.withColumn(c, F.lit(None).cast(held.schema[c].dataType))
+            reset = {c: (), **(reset or {})}
+        compared = compared or tuple(c for c in columns if c not in self.keys and c not in (reset or {}))
+        after = written(upserted(old, new.select(*columns), self.keys, compared, reset), "upserted")
+        conf, setting = after.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(setting)
+        conf.set(setting, "dynamic")  # inserting into a catalog table heeds the session's setting only
         try:
-            n = self.spark.read.schema("n long").json(f"{self.folder}/pointers").agg(F.max("n")).first()[0]
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            n = 0
-        self.spark.createDataFrame([((n or 0) + 1, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.folder}/pointers")
-        return version
-
-    def upsert(self, new: DataFrame, keys: tuple[str, ...], **how) -> str:
-        old = self.read()
-        return self.overwrite(new if old is None else upserted(old, new, keys, **how))
+            self._dealt(after).select(*held.columns).write.mode("overwrite").insertInto(self.name)
+        finally:
+            conf.set(setting, before)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quality import require_pass
-from ..operators.tables import SnapshotTable
+from ..staging import written
+from ..operators.tables import KeyedTable
 
 
 def advanced(watermarks: DataFrame, seen: DataFrame) -> DataFrame:
@@ -31,18 +32,27 @@ def within_quota(rows: DataFrame, keys: list, at: str, most: int, tie: str) -> D
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
-def run_batch(batch: DataFrame, target: SnapshotTable, marks: SnapshotTable, key: str, ids: tuple[str, ...], at: str, gate: Callable[[DataFrame], DataFrame]) -> None:
-    """One micro-batch: gate, upsert the newest row of each id, and only then the watermarks.
+def run_batch(batch: DataFrame, target: KeyedTable, marks: KeyedTable, key: str, at: str, gate: Callable[[DataFrame], DataFrame]) -> None:
+    """One micro-batch: gate, upsert the newest row of each of the target's keys, and only then the watermarks.
 
     A replay upserts equal rows and leaves the greatest watermark, so it changes nothing.
+    Late rows aren't dropped: a later version of a row overwrites an earlier one whenever
+    it comes, and an earlier one never overwrites a later one.
     """
+    ids = target.keys
     rest = [c for c in batch.columns if c not in ids]
     newest = batch.groupBy(*ids).agg(F.max_by(F.struct(*rest), F.struct(at, F.xxhash64(*rest))).alias("r")).select(*ids, "r.*").select(*batch.columns)
+    newest = written(newest, "newest")
     require_pass(gate(newest))
-    target.upsert(newest, ids)
-    seen = newest.groupBy(F.col(key).alias("key")).agg(F.max(at).alias("watermark"))
+    held = target.read()
+    if held is not None:
+        known = held.select(*[F.col(c).alias(f"_{c}") for c in ids], F.col(at).alias("_at"))
+        earlier = newest.join(known, [F.col(c) == F.col(f"_{c}") for c in ids]).where(F.col(at) < F.col("_at")).select(*ids)
+        newest = written(newest.join(earlier, list(ids), "left_anti"), "not-late")
+    target.upsert(newest)
+    seen = batch.groupBy(F.col(key).alias("key")).agg(F.max(at).alias("watermark"))
     held = marks.read()
-    marks.overwrite(seen if held is None else advanced(held, seen))
+    marks.upsert(seen if held is None else advanced(held, seen))
 
 
 def start(stream: DataFrame, checkpoint: str, **how):

@@ -101,15 +101,25 @@ def test_clean_threads(spark):
     assert {r.seq: r.reason for r in bad.collect()} == {2: "duplicate key", 3: "issue number must be positive", 5: "issue number must be an integer", 6: "a valid issue URL is required", 7: "record must contain an object", 8: "repository is required", 9: "record must contain an object"}
 
 
-def test_snapshot_upsert_is_idempotent(spark, tmp_path):
-    t = tables.SnapshotTable(spark, str(tmp_path / "t"))
+def test_upserts_are_idempotent(spark):
+    spark.sql("DROP TABLE IF EXISTS kept_rows")
+    t = tables.KeyedTable(spark, "kept_rows", ("k",), parts=4)
     new = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    rows = lambda: sorted(map(tuple, t.read().collect()))
     assert t.read() is None
-    first = t.upsert(new, ("k",))
-    t.upsert(new, ("k",))
-    assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, t.read(first).collect())) == [(1, "a"), (2, None)]
-    t.upsert(spark.createDataFrame([(2, "b"), (3, "c")], "k long, v string"), ("k",))
-    assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    t.upsert(new)
+    t.upsert(new)
+    assert rows() == [(1, "a"), (2, None)]
+    t.upsert(spark.createDataFrame([(2, "b"), (3, "c")], "k long, v string"))
+    assert rows() == [(1, "a"), (2, "b"), (3, "c")]
+    t.add_columns(e="double", v="string")
+    assert t.read().columns == ["k", "v", "e"]
+    t.upsert(spark.createDataFrame([(2, "b", 0.5)], "k long, v string, e double"))
+    t.upsert(spark.createDataFrame([(2, "x"), (4, "d")], "k long, v string"))
+    assert {tuple(r) for r in t.read().collect()} == {(1, "a", None), (2, "x", 0.5), (3, "c", None), (4, "d", None)}
+    t.upsert(spark.createDataFrame([(2, "x", None), (9, "y", 1.0)], "k long, v string, e double"), reset={"e": ("v",)})
+    t.upsert(spark.createDataFrame([(9, "z", None)], "k long, v string, e double"), reset={"e": ("v",)})
+    assert {r.k: r.e for r in t.read().collect()} == {1: None, 2: 0.5, 3: None, 4: None, 9: None}
 
 
 def test_streaming_run_advances_watermarks_after_gates(spark, tmp_path):
@@ -117,15 +127,20 @@ def test_streaming_run_advances_watermarks_after_gates(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     (source / "1.json").write_text('{"id":1,"key":"a","at":"2024-01-01T00:00:00Z","v":"x"}\n{"id":1,"key":"a","at":"2024-01-02T00:00:00Z","v":"y"}\n')
-    target, marks = (tables.SnapshotTable(spark, str(tmp_path / n)) for n in ("target", "marks"))
+    for name in ("run_target", "run_marks"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    target, marks = tables.KeyedTable(spark, "run_target", ("id",), 4), tables.KeyedTable(spark, "run_marks", ("key",), 4)
     gate = lambda df: quality.checks(df, "in", {"null_ids": ("hard", F.count_if(F.col("id").isNull()))})
-    run = lambda: incremental.start(spark.readStream.schema(schema).json(str(source)), str(tmp_path / "cp"), target=target, marks=marks, key="key", ids=("id",), at="at", gate=gate).awaitTermination()
+    run = lambda: incremental.start(spark.readStream.schema(schema).json(str(source)), str(tmp_path / "cp"), target=target, marks=marks, key="key", at="at", gate=gate).awaitTermination()
     run()
     assert [r.v for r in target.read().collect()] == ["y"] and str(marks.read().first().watermark).startswith("2024-01-02")
-    (source / "2.json").write_text('{"id":null,"key":"a","at":"2024-01-05T00:00:00Z","v":"z"}\n')
+    (source / "2.json").write_text('{"id":1,"key":"a","at":"2023-12-01T00:00:00Z","v":"late"}\n{"id":2,"key":"b","at":"2023-12-01T00:00:00Z","v":"late, but new"}\n')
+    run()
+    assert {r.id: r.v for r in target.read().collect()} == {1: "y", 2: "late, but new"}
+    (source / "3.json").write_text('{"id":null,"key":"a","at":"2024-01-05T00:00:00Z","v":"z"}\n')
     with pytest.raises(Exception, match="null_ids"):
         run()
-    assert str(marks.read().first().watermark).startswith("2024-01-02")
+    assert {r.key: str(r.watermark)[:10] for r in marks.read().collect()} == {"a": "2024-01-02", "b": "2023-12-01"}
 
 
 def test_calibration_example(spark):
