@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import noted_folders, remove_folders, shared_folder, written
+
+__all__ = ["DOCUMENT_COLUMNS", "SEPARATORS", "SEPARATOR_RUN", "noted_folders", "remove_folders", "shared_folder", "table", "words_of", "written"]
+
 #: Word separators: space and U+0009 to U+000D; everything else belongs to a word.
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
@@ -21,53 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_noting: list[list[str]] = []
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (local tests) is a temporary folder set.
-    The caller removes it once the result has been consumed.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or tempfile.mkdtemp(prefix="strandspark-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
-    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    for folders in _noting:
-        folders.append(folder)
-    return folder
-
-
-@contextmanager
-def noted_folders(into: list[str]) -> Iterator[None]:
-    """Notes the folders that operators make meanwhile."""
-    _noting.append(into)
-    try:
-        yield
-    finally:
-        _noting.pop()
-
-
-def remove_folders(spark: SparkSession, folders: list[str], needed: DataFrame) -> None:
-    """Removes the noted folders, except those that ``needed`` is read from."""
-    files = needed.inputFiles()
-    for folder in [f for f in folders if not any(f.rsplit("/", 1)[-1] in x for x in files)]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        folders.remove(folder)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: later stages restart from it."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """Array of words of a text; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
