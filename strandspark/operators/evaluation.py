@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import written
@@ -54,3 +54,15 @@ def best_threshold(df: DataFrame) -> DataFrame:
 def latency_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Linear-interpolated percentiles and the mean."""
     return percentiles(df, group, value, {"p50": 0.5, "p95": 0.95})
+
+
+def performance_summary(df: DataFrame, group: str, latency: str, cost: str, refused: str) -> DataFrame:
+    """By group: n, p50, p95 and mean latency, the exact cost in all and on average, and how many requests were refused."""
+    times = latency_summary(df, group, latency)
+    sums = df.groupBy(F.col(group).alias("_group")).agg(F.sum(cost).alias("cost"), F.avg(cost).alias("mean_cost"), F.count_if(refused).alias("n_refused"))
+    return times.join(sums, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def within_spend(calls: DataFrame, by: list[Column], cost: str, budget: float) -> DataFrame:
+    """The calls, in an order that tells them apart, that a budget allows: what is spent before, and the call itself, stay within it."""
+    return cumulated(calls, by, {cost: "_spent"}).where(F.col("_spent") + F.col(cost) <= budget).drop("_spent")

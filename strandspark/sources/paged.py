@@ -7,11 +7,15 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlencode, urlsplit
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..staging import written
+
 _NEXT = re.compile(r'<([^>]+)>\s*;\s*rel="?next"?')
 
 
@@ -38,6 +42,20 @@ class PagedJson(DataSource):
         return _Reader(dict(self.options))
 
 
+def fetched(spark: SparkSession, options: dict[str, str], keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """The rows of a paged scan as a table, fetched once, and their counts: elements and pages by start address.
+
+    ``keep`` drops what needn't land, such as objects that are there already; counts are
+    of what was fetched and of what was kept.
+    """
+    spark.dataSource.register(PagedJson)
+    rows = written(spark.read.format("paged_json").options(**options).load(), "fetched")
+    kept = written(keep(rows), "kept")
+    counts = rows.groupBy("url").agg(F.count(F.lit(1)).alias("fetched"), F.count_distinct("page").alias("pages"))
+    landed = kept.groupBy("url").agg(F.count(F.lit(1)).alias("kept"))
+    return kept, counts.join(landed, "url", "left").select("url", "pages", "fetched", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.urls = [u for u in options["urls"].split(",") if u]
