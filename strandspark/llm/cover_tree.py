@@ -5,8 +5,9 @@ centre is split into blocks and groups of bounded size, whatever their number, a
 each of these is indexed by a cover tree: a node's children lie within a fraction
 of its radius and are farther than that from each other, and small children share a
 leaf. For a query node with centre q and covering radius r, and a data node with
-centre p and radius s, no inner product exceeds q.p + |q| s + |p| r + r s. A pair of
-nodes whose bound is below the worst kth score of the node's queries is pruned:
+centre p and radius s, no inner product exceeds q.p + |q| s + |p| r + r s, nor half of
+Q^2 + P^2 - max(0, |q - p| - r - s)^2, where Q and P are the nodes' greatest norms. A
+pair of nodes whose lesser bound is below the worst kth score of the node's queries is pruned:
 first whole groups against whole blocks, from their summaries, then nodes while a
 group descends a block.
 
@@ -113,12 +114,14 @@ class CoverTree:
     def _measure(self) -> None:
         self.centres = self.points[self.centre_at]
         self.norms = np.sqrt((self.centres**2).sum(1))
+        norms = np.sqrt((self.points**2).sum(1))
+        self.reach = np.array([norms[a:b].max(initial=0) for a, b in self.ranges])
 
     def __getstate__(self) -> dict:
         """Without what the points give again, and the points as the smallest integers that hold them."""
         most = np.abs(self.points).max(initial=0)
         kind = next((t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), np.float64)
-        return {k: v for k, v in self.__dict__.items() if k not in ("centres", "norms", "nodes", "order")} | {"points": self.points.astype(kind)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("centres", "norms", "reach", "nodes", "order")} | {"points": self.points.astype(kind)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state | {"points": state["points"].astype(np.float64)}
@@ -151,11 +154,15 @@ class CoverTree:
 
 
 def bounds(a: tuple, b: tuple) -> np.ndarray:
-    """Of centres, norms and radii on either side: what no inner product of the pair exceeds."""
-    (p, pn, pr), (q, qn, qr) = a, b
+    """Of centres, norms, radii and greatest norms on either side: what no inner product of the pair exceeds."""
+    (p, pn, pr, pm), (q, qn, qr, qm) = a, b
     d = min(p.shape[1], q.shape[1])
-    most = p[:, :d] @ q[:, :d].T + pn[:, None] * qr + pr[:, None] * qn + pr[:, None] * qr
-    return most + 1e-9 * (np.abs(most) + 1)  # rounding must not prune
+    middle = p[:, :d] @ q[:, :d].T
+    by_radius = middle + pn[:, None] * qr + pr[:, None] * qn + pr[:, None] * qr
+    apart = np.sqrt(np.maximum(0, pn[:, None] ** 2 + qn**2 - 2 * middle)) - pr[:, None] - qr
+    by_distance = (pm[:, None] ** 2 + qm**2 - np.maximum(0, apart) ** 2) / 2
+    most = np.minimum(by_radius, by_distance)
+    return most + 1e-9 * (np.abs(most) + pm[:, None] ** 2 + qm**2 + 1)  # rounding must not prune
 
 
 def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -164,7 +171,13 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
     scores = np.full((len(query_ids), k), _NONE)
     ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
     worst = kth.copy()
-    of = lambda t, rows: (t.centres[rows], t.norms[rows], t.radii[rows])
+    of = lambda t, rows: (t.centres[rows], t.norms[rows], t.radii[rows], t.reach[rows])
+    norms = np.sqrt((queries.points**2).sum(1))
+
+    def each(a: int, b: int, rows: list[int]) -> np.ndarray:
+        """Bounds of single queries, as nodes without a radius, with some data nodes."""
+        return bounds((queries.points[a:b], norms[a:b], np.zeros(b - a), norms[a:b]), of(data, rows))
+
     heap = [(-float(bounds(of(queries, [0]), of(data, [0]))[0, 0]), 0, 0)]
     while heap:
         most, q, d = heapq.heappop(heap)
@@ -173,26 +186,33 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
             continue
         if not queries.children[q] and not data.children[d]:
             c, e = data.ranges[d]
-            found = products(queries.points[a:b], data.points[c:e])
+            asking = a + np.flatnonzero(each(a, b, [d])[:, 0] >= worst[a:b])
+            found = products(queries.points[asking], data.points[c:e])
             tested += found.size
-            seen = (found >= worst[a:b, None]) & (query_ids[a:b, None] != data_ids[None, c:e])
-            for row in np.flatnonzero(seen.any(1)):
-                take = np.flatnonzero(seen[row])
-                s = np.concatenate([scores[a + row], found[row, take]])
-                i = np.concatenate([ids[a + row], data_ids[c + take]])
-                best = np.lexsort((i, ~s))[:k]  # ~s falls as s rises, without overflow
-                scores[a + row], ids[a + row] = s[best], i[best]
-                worst[a + row] = max(worst[a + row], scores[a + row, -1])
-            continue
-        if data.children[d] and (not queries.children[q] or data.radii[d] >= queries.radii[q]):
-            pairs = [(q, x) for x in data.children[d]]
+            seen = (found >= worst[asking, None]) & (query_ids[asking, None] != data_ids[None, c:e])
+            for i in np.flatnonzero(seen.any(1)):
+                row, take = asking[i], np.flatnonzero(seen[i])
+                s = np.concatenate([scores[row], found[i, take]])
+                x = np.concatenate([ids[row], data_ids[c + take]])
+                best = np.lexsort((x, ~s))[:k]  # ~s falls as s rises, without overflow
+                scores[row], ids[row] = s[best], x[best]
+                worst[row] = max(worst[row], scores[row, -1])
+        elif not queries.children[q]:
+            most = each(a, b, data.children[d])
+            able = (most >= worst[a:b, None]).any(0)
+            for x, m in zip(data.children[d], np.where(able, most.max(0), -np.inf).tolist(), strict=True):
+                if m > -np.inf:
+                    heapq.heappush(heap, (-m, q, x))
         else:
-            pairs = [(x, d) for x in queries.children[q]]
-        most = bounds(of(queries, sorted({x for x, _ in pairs})), of(data, sorted({y for _, y in pairs}))).ravel()
-        for m, (x, y) in zip(most.tolist(), pairs, strict=True):
-            u, v = queries.ranges[x]
-            if m >= worst[u:v].min():
-                heapq.heappush(heap, (-m, x, y))
+            if data.children[d] and data.radii[d] >= queries.radii[q]:
+                pairs = [(q, x) for x in data.children[d]]
+            else:
+                pairs = [(x, d) for x in queries.children[q]]
+            most = bounds(of(queries, sorted({x for x, _ in pairs})), of(data, sorted({y for _, y in pairs}))).ravel()
+            for m, (x, y) in zip(most.tolist(), pairs, strict=True):
+                u, v = queries.ranges[x]
+                if m >= worst[u:v].min():
+                    heapq.heappush(heap, (-m, x, y))
     row, at = np.nonzero(scores > _NONE)
     return row, ids[row, at], scores[row, at], tested
 
@@ -218,7 +238,7 @@ def _routed(rows: DataFrame, centres: np.ndarray, most: int) -> DataFrame:
 
 
 def _row(tree: CoverTree, ids: np.ndarray, kth: np.ndarray, part: int) -> pd.DataFrame:
-    summary = (tree.centres[0], float(tree.norms[0]), float(tree.radii[0]), int(kth.min()))
+    summary = (tree.centres[0], float(tree.norms[0]), float(tree.radii[0]), float(tree.reach[0]), int(kth.min()))
     return pd.DataFrame({"part": [part], "chunk": [part // CHUNK], "n": [len(ids)], "payload": [pickle.dumps((tree, ids, kth))], "summary": [pickle.dumps(summary)]})
 
 
@@ -255,9 +275,9 @@ def _survivors(groups: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"grp": np.empty(0, np.int64), "block": np.empty(0, np.int64), "near": np.empty(0)})
     a, b = ([pickle.loads(x) for x in side.summary] for side in (groups, blocks))
     wide = max(len(x[0]) for x in a + b)
-    stack = lambda side: (np.array([np.pad(x[0], (0, wide - len(x[0]))) for x in side]), np.array([x[1] for x in side]), np.array([x[2] for x in side]))
+    stack = lambda side: (np.array([np.pad(x[0], (0, wide - len(x[0]))) for x in side]), np.array([x[1] for x in side]), np.array([x[2] for x in side]), np.array([x[3] for x in side]))
     p, q = stack(a), stack(b)
-    g, d = np.nonzero(bounds(p, q) >= np.array([x[3] for x in a])[:, None])
+    g, d = np.nonzero(bounds(p, q) >= np.array([x[4] for x in a])[:, None])
     return pd.DataFrame({"grp": groups.part.to_numpy()[g], "block": blocks.part.to_numpy()[d], "near": (p[0] @ q[0].T)[g, d]})
 
 
