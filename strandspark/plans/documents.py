@@ -203,17 +203,28 @@ def q_redact(spark, sf_dir):
 
 
 def _redact_sql() -> str:
-    """The rule with a back-reference is one rule for each quote; the others are as in Spark, but for the look-ahead."""
+    """The rules written out for an engine without back-references and look-ahead.
+
+    A quoted value is one rule for each quote. Values that aren't literals get a mark in
+    front, which the rule for unquoted values doesn't start with, and lose it again.
+    """
+    names, mark = "JWT_SECRET|SECRET_KEY|API_KEY|PASSWORD|ACCESS_TOKEN", "\x01"
+    quoted = r"(?i)(\b(?:[a-z0-9_]*(?:password|passwd|secret|api_key|access_token|refresh_token|private_key|authorization)[a-z0-9_]*|token)\b[\"'']?\s*[:=]\s*(?:Secret\s*\(\s*)?)"
+    rules = [
+        (r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (RSA |EC |OPENSSH )?PRIVATE KEY-----", "[REDACTED]"),
+        (quoted + r'"[^\r\n"]*"', r'\1"[REDACTED]"'),
+        (quoted + r"''[^\r\n'']*''", r"\1''[REDACTED]''"),
+        (r"(?i)(\bBearer\s+)[a-z0-9._~+/=-]+", r"\1[REDACTED]"),
+        (r"\bsk-[a-zA-Z0-9_-]{16,}\b|\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[REDACTED]"),
+        (r"\beyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\b", "[REDACTED]"),
+        (r"(?i)([a-z][a-z0-9+.-]*://)[^\s/@:]+:[^\s/@]+@", r"\1[REDACTED]@"),
+        (rf"((?i:\b(?:{names})\s*=\s*))(config\(|Secret\(|os\.|getenv\(|None\b|\[REDACTED\])", rf"\1{mark}\2"),
+        (rf"((?i:\b(?:{names})\s*=\s*))[^\s\"''\n{mark}][^\n]*", r"\1[REDACTED]"),
+        (mark, ""),
+        (rf"(?im)^(\s*(?:{names})\s*:\s*)[^\s\"''\n][^\n]*", r"\1[REDACTED]"),
+    ]
     x = "text"
-    for pattern, to in tx.REDACTIONS:
-        to = to.replace("$1", r"\1").replace("$2", r"\2")
-        if "\\2" in pattern:
-            head = pattern[: pattern.index("([\\\"'])")]
-            for quote in ('"', "''"):
-                body = head.replace("'", "''") + quote + f"[^\\r\\n{quote}]*" + quote
-                x = f"regexp_replace({x}, '{body}', '\\1{quote}{tx.REDACTED}{quote}', 'g')"
-            continue
-        pattern = pattern.replace("(?!(?-i:config\\(|Secret\\(|os\\.|getenv\\(|None\\b|\\[REDACTED\\]))", "").replace("'", "''")
+    for pattern, to in rules:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     return f"WITH s AS (SELECT doc_id, text, {x} AS safe FROM documents) SELECT doc_id, safe <> text AS changed, md5(safe) AS h FROM s"
 
