@@ -190,7 +190,8 @@ SELECT label, support, predicted, correct, round(p, 9) AS "precision", round(q,
 
 
 def _scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.least(F.col("n_chars"), F.lit(9999)) / 10000.0).alias("score"))
+    """Every length has a score of its own, below 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("score"))
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select("score", (F.col("quality") == 1).alias("answerable"))
 
 
@@ -200,7 +201,7 @@ def q_threshold_sweep(spark, sf_dir):
 
 
 ORACLE_SQL["q_threshold_sweep"] = """
-WITH s AS (SELECT least(n_chars, 9999) / 10000.0::double AS score, quality = 1 AS ok FROM labels JOIN documents USING (doc_id)),
+WITH s AS (SELECT n_chars / (n_chars + 1000.0::double) AS score, quality = 1 AS ok FROM labels JOIN documents USING (doc_id)),
 d AS (SELECT score, lead(score, 1, 1.0::double) OVER (ORDER BY score) AS next FROM (SELECT DISTINCT score FROM s)),
 t AS (SELECT (score + next) / 2 AS t FROM d WHERE score < next UNION SELECT 0.0 UNION SELECT 1.0),
 r AS (SELECT t, count(*) FILTER (NOT ok AND score < t) AS cr, count(*) FILTER (ok AND score < t) AS wr, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS u FROM t, s GROUP BY t)
