@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import cases, evaluation, retrieval
 from .common import Query, table
-from .retrieval import _SIM, _batch, _batch_sql
+from .retrieval import _batch, _batch_sql
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
