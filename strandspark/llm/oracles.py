@@ -65,9 +65,31 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint AS score FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
 
+
+def _centroids(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """A CTE for each assignment and each move of the centroids; all sums are whole numbers below 2^53."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT r, id, e, number, away FROM (SELECT p.r, p.id, p.e, c.number,
+    list_sum(list_transform(range(1, {width + 1}), lambda i: (p.e[i] - c.e[i]) * (p.e[i] - c.e[i]))) AS away FROM p, c{r} c)
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY away, number) = 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (SELECT number, coalesce(m.e, c{r}.e) AS e FROM c{r} LEFT JOIN (SELECT number, list(v ORDER BY i) AS e FROM
+    (SELECT number, i, floor(sum(e[i]) / count(*)) AS v FROM (SELECT number, e, unnest(range(1, {width + 1})) AS i FROM a{r}) GROUP BY number, i) GROUP BY number) m USING (number))""")
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::double)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (FROM v), c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || id) NULLS LAST) - 1 AS number, e FROM p QUALIFY number < {k}),
+{", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)}
+SELECT id AS vec_id, number::int AS cluster, away::bigint AS distance, (sum(away) OVER (PARTITION BY number))::bigint AS cluster_inertia, (sum(away) OVER ())::bigint AS inertia,
+    sha256(array_to_string(list_transform(c{rounds}.e, lambda x: (x::bigint)::varchar), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (number)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_cover_tree": TOP_K,
     "op9_substring_dedup": SUBSTRING,
     "op5_warc": WARC,
     "op6_quality_rules": _quality_rules(),
+    "op11_centroids": _centroids(),
 }
