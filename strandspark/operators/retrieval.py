@@ -6,18 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine_to, rrf
-from ..staging import written
+from ..staging import spread
+from .rounds import in_rounds
 
-#: Rows of a block of data and of a block of queries, and blocks of queries that meet a block of data in one task.
-DATA_BLOCK, QUERY_BLOCK, LOT = 8_192, 1_024, 16
-#: Most tasks of a batch.
-MOST_TASKS = 20_000
+#: Rows of a block of data and of a block of queries, which are multiplied at a time.
+DATA_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
 
 def in_scope(df: DataFrame, column: str, scope) -> DataFrame:
@@ -57,66 +55,56 @@ def refused(score: Column, cutoff: float) -> Column:
     return F.coalesce(score, F.lit(0.0)) < cutoff
 
 
-def _blocks(rows: int, name: str):
-    """Rows packed into blocks; a block's number is the task's and its own, so it is the same when the task is repeated."""
-
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, n = TaskContext.get().partitionId(), 0
-        for frame in frames:
-            for k in range(0, len(frame), rows):
-                part = frame.iloc[k : k + rows]
-                yield pd.DataFrame({name: [task << 32 | n], "ids": [part.id.to_numpy()], "groups": [part.grp.to_numpy()], "flat": [np.concatenate([np.asarray(v, np.float64) for v in part.vector])]})
-                n += 1
-
-    return blocks
-
-
-def _unit_rows(x) -> np.ndarray:
-    flat = np.asarray(x.flat, np.float64).reshape(len(x.ids), -1)
+def _unit_rows(vectors) -> np.ndarray:
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
     with np.errstate(invalid="ignore", divide="ignore"):
-        return flat / np.linalg.norm(flat, axis=1, keepdims=True)
-
-
-def _best(k: int):
-    """The k nearest rows of one block for each query of a lot, by a matrix product for each block of queries."""
-
-    def best(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "query_group": np.empty(0, np.int64), "id": np.empty(0, np.int64), "grp": np.empty(0, np.int64), "similarity": np.empty(0)})]
-        for d in data.itertuples():
-            ids, groups, rows = np.asarray(d.ids), np.asarray(d.groups), _unit_rows(d)
-            for x in asked.itertuples():
-                s = np.round(_unit_rows(x) @ rows.T, 9)
-                s[np.isnan(s) | (np.asarray(x.ids)[:, None] == ids[None, :])] = -np.inf
-                kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-                row, at = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
-                order = np.lexsort((ids[at], -s[row, at], row))
-                row, at = row[order], at[order]
-                first = np.searchsorted(row, row)
-                take = np.arange(len(row)) - first < k
-                row, at = row[take], at[take]
-                out.append(pd.DataFrame({"query_id": np.asarray(x.ids)[row], "query_group": np.asarray(x.groups)[row], "id": ids[at], "grp": groups[at], "similarity": s[row, at]}))
-        return pd.concat(out)
-
-    return best
-
-
-def batch_top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of ``data`` (id, grp, vector) for each query, the query's own id left out.
-
-    Both sides are packed into blocks, a row each, and written. A block of data meets
-    the queries in lots of LOT blocks: it travels once for each lot, a task holds one
-    block and one lot, and returns k rows a query, so ranks are taken over few rows.
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _visited(k: int, other_group: bool):
+    """A task's k nearest rows for each query of a lot: a matrix product for each pair of blocks, and a running kth similarity."""
+
+    def visit(lot: pd.DataFrame):
+        query_ids, query_groups = lot.id.to_numpy(np.int64), lot.grp.fillna(-1).to_numpy(np.int64)
+        asked = _unit_rows(lot.vector) if len(lot) else np.empty((0, 1))
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * -(-len(asked) // QUERY_BLOCK)
+            worst = np.full(len(asked), -np.inf)
+            for frame in frames:
+                for n in range(0, len(frame), DATA_BLOCK):
+                    part = frame.iloc[n : n + DATA_BLOCK]
+                    ids, groups, rows = part.id.to_numpy(np.int64), part.grp.fillna(-1).to_numpy(np.int64), _unit_rows(part.vector)
+                    for i, a in enumerate(range(0, len(asked), QUERY_BLOCK)):
+                        to = slice(a, a + QUERY_BLOCK)
+                        s = np.round(asked[to] @ rows.T, 9)
+                        out = query_groups[to, None] == groups[None, :] if other_group else query_ids[to, None] == ids[None, :]
+                        s[np.isnan(s) | out] = -np.inf
+                        m = min(k, s.shape[1])
+                        kth = np.maximum(np.partition(s, -m, axis=1)[:, -m], worst[to])
+                        row, at = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
+                        row, near, group, value = (np.concatenate(x) for x in zip(held[i], (row, ids[at], groups[at], s[row, at]), strict=True))
+                        order = np.lexsort((near, -value, row))
+                        row, near, group, value = row[order], near[order], group[order], value[order]
+                        take = np.arange(len(row)) - np.searchsorted(row, row) < k
+                        held[i] = (row[take], near[take], group[take], value[take])
+                        full, last = np.unique(held[i][0][::-1], return_index=True)  # the last kept row of each query is its worst
+                        enough = np.bincount(held[i][0], minlength=len(s))[full] == k
+                        worst[a + full[enough]] = held[i][3][::-1][last[enough]]
+            for i, (row, near, group, value) in enumerate(held):
+                if len(row):
+                    yield pd.DataFrame({"query_id": query_ids[i * QUERY_BLOCK + row], "query_group": query_groups[i * QUERY_BLOCK + row], "id": near, "grp": group, "similarity": value})
+
+        return best
+
+    return visit
+
+
+def batch_top_k(data: DataFrame, queries: DataFrame, k: int, other_group: bool = False) -> DataFrame:
+    """The k nearest rows of ``data`` (id, grp, vector) for each query, the query's own id left out; with ``other_group``, all rows of its group.
+
+    The data isn't moved: lots of queries visit it, and each task returns k rows a query, of which ranks are taken.
     """
-    packed = "ids array<long>, groups array<long>, flat array<double>"
     usable = lambda df: df.where("id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long"), F.col("grp").cast("long"), F.col("vector").cast("array<double>"))
-    asked = written(usable(queries).mapInPandas(_blocks(QUERY_BLOCK, "q"), f"q long, {packed}"), "query-blocks")
-    held = written(usable(data).mapInPandas(_blocks(DATA_BLOCK, "block"), f"block long, {packed}"), "data-blocks")
-    lots = max(1, -(-asked.count() // LOT))
-    every = F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))
-    # which blocks there are is a number each; the queries are copied to each of them, the blocks to each lot
-    left = held.select("*", every.alias("lot"))
-    right = asked.withColumn("lot", F.pmod(F.xxhash64("q"), F.lit(lots)).cast("int")).join(held.select("block", every.alias("lot")), "lot").select("block", "lot", "q", "ids", "groups", "flat")
-    tasks = max(1, min(MOST_TASKS, held.count() * lots))
-    found = left.repartition(tasks, "block", "lot").groupBy("block", "lot").cogroup(right.withColumnsRenamed({"block": "of_block", "lot": "of_lot"}).repartition(tasks, "of_block", "of_lot").groupBy("of_block", "of_lot"))
-    near = found.applyInPandas(_best(k), "query_id long, query_group long, id long, grp long, similarity double")
+    near = in_rounds(spread(usable(data)), usable(queries), "id", _visited(k, other_group), "query_id long, query_group long, id long, grp long, similarity double")
     return ranked(near, [F.col("similarity").desc(), "id"], within=("query_id",)).where(F.col("rank") <= k)

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import ann, answers, fulltext, retrieval
+from ..operators import ann, answers, fulltext, graph, retrieval
 from ..operators import tables as tb
+from ..staging import written
 from .common import Query, table
 from .retrieval import _TERMS, _batch, _batch_sql, _chunks
 from .tables import _versions
@@ -33,6 +34,21 @@ SELECT before, after, count(*) AS n FROM x JOIN y USING (query_id) GROUP BY ALL"
 
 
 def q_index_recall(spark, sf_dir):
+    """Recall of the exact five nearest, and the share of rows that are scored, by the depth of a search in small-world graphs."""
+    chunks = _chunks(spark, sf_dir)
+    asked = chunks.where("id % 20 = 0")
+    exact = _batch(spark, sf_dir, 5).select("query_id", "id")
+    graphs = graph.build(chunks)
+    found = reduce(lambda a, b: a.unionByName(b), [graph.searched(graphs, asked, 5, d).withColumn("depth", F.lit(d)) for d in (40, 100, 200, 400)])
+    found = written(found, "found")
+    best = found.where("id IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy("depth", "query_id").orderBy(F.col("similarity").desc(), "id"))).where("rank <= 5")
+    hits = best.join(exact, ["query_id", "id"]).groupBy("depth").agg(F.count(F.lit(1)).alias("hits"))
+    pairs = asked.agg(F.count(F.lit(1))).scalar() * graphs.agg(F.sum("n")).scalar()
+    share = found.where("scored IS NOT NULL").groupBy("depth").agg(F.sum("scored").alias("scored"))
+    return hits.join(share, "depth").select("depth", "hits", F.round(F.col("hits") / exact.agg(F.count(F.lit(1))).scalar(), 6).alias("recall"), F.round(F.col("scored") / pairs, 6).alias("scored_share"))
+
+
+def q_cell_recall(spark, sf_dir):
     """Recall of the exact five nearest by the number of cells that are probed."""
     chunks = _chunks(spark, sf_dir).select("id", "vector")
     asked = chunks.where("id % 20 = 0")

@@ -112,15 +112,11 @@ SELECT f.id, round(s, 12) AS score, n AS n_branches, label FROM f LEFT JOIN embe
 
 
 def q_nearest_other_group(spark, sf_dir):
-    """The first row of each group, and its nearest row of another group."""
+    """The first row of each of three groups, and its nearest row of another group; the seeds visit the rows together."""
     chunks = _chunks(spark, sf_dir)
-    seeds = chunks.groupBy("grp").agg(F.min("id").alias("id")).orderBy("grp").limit(3).collect()
-    out = None
-    for seed in seeds:  # three seeds by definition of the report
-        query = list(chunks.where(F.col("id") == seed.id).first().vector)
-        near = retrieval.vector_top_k(chunks.where(F.col("grp") != seed.grp), query, 1).select(F.lit(seed.id).alias("seed_id"), F.col("id").alias("vec_id"), F.col("grp").cast("int").alias("label"), "similarity")
-        out = near if out is None else out.unionByName(near)
-    return out
+    seeds = chunks.groupBy("grp").agg(F.min_by(F.struct("id", "vector"), "id").alias("s")).orderBy("grp").limit(3).select("grp", "s.id", "s.vector")  # three by definition of the report
+    near = retrieval.batch_top_k(chunks, seeds, 1, other_group=True)
+    return near.select(F.col("query_id").alias("seed_id"), F.col("id").alias("vec_id"), F.col("grp").cast("int").alias("label"), "similarity")
 
 
 QUERIES["q_nearest_other_group"] = q_nearest_other_group
