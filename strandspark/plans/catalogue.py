@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import cases, documents, experiments, retrieval, tables
+from . import cases, documents, experiments, retrieval, search, tables
 
-QUERIES = {**retrieval.QUERIES, **documents.QUERIES, **tables.QUERIES, **experiments.QUERIES, **cases.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL, **tables.ORACLE_SQL, **experiments.ORACLE_SQL, **cases.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **documents.QUERIES, **tables.QUERIES, **experiments.QUERIES, **cases.QUERIES, **search.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **documents.ORACLE_SQL, **tables.ORACLE_SQL, **experiments.ORACLE_SQL, **cases.ORACLE_SQL, **search.ORACLE_SQL}
