@@ -30,14 +30,14 @@ def _ranks(spark, sf_dir, mode: str, config: str = "simple") -> DataFrame:
 
 
 _ASKED = f"""{_HELD}, asked AS (SELECT query_id, unnest(q) AS term, len(q) AS m FROM q),
-p AS (SELECT doc_id, w[i] AS term, i AS at FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_TERMS} AS w FROM documents)))"""
+p AS (SELECT doc_id, w[i] AS term, i AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_TERMS} AS w FROM documents)))"""
 #: Places of each pair in order, the latest place of each term up to each of them, and covers, which begin at the earliest of these.
 _COVERS = """pairs AS (SELECT query_id, doc_id FROM q JOIN d ON len(q) > 0 AND list_has_all(d, q)),
-h AS (SELECT query_id, doc_id, m, term, at, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY at) AS i FROM pairs JOIN p USING (doc_id) JOIN asked USING (query_id, term)),
-l AS (SELECT e.query_id, e.doc_id, e.m, e.i, e.at, s.term, max(s.i) AS last FROM h e JOIN h s ON s.query_id = e.query_id AND s.doc_id = e.doc_id AND s.i <= e.i GROUP BY ALL),
-c AS (SELECT query_id, doc_id, i, at, min(last) AS b FROM l GROUP BY query_id, doc_id, m, i, at HAVING count(*) = m),
-f AS (SELECT query_id, doc_id, b, min(i) AS i, min(at) AS at FROM c GROUP BY query_id, doc_id, b),
-r AS (SELECT f.query_id, f.doc_id, round(sum(0.1::double / (1 + f.at - h.at - f.i + f.b)), 6) AS score FROM f JOIN h ON h.query_id = f.query_id AND h.doc_id = f.doc_id AND h.i = f.b GROUP BY ALL)"""
+h AS (SELECT query_id, doc_id, m, term, pos, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS i FROM pairs JOIN p USING (doc_id) JOIN asked USING (query_id, term)),
+l AS (SELECT e.query_id, e.doc_id, e.m, e.i, e.pos, s.term, max(s.i) AS last FROM h e JOIN h s ON s.query_id = e.query_id AND s.doc_id = e.doc_id AND s.i <= e.i GROUP BY ALL),
+c AS (SELECT query_id, doc_id, i, pos, min(last) AS b FROM l GROUP BY query_id, doc_id, m, i, pos HAVING count(*) = m),
+f AS (SELECT query_id, doc_id, b, min(i) AS i, min(pos) AS pos FROM c GROUP BY query_id, doc_id, b),
+r AS (SELECT f.query_id, f.doc_id, round(sum(0.1::double / (1 + f.pos - h.pos - f.i + f.b)), 6) AS score FROM f JOIN h ON h.query_id = f.query_id AND h.doc_id = f.doc_id AND h.i = f.b GROUP BY ALL)"""
 _TOP = f"row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::bigint AS rank, doc_id, score FROM r QUALIFY rank <= {TOP}"
 
 
