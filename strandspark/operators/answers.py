@@ -25,11 +25,13 @@ OPENING_ABSTENTION = (
     r"There is (?:no|not enough|insufficient) evidence in the retrieved\b|Based on the retrieved excerpts, there is no explicit mention\b)"
 )
 LEAST_OVERLAP = 0.25
+#: Blocks of an excerpt, whatever stands behind their closing fence; lines that may open or close a block of an answer; bullets without text.
+EXCERPT_BLOCK = r"(?ms)^\s*```[^\n]*\n.*?^\s*```"
+FENCE_LINE = r"^\s*(`{3,}|~{3,})"
+EMPTY_BULLET = r"^\s*(?:[-+*]|\d+[.)])\s*(?:\[[ xX]\]\s*)?$"
 # End of the fixed values.
 
-_FENCED = re.compile(r"(?ms)^[ \t]*(?P<fence>`{3,}|~{3,})[^\n]*\n(?P<code>.*?)^[ \t]*(?P=fence)[`~]*[ \t]*(?:\n|\Z)")
-_OPEN_FENCE = re.compile(r"(?m)^[ \t]*(?:`{3,}|~{3,})[^\n]*(?:\n|\Z)")
-_EMPTY_BULLET = re.compile(r"(?m)^[ \t]*(?:[-+*]|\d+[.)])[ \t]*(?:\[[ xX]\][ \t]*)?(?:\n|\Z)")
+_EXCERPT_BLOCK, _FENCE_LINE, _EMPTY_BULLET = map(re.compile, (EXCERPT_BLOCK, FENCE_LINE, EMPTY_BULLET))
 _ONE_SPACE = re.compile(r"\s+")
 
 
@@ -46,26 +48,38 @@ def common_length(lengths: Column, fixed: Column, limit: int) -> Column:
     return F.when(room >= 0, (fits + spare).cast("int"))
 
 
+def _blocks(lines: list[str]) -> dict[int, int | None]:
+    """Where each block of an answer begins, and the line that closes it: only marks like the opening ones, at least as many; None if there is none."""
+    marks = [(m[1][0], len(m[1]), not line[m.end() :].strip()) if (m := _FENCE_LINE.match(line)) else None for line in lines]
+    found, behind = {}, 0
+    for i, mark in enumerate(marks):
+        if mark is not None and i >= behind:
+            ends = (j for j in range(i + 1, len(lines)) if marks[j] and marks[j][0] == mark[0] and marks[j][1] >= mark[1] and marks[j][2])
+            found[i] = next(ends, None)
+            behind = (found[i] or i) + 1
+    return found
+
+
 @F.pandas_udf(T.StringType())
 def cleaned(answers: pd.Series, evidence: pd.Series) -> pd.Series:
-    """Without code that no excerpt contains, unclosed fences, and empty bullets."""
+    """Without code that no excerpt contains, unclosed fences, and empty bullets; what follows an unclosed fence is text."""
 
     def clean(answer: str, excerpts) -> str:
         known = [_ONE_SPACE.sub(" ", x).strip() for x in (excerpts if excerpts is not None else []) if x]
-
-        def keep(m: re.Match) -> str:
-            code = _ONE_SPACE.sub(" ", m["code"]).strip()
-            return m[0] if code and any(code in x for x in known) else ""
-
-        parts, at = [], 0
-        for m in [*_FENCED.finditer(answer), None]:
-            prose = answer[at : m.start() if m else len(answer)]
-            lines = _EMPTY_BULLET.sub("", _OPEN_FENCE.sub("", prose))
-            parts.append("\n".join(x.rstrip() for x in lines.split("\n")))
-            if m:
-                parts.append(keep(m))
-                at = m.end()
-        return re.sub(r"\n{3,}", "\n\n", "".join(parts)).strip() or NO_USABLE_ANSWER
+        lines = answer.splitlines()
+        blocks, kept, behind = _blocks(lines), [], 0
+        for i, line in enumerate(lines):
+            if i < behind:
+                continue
+            if i not in blocks:
+                if not _EMPTY_BULLET.match(line):
+                    kept.append(line.rstrip())
+            elif blocks[i] is not None:
+                behind = blocks[i] + 1
+                code = _ONE_SPACE.sub(" ", "\n".join(lines[i + 1 : blocks[i]])).strip()
+                if code and any(code in x for x in known):
+                    kept += lines[i:behind]
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip() or NO_USABLE_ANSWER
 
     return pd.Series([None if a is None else clean(a, e) for a, e in zip(answers, evidence, strict=True)])
 
@@ -81,7 +95,7 @@ def finalized(answer: Column, evidence: Column, marker: str, abstention: str) ->
 def without_unsafe_blocks(texts: pd.Series) -> pd.Series:
     """Fenced blocks that dump settings are replaced; used on masked excerpts."""
     unsafe = re.compile(UNSAFE_SETTINGS)
-    return texts.map(lambda t: _FENCED.sub(lambda m: OMITTED_EXAMPLE + "\n" if unsafe.search(m[0]) else m[0], t), na_action="ignore")
+    return texts.map(lambda t: _EXCERPT_BLOCK.sub(lambda m: OMITTED_EXAMPLE if unsafe.search(m[0]) else m[0], t), na_action="ignore")
 
 
 def safe_excerpt(x: Column) -> Column:
@@ -102,7 +116,7 @@ def safe_payload(payloads: pd.Series) -> pd.Series:
     def masked(text: str) -> str:
         for rule, to in rules:
             text = rule.sub(to, text)
-        return _FENCED.sub(lambda m: OMITTED_EXAMPLE + "\n" if unsafe.search(m[0]) else m[0], text)
+        return _EXCERPT_BLOCK.sub(lambda m: OMITTED_EXAMPLE if unsafe.search(m[0]) else m[0], text)
 
     def safe(key: str | None, value):
         if isinstance(value, dict):

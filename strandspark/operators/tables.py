@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +27,20 @@ def differs(columns: tuple[str, ...]) -> Column:
     return ~pack("o").eqNullSafe(pack("n"))
 
 
+def _met(old: DataFrame, new: DataFrame, keys: tuple[str, ...], null_safe: bool = True) -> DataFrame:
+    """Old rows as o and new ones as n, side by side by key; a null key meets a null key, unless there are none."""
+    mark = lambda df: df.withColumn("_in", F.lit(True))
+    return mark(old).alias("o").join(mark(new).alias("n"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) if null_safe else F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full")
+
+
 def upsert_actions(old: DataFrame, new: DataFrame, keys: tuple[str, ...], compared: tuple[str, ...]) -> DataFrame:
     """The keys with action: insert, update, noop, or keep for rows that only the old table has."""
-    mark = lambda df: df.withColumn("_in", F.lit(True))
-    both = mark(old).alias("o").join(mark(new).alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full")
+    both = _met(old, new, keys)
     action = F.when(F.col("n._in").isNull(), "keep").when(F.col("o._in").isNull(), "insert").when(differs(compared), "update").otherwise("noop")
     return both.select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys], action.alias("action"))
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...], compared: tuple[str, ...] | None = None, reset: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...], compared: tuple[str, ...] | None = None, reset: dict[str, tuple[str, ...]] | None = None, null_safe: bool = True) -> DataFrame:
     """The table after an upsert: new rows win where a compared column differs.
 
     ``reset`` names columns that are kept from the old row only while other columns
@@ -39,8 +48,7 @@ def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...], compared: tu
     """
     reset = reset or {}
     compared = compared or tuple(c for c in new.columns if c not in keys)
-    mark = lambda df: df.withColumn("_in", F.lit(True))
-    both = mark(old).alias("o").join(mark(new).alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full")
+    both = _met(old, new, keys, null_safe)
     take_new = F.col("n._in").isNotNull() & (F.col("o._in").isNull() | differs(compared))
     out = []
     for c in old.columns:
@@ -70,20 +78,51 @@ def changed_or_pending(source: DataFrame, derived: DataFrame, keys: tuple[str, .
     return at.select(*keys, reason.alias("reason")).where("reason IS NOT NULL")
 
 
+#: A table that is bucketed by a part of the join's keys needn't be shuffled by all of them.
+JOINED_IN_PLACE = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+@contextmanager
+def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class KeyedTable:
-    """A catalog table with one row a key, dealt over ``parts`` partitions by the key's hash.
+    """A catalog table with one row a key, in partitions that an upsert can overwrite one by one.
 
-    An upsert joins only the partitions that the new rows fall in, stages the result in
-    the shared folder, and has Spark overwrite these partitions. A failed upsert changes
+    The partitions are the values of ``by``, columns of the key such as a repository; without them, ``parts`` hashes
+    of the key. An upsert joins only the partitions that the new rows fall in, stages the
+    result in the shared folder, and has Spark overwrite these partitions. With ``buckets``,
+    each partition is bucketed by the key, and the join moves the new rows to the stored
+    ones, which are not shuffled. A failed upsert changes
     nothing before that last step, and a repeated one changes nothing at all. One writer
-    at a time: later ones win.
+    at a time: later ones win. Null keys and repeated keys among the new rows are errors.
     """
 
-    def __init__(self, spark: SparkSession, name: str, keys: tuple[str, ...], parts: int = 64):
-        self.spark, self.name, self.keys, self.parts = spark, name, keys, parts
+    def __init__(self, spark: SparkSession, name: str, keys: tuple[str, ...], parts: int = 64, by: tuple[str, ...] = (), buckets: int = 0):
+        if set(by) - set(keys):
+            raise ValueError("partitions must be columns of the key")
+        self.spark, self.name, self.keys, self.parts, self.by, self.buckets = spark, name, keys, parts, by, buckets
+        self.split = by or ("_part",)
+        self.within = tuple(k for k in keys if k not in by) or keys
 
     def _dealt(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_part", F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int"))
+        return df if self.by else df.withColumn("_part", F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int"))
+
+    def _checked(self, new: DataFrame) -> DataFrame:
+        """The new rows as a table; an error if a key is null or there more than once."""
+        new = written(self._dealt(new), "new-rows")
+        bad = new.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).where(" OR ".join(["n > 1", *(f"`{k}` IS NULL" for k in self.keys)]))
+        if row := bad.first():
+            raise ValueError(f"{self.name}: a null or repeated key among the new rows: {row.asDict()}")
+        return new
 
     def read(self) -> DataFrame | None:
         """The rows, or None before the first upsert."""
@@ -95,24 +134,36 @@ class KeyedTable:
         if missing := [f"`{c}` {t}" for c, t in types.items() if c not in held]:
             self.spark.sql(f"ALTER TABLE {self.name} ADD COLUMNS ({', '.join(missing)})")
 
+    def touched(self, new: DataFrame) -> DataFrame:
+        """The stored rows of the partitions that ``new`` falls in: those partitions alone are read, and they aren't moved.
+
+        Their names are collected: as many as a batch has repositories, or hash parts, which bounds what one
+        upsert rewrites.
+        """
+        names = [tuple(r) for r in new.select(*self.split).distinct().collect()]
+        one = lambda r: reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(self.split, r, strict=True)])
+        return self.spark.table(self.name).where(reduce(lambda a, b: a | b, map(one, names), F.lit(False)))
+
     def upsert(self, new: DataFrame, compared: tuple[str, ...] | None = None, reset: dict[str, tuple[str, ...]] | None = None) -> None:
         """``upserted`` over the table's rows; columns that the new rows lack stay as they are."""
+        new = self._checked(new)
         if not self.spark.catalog.tableExists(self.name):
-            self._dealt(written(new, "first-rows")).write.partitionBy("_part").format("parquet").saveAsTable(self.name)
+            writer = new.repartition(*self.split, *self.within).write.partitionBy(*self.split).format("parquet")
+            (writer.bucketBy(self.buckets, *self.within).sortBy(*self.within) if self.buckets else writer).saveAsTable(self.name)
             return
         held = self.spark.table(self.name)
         columns = [c for c in held.columns if c != "_part"]
-        new = written(self._dealt(new), "new-rows")
-        old = held.join(F.broadcast(new.select("_part").distinct()), "_part", "left_semi").select(*columns)  # at most ``parts`` rows
+        with _set(self.spark, **JOINED_IN_PLACE):
+            after = written(self.merged(new, compared, reset), "upserted")
+        with _set(self.spark, **{"spark.sql.sources.partitionOverwriteMode": "dynamic"}):  # inserting into a catalog table heeds the session's setting only
+            self._dealt(after.select(*columns)).select(*held.columns).write.mode("overwrite").insertInto(self.name)
+
+    def merged(self, new: DataFrame, compared: tuple[str, ...] | None = None, reset: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+        """What the touched partitions hold after an upsert. Keys aren't null here, so the join is by plain equality, which bucketing serves."""
+        held = self.spark.table(self.name)
+        columns = [c for c in held.columns if c != "_part"]
         for c in set(columns) - set(new.columns):  # kept where the key is known
             new = new.withColumn(c, F.lit(None).cast(held.schema[c].dataType))
             reset = {c: (), **(reset or {})}
         compared = compared or tuple(c for c in columns if c not in self.keys and c not in (reset or {}))
-        after = written(upserted(old, new.select(*columns), self.keys, compared, reset), "upserted")
-        conf, setting = after.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-        before = conf.get(setting)
-        conf.set(setting, "dynamic")  # inserting into a catalog table heeds the session's setting only
-        try:
-            self._dealt(after).select(*held.columns).write.mode("overwrite").insertInto(self.name)
-        finally:
-            conf.set(setting, before)
+        return upserted(self.touched(new).select(*columns), new.select(*columns), self.keys, compared, reset, null_safe=False)

@@ -20,6 +20,30 @@ def test_cleaning_keeps_supported_code(spark):
     assert one(spark, answers.cleaned(F.col("a"), F.col("e")), a="```\nx\n```", e=["y"]) == answers.NO_USABLE_ANSWER
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("a\n````\nx = 1\n```\nmore\n````\nb", "a\nb"),  # three marks don't close a block of four
+        ("a\n````\nx = 1\n```\nb", "a\nx = 1\nb"),  # neither where no four follow: the first fence is open, and the second
+        ("a\n```\nx = 1\n```~~~\ny\n```\nb", "a\nb"),  # other marks behind it: no closing fence
+        ("a\n```\nx = 1\n`````  \nb", "a\n```\nx = 1\n`````  \nb"),  # more marks close
+        ("a\n```\nx = 1\n~~~\nb", "a\nx = 1\nb"),
+        ("a\n~~~ py\nx = 1\n~~~ \nb\n", "a\n~~~ py\nx = 1\n~~~ \nb"),
+        ("- [ ] \n2) \n+ text  \n", "+ text"),
+    ],
+)
+def test_fences_close_with_their_own_marks(spark, answer, want):
+    assert one(spark, answers.cleaned(F.col("a"), F.col("e")), a=answer, e=["so x = 1 it is"]) == want
+
+
+def test_unsafe_blocks_whatever_follows_their_fence(spark):
+    block = "see\n```py\nreturn settings.config\n``` see above\nrest"
+    assert one(spark, answers.safe_excerpt(F.col("a")), a=block) == f"see\n{answers.OMITTED_EXAMPLE} see above\nrest"
+    assert json.loads(one(spark, answers.safe_payload(F.col("a")), a=json.dumps({"x": [{"excerpt": block}]})))["x"][0]["excerpt"] == f"see\n{answers.OMITTED_EXAMPLE} see above\nrest"
+    harmless = "see\n```py\nx = 1\n``` see above"
+    assert one(spark, answers.safe_excerpt(F.col("a")), a=harmless) == harmless
+
+
 def test_finalisation_order(spark):
     last = answers.finalized(F.col("a"), F.col("e"), "[NONE]", "no answer")
     cases = {"[NONE] because": "no answer", "**I cannot answer** that": "no answer", "return settings.config": answers.UNSAFE_SETTINGS_ANSWER, "It is 5. We cannot answer more.": "It is 5. We cannot answer more.", "key sk-abcdefghijklmnop1234": "key [REDACTED]"}
