@@ -169,6 +169,18 @@ class TextIndex:
         _, first, rest, bounds = self._ranked(queries, k, mode, None)
         return (first.count() + rest.count()) / max(1, bounds.count())
 
+    def gold_ranks(self, queries: DataFrame, gold: DataFrame, mode: str = "all") -> DataFrame:
+        """query_id, n_candidates and gold_rank: where the best gold document (query_id, id) stands among all that match; null if none does.
+
+        Ranks are counted, not sorted: how many candidates have a greater score, or an equal one and a smaller id.
+        """
+        asked = self.asked(queries)
+        scores = written(self.ranked_in(self._bounds(asked, mode).select("query_id", "block"), asked, mode, None), "all-scores")
+        best = scores.join(gold.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("g"))
+        before = (F.col("score") > F.col("g.score")) | ((F.col("score") == F.col("g.score")) & (F.col("id") < -F.col("g.id")))
+        counts = scores.join(best, "query_id", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.when(F.first("g").isNotNull(), F.count_if(before) + 1).alias("gold_rank"))
+        return queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "gold_rank")
+
     def _ranked(self, queries: DataFrame, k: int, mode: str, scope: tuple[int, ...] | None):
         if mode not in MODES:
             raise ValueError("mode must be all or any")
