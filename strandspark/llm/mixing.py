@@ -7,7 +7,9 @@ documents, in a pseudorandom order, are one stream of words, packed into blocks
 ``block`` words. The output has shards of a fixed number of slots, a block each. For
 each shard the number of slots of every source is a multinomial draw by the sources'
 shares of the mix; a repair then moves the few slots by which the draws' sums miss
-the sources' totals, so targets are met to half a block. The counts drawn number a
+the sources' totals, so targets are met to half a block. The draw goes by pools of sources,
+as many as the root of their number, and then within each pool, so neither the driver
+nor a task holds all sources. The counts drawn number a
 source's slots through the shards, and slot k takes block permutation[k mod blocks],
 a keyed Feistel permutation that is walked into range: no block is taken more than
 twice, and the draw is the same whenever it is repeated. Slots and blocks meet in a
@@ -21,6 +23,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,33 +32,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordering import cumulated, global_rank
 from .common import words_of, written
 from .hashing import scrambled
 
 WEIGHTS, BUDGET, MOST, BLOCK = (3, 1, 2), 1.5, 2, 256
-#: Slots of an output shard; shards that are drawn in one task; parts in which a source's running sum is taken.
-SHARD_SLOTS, SHARDS_DRAWN, BUCKETS, SEED = 4096, 1024, 4096, 17
+#: Slots of an output shard, and shards that are drawn in one task.
+SHARD_SLOTS, SHARDS_DRAWN, SEED = 4096, 1024, 17
 #: Slots that a task numbers, as long as there are no more tasks than this.
 TASK_SLOTS, MOST_TASKS = 1 << 16, 20_000
 _KEYS = np.random.default_rng(SEED).integers(0, 2**63, 4, np.uint64)
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, block: int = BLOCK) -> DataFrame:
-    """sid, of_source, source_size, target, blocks and slots: a row for each source.
-
-    The windows run over one row a source.
-    """
-    all_rows = Window.partitionBy()
+    """sid, of_source, source_size, target, blocks and slots: a row for each source, numbered and summed by ranges of their order."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    at = totals.select((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).alias("sid"), "source", "source_size")
-    at = at.select("*", F.element_at(F.array(*map(F.lit, weights)), F.col("sid") % len(weights) + 1).cast("double").alias("w"), (budget * F.sum("source_size").over(all_rows)).alias("whole"))
-    at = at.select("*", (MOST * F.col("source_size") / F.col("w")).alias("stop"))
-    before = Window.orderBy("stop", "sid").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("whole") - F.coalesce(F.sum(MOST * F.col("source_size")).over(before), F.lit(0))
-    open_weight = F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    at = at.select("*", (left / open_weight).alias("level"))
-    at = at.select("*", F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "sid", "level"))).over(all_rows)["level"].alias("at_level"))
-    target = F.least(F.coalesce(F.col("at_level"), F.col("stop")) * F.col("w"), (MOST * F.col("source_size")).cast("double"))
+    at = global_rank(totals, [F.col("source").asc_nulls_last()], "place").select((F.col("place") - 1).cast("int").alias("sid"), "source", "source_size")
+    at = at.select("*", F.element_at(F.array(*map(F.lit, weights)), F.col("sid") % len(weights) + 1).cast("double").alias("w"))
+    at = at.select("*", (MOST * F.col("source_size") / F.col("w")).alias("stop"), (MOST * F.col("source_size")).alias("most"))
+    at = written(cumulated(at, [F.col("stop"), F.col("sid")], {"most": "most_before", "w": "w_before"}), "sources")
+    sums = at.agg(F.sum("source_size").alias("whole"), F.sum("w").alias("w")).first()
+    level = (budget * F.lit(sums.whole or 0) - F.col("most_before")) / F.greatest(F.lit(sums.w or 1.0) - F.col("w_before"), F.lit(1e-9))
+    at = at.withColumn("level", level)
+    found = at.where("level <= stop").agg(F.min(F.struct("stop", "sid", "level")).alias("x")).first().x
+    target = F.least((F.lit(found.level) if found else F.col("stop")) * F.col("w"), F.col("most").cast("double"))
     at = at.select("sid", F.col("source").alias("of_source"), "source_size", target.alias("target"), F.ceil(F.col("source_size") / block).alias("blocks"))
     return at.select("*", F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))), F.lit(0)).cast("long").alias("slots"))
 
@@ -102,22 +102,51 @@ def _parts(slots: int, size: int) -> np.ndarray:
     return np.array([size] * (slots // size) + ([slots % size] if slots % size else []), np.int64)
 
 
-def _shards(blocks: list[int], shard_slots: int, seed: int):
-    """A group's draw over its shards: shard, sid, the source's first slot in it, and their number."""
+def _pools_drawn(seed: int):
+    """Over which groups of shards a pool's sources fall: for each group the sources with slots in it, their first slot, and their number."""
+
+    def pools(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x in frame.itertuples():
+                sid, slots, blocks = (np.array([s[c] for s in x.sources], np.int64) for c in ("sid", "slots", "blocks"))
+                counts = drawn(slots, np.array(x.sizes, np.int64), np.random.default_rng([seed, 2, x.pool]))
+                first = np.cumsum(counts, 0) - counts
+                rows = [(g, x.pool, *(a.tolist() for a in (sid[met], blocks[met], counts[g, met], first[g, met]))) for g in range(len(counts)) for met in [np.flatnonzero(counts[g])] if len(met)]
+                yield pd.DataFrame(rows, columns=["grp", "pool", "sids", "blocks", "slots", "first"])
+
+    return pools
+
 
-    def shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _groups_drawn(shard_slots: int, seed: int):
+    """A group's draw over its shards: how many slots of each of them fall on each pool."""
+
+    def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for g in frame.itertuples():
                 totals = np.array(g.slots, np.int64)
                 counts = drawn(totals, _parts(int(totals.sum()), shard_slots), np.random.default_rng([seed, 1, g.grp]))
-                first = np.array(g.first, np.int64) + np.cumsum(counts, 0) - counts
-                shard, sid = np.nonzero(counts)
-                yield pd.DataFrame({"sid": sid, "blocks": np.array(blocks)[sid], "shard": g.grp * SHARDS_DRAWN + shard, "first": first[shard, sid], "n": counts[shard, sid]})
+                pools = np.flatnonzero(totals)
+                yield pd.DataFrame({"grp": g.grp, "pool": pools, "sizes": [counts[:, p].tolist() for p in pools]})
+
+    return groups
+
+
+def _shares(seed: int):
+    """A pool's draw over a group's shards: shard, sid, the source's first slot in it, and their number."""
+
+    def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x in frame.itertuples():
+                counts = drawn(np.array(x.slots, np.int64), np.array(x.sizes, np.int64), np.random.default_rng([seed, 3, x.grp, x.pool]))
+                first = np.array(x.first, np.int64) + np.cumsum(counts, 0) - counts
+                shard, at = np.nonzero(counts)
+                yield pd.DataFrame({"sid": np.array(x.sids)[at], "blocks": np.array(x.blocks)[at], "shard": x.grp * SHARDS_DRAWN + shard, "first": first[shard, at], "n": counts[shard, at]})
 
-    return shards
+    return shares
 
 
 def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
     for frame in frames:
         for x in frame.itertuples():
             for a in range(x.first, x.first + x.n, 100_000):
@@ -126,27 +155,38 @@ def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 block = np.empty(len(k), np.int64)
                 for e in np.unique(epoch):
                     block[epoch == e] = permuted(within[epoch == e], x.blocks, 1 + 2 * x.sid + int(e))
-                yield pd.DataFrame({"sid": x.sid, "shard": x.shard, "slot": k, "block": block})
+                held.append((np.full(len(k), x.sid), np.full(len(k), x.shard), k, block))
+                n += len(k)
+                if n >= 100_000:
+                    yield pd.DataFrame(dict(zip(("sid", "shard", "slot", "block"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+                    held, n = [], 0
+    if held:
+        yield pd.DataFrame(dict(zip(("sid", "shard", "slot", "block"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
 
 
 def slots_of(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """sid, shard, slot, block: what each output shard holds, a row for each block in it.
 
-    Shards have ``shard_slots`` slots, the last one what is left. The sources, a row
-    each, are the mixture's settings and are listed in the driver, which draws over
-    groups of SHARDS_DRAWN shards; a group's shards are drawn in a task. A source's
+    Shards have ``shard_slots`` slots, the last one what is left. The driver draws how
+    many slots of each group of SHARDS_DRAWN shards fall on each pool of sources; a
+    pool's sources are drawn over the groups, and a group's shards over the pools, in a task each, and both
+    together say how many slots of a pool's sources each shard of a group has. A source's
     slots are numbered through all shards, so the counts drawn say which of its blocks
     a shard gets.
     """
     spark = targets.sparkSession
-    sources = targets.select("sid", "slots", "blocks").orderBy("sid").collect()
-    totals, blocks = np.array([s.slots for s in sources], np.int64), [s.blocks for s in sources]
+    pools = max(1, math.isqrt(max(0, targets.count() - 1)) + 1)
+    of_pool = targets.where("slots > 0").withColumn("pool", F.col("sid") % pools)
+    found = {r.pool: r.n for r in of_pool.groupBy("pool").agg(F.sum("slots").alias("n")).collect()}  # the root of the sources' number
+    totals = np.array([found.get(p, 0) for p in range(pools)], np.int64)
     sizes = _parts(int(totals.sum()), shard_slots * SHARDS_DRAWN)
-    groups = drawn(totals, sizes, np.random.default_rng([seed, 0])) if len(sizes) else np.zeros((0, len(totals)), np.int64)
-    first = np.cumsum(groups, 0) - groups
-    rows = [(i, g, f) for i, (g, f) in enumerate(zip(groups.tolist(), first.tolist(), strict=True))]
-    drawn_groups = spark.createDataFrame(rows, "grp long, slots array<long>, first array<long>")
-    shares = drawn_groups.mapInPandas(_shards(blocks, shard_slots, seed), "sid int, blocks long, shard long, first long, n long")
+    groups = drawn(totals, sizes, np.random.default_rng([seed, 0])) if len(sizes) else np.zeros((0, pools), np.int64)
+    by_pool = spark.createDataFrame([(p, g) for p, g in enumerate(groups.T.tolist())], "pool int, sizes array<long>")
+    by_group = spark.createDataFrame(list(enumerate(groups.tolist())), "grp long, slots array<long>")
+    members = of_pool.groupBy("pool").agg(F.sort_array(F.collect_list(F.struct("sid", "slots", "blocks"))).alias("sources"))
+    lists = ", ".join(f"{c} array<long>" for c in ("sids", "blocks", "slots", "first"))
+    sides = members.join(by_pool, "pool").mapInPandas(_pools_drawn(seed), f"grp long, pool int, {lists}"), by_group.mapInPandas(_groups_drawn(shard_slots, seed), "grp long, pool int, sizes array<long>")
+    shares = sides[0].join(sides[1], ["grp", "pool"]).mapInPandas(_shares(seed), "sid int, blocks long, shard long, first long, n long")
     # a number of partitions that is given isn't lessened by the adaptive planner
     tasks = max(1, min(MOST_TASKS, -(-int(totals.sum()) // TASK_SLOTS)))
     return shares.repartition(tasks, "shard", "sid").mapInPandas(_slots, "sid int, shard long, slot long, block long")
@@ -160,19 +200,15 @@ def row_key() -> Column:
 def placed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The documents with their place in their source's stream, and the sources.
 
-    The order in a source is by hash. A place is the sum of all lower hash buckets,
-    taken over one row a bucket, and of the lower rows of the same bucket, so no
-    task orders a whole source.
+    The order in a source is by hash, and by the row where rows are equal. A place is the
+    sum of all lower ranges of that order, a row each, and of the lower rows of the same range, so no
+    task orders a whole source, or all equal rows.
     """
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), row_key().alias("key")), "sizes")
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), row_key().alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
     targets = written(source_targets(sized, block=block), "targets")
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", F.coalesce(F.sum("n").over(before.partitionBy("sid")), F.lit(0)).alias("base"))
-    within = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["sid", "bucket"])
-    return rows.select("doc_id", "key", "size", "sid", "source_size", "target", (F.col("base") + F.col("within")).alias("start")), targets
+    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "key", "size", "row", "sid", "source_size", "target")
+    return cumulated(rows, [F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")], {"size": "start"}, ("sid",)).drop("row"), targets
 
 
 def _spans(rows: DataFrame, block: int) -> DataFrame:

@@ -34,6 +34,10 @@ from .common import shared_folder
 
 #: Bytes of a row group before compression, and of a page.
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
+#: Bytes of the input's files, as Spark estimates them, for a shard.
+SHARD_BYTES = 128 << 20
+#: An estimate without statistics is beyond any size.
+_UNKNOWN = 1 << 56
 #: Parts of words that a worker remembers; beyond that it starts anew.
 CACHED_PARTS = 1_000_000
 SHARD_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -139,6 +143,12 @@ def _shards(path: str, end_id: int):
     return encode
 
 
+def shards_for(docs: DataFrame, most_bytes: int = SHARD_BYTES) -> int:
+    """As many as the bytes of the input's files ask for, and no fewer than the session's partitions, which are all where Spark knows no bytes."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most_bytes) if size < _UNKNOWN else 1)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, shards: int | None = None) -> None:
     """Encodes ``docs`` (doc_id, text) and writes the shards below ``folder``.
 
@@ -147,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     text's hash and the row's number, so copies under one doc_id are split as well.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     ranged = ranged.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "row").drop("row")
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn("shard", F.spark_partition_id())

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandspark.llm import mixing
 
@@ -77,3 +78,18 @@ def test_written_shards_hold_the_blocks(spark, docs, tmp_path):
     assert taken == +want
     slots = Counter((r.shard, r.source, r.slot) for r in got)
     assert len({s for s, _, _ in slots}) > 5 and max(Counter(s for s, _, _ in slots).values()) <= 32
+
+
+def test_a_hundred_thousand_sources(spark):
+    docs = spark.range(120_000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 5 + 1).cast("int")), " ").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 100_000).alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    found = mixing.mixed_sizes(docs, block=2, shard_slots=64)
+    sums = found.agg(F.count(F.lit(1)), F.sum("size"), F.sum("taken"), F.max(F.col("taken") - 2 * F.col("size")), F.count_if((F.col("taken") > 0) != F.col("first_shard").isNotNull())).first()
+    assert tuple(sums)[:2] == (120_000, 360_000) and abs(sums[2] / (1.5 * 360_000) - 1) < 0.2 and sums[3] <= 0 and sums[4] == 0
+
+
+def test_one_row_repeated_for_a_third_is_split(spark):
+    rows = spark.range(3_000).select(F.lit(7).alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same words").otherwise(F.concat(F.lit("words "), F.col("id"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    placed, _ = mixing.placed(rows, 4)
+    assert placed.groupBy("start").count().where("count > 1").count() == 0
+    tasks = placed.groupBy(F.spark_partition_id().alias("p")).count()
+    assert placed.agg(F.max("start")).first()[0] + placed.orderBy(F.col("start").desc()).first()["size"] == placed.agg(F.sum("size")).first()[0] and tasks.count() >= 1

@@ -49,3 +49,10 @@ def test_a_cut_that_disagrees_is_not_used(monkeypatch):
     monkeypatch.setattr(token_files.WordEncoder, "_cut", lambda self, text: text.lower().split())
     encoder = token_files.WordEncoder(PATH)
     assert encoder.parts is None and encoder.encode(["it's, so"]) == [encoder._by_library("it's, so")]
+
+
+def test_shards_follow_the_bytes_of_the_input(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert token_files.shards_for(docs) == least
+    assert token_files.shards_for(docs, 10_000) > 20 * least / 4
