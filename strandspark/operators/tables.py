@@ -167,3 +167,16 @@ class KeyedTable:
             reset = {c: (), **(reset or {})}
         compared = compared or tuple(c for c in columns if c not in self.keys and c not in (reset or {}))
         return upserted(self.touched(new).select(*columns), new.select(*columns), self.keys, compared, reset, null_safe=False)
+
+    def replace(self, parents: DataFrame, rows: DataFrame) -> None:
+        """Rows of the keys in ``parents``, columns of the key that hold the partition's, give way to ``rows``; in one step for each touched partition."""
+        if not set(self.by) <= set(parents.columns) <= set(self.keys) or not self.by:
+            raise ValueError("parents must have the partitions' columns, and others of the key")
+        if not self.spark.catalog.tableExists(self.name):
+            self.upsert(rows)
+            return
+        rows, held = self._checked(rows), self.spark.table(self.name)
+        kept = without_keys(self.touched(parents), parents, tuple(parents.columns)).select(*held.columns)
+        after = written(kept.unionByName(rows.select(*held.columns)), "replaced")
+        with _set(self.spark, **{"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+            after.write.mode("overwrite").insertInto(self.name)
