@@ -61,6 +61,15 @@ def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...], compared: tu
     return both.select(*out)
 
 
+def filled(old: DataFrame, updates: DataFrame, keys: tuple[str, ...], column: str) -> DataFrame:
+    """The table after a set-based update of one column that is guarded: only rows where it is null take the update's value.
+
+    Of several updates of a key the least value counts; updates of keys that the table lacks do nothing, and null keys meet none.
+    """
+    one = updates.groupBy(*keys).agg(F.min(column).alias("_value"))
+    return old.join(one, list(keys), "left").select(*[F.coalesce(c, "_value").alias(c) if c == column else F.col(c) for c in old.columns])
+
+
 def without_keys(df: DataFrame, gone: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Delete by key set; applied to a child table it is the cascade."""
     return df.join(gone.select(*keys).distinct(), list(keys), "left_anti")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import answers, cases, digests, evaluation, retrieval
+from ..operators import answers, cases, cleaning, digests, evaluation, retrieval
 from ..operators import tables as tb
 from .cases import _cases, _metrics_sql, _results
 from .common import Query, table
@@ -162,4 +162,53 @@ SELECT item_id AS query_id, m.mode, count(n.rank) AS n_candidates, min(n.rank) F
 FROM benchmark CROSS JOIN (VALUES ('all'), ('any')) AS m(mode) LEFT JOIN n ON n.mode = m.mode AND n.query_id = item_id GROUP BY ALL"""
 
 
+def q_guarded_update(spark, sf_dir):
+    """Vectors' labels arrive for many rows; only rows without one take theirs."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.col("label")).alias("label"))
+    arrived = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", (F.col("label") + 100).alias("label"))
+    return tb.filled(rows, arrived, ("vec_id",), "label")
+
+
+ORACLE_SQL["q_guarded_update"] = """SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN label WHEN vec_id % 2 = 0 THEN label + 100 END AS label FROM embeddings"""
+
+
+def q_first_parts(spark, sf_dir):
+    """The first 5,000 characters, and the first four lines: what a request for a question is made of."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.substring(text, 1, 5000)).alias("head"), F.md5(F.array_join(F.slice(F.split(text, "\n"), 1, 4), "\n")).alias("lines"))
+
+
+ORACLE_SQL["q_first_parts"] = """SELECT doc_id, md5(substring(coalesce(text, ''), 1, 5000)) AS head, md5(array_to_string(string_split(coalesce(text, ''), chr(10))[1:4], chr(10))) AS lines FROM documents"""
+
+
+def q_canonical_times(spark, sf_dir):
+    """Instants as text with a Z, microseconds only where there are some."""
+    at = F.when(F.col("event_id") % 4 == 0, F.date_trunc("second", "ts")).otherwise(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", cleaning.iso(at, "Z").alias("at"))
+
+
+ORACLE_SQL["q_canonical_times"] = """WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN date_trunc('second', ts) ELSE ts END AS t FROM events)
+SELECT event_id, strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(t) % 1000000 = 0 THEN '' ELSE strftime(t, '.%f') END || 'Z' AS at FROM e"""
+
+
+def q_object_keys(spark, sf_dir):
+    """Names that are an owner's and a repository's, and keys that are safe in a path."""
+    name = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " / ").when(F.col("doc_id") % 3 == 1, "/").otherwise(":/"), F.coalesce("lang", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", cleaning.repository_name(name).alias("name"), cleaning.path_safe(name).alias("key"))
+
+
+ORACLE_SQL["q_object_keys"] = """WITH d AS (SELECT doc_id, coalesce(source, '') || CASE doc_id % 3 WHEN 0 THEN ' / ' WHEN 1 THEN '/' ELSE ':/' END || coalesce(lang, '') AS n FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(n, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') THEN n END AS name, regexp_replace(n, '[^A-Za-z0-9_.-]', '__', 'g') AS key FROM d"""
+
+
+def q_same_scopes(spark, sf_dir):
+    """Whether the languages of each source are the set that was stated, in whatever order and however often."""
+    stated = F.array(*map(F.lit, ("fr", "en", "de", "en", "es")))
+    sets = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("langs"))
+    return sets.select("source", cases.same_scope(F.col("langs"), stated).alias("same"))
+
+
+ORACLE_SQL["q_same_scopes"] = "SELECT source, list_sort(list(DISTINCT lang) FILTER (lang IS NOT NULL)) IS NOT DISTINCT FROM ['de', 'en', 'es', 'fr'] AS same FROM documents GROUP BY source"
+
+
 QUERIES.update({k: v for k, v in globals().items() if k.startswith("q_")})

@@ -68,3 +68,10 @@ def test_columns_that_a_batch_lacks_stay(spark, table):
     table.upsert(_rows(spark, ("r2", 2, "newer")))
     row = table.read().where("repo = 'r2' AND number = 2").first()
     assert (row.text, row.embedding) == ("newer", "vector")
+
+
+def test_guarded_updates_fill_nulls_alone(spark):
+    old = _rows(spark, ("a", 1, None), ("a", 2, "kept"), (None, 3, None), ("b", 4, None))
+    updates = _rows(spark, ("a", 1, "y"), ("a", 1, "x"), ("a", 2, "new"), (None, 3, "none"), ("c", 9, "unknown"), ("b", 4, None))
+    got = {(r.repo, r.number): r.text for r in tables.filled(old, updates, ("repo", "number"), "text").collect()}
+    assert got == {("a", 1): "x", ("a", 2): "kept", (None, 3): None, ("b", 4): None}
