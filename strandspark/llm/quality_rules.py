@@ -118,7 +118,9 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", carry: tup
     """The counts of every document, base_failed and kept, with ``carry`` of its columns.
 
     The counts are written to the shared folder once: calibration reads its few
-    columns for the labelled rows, the verdict reads all. Cutoffs have a row a
+    columns for the labelled rows, the verdict reads all. A document's one label is
+    read from a table, as an aggregate right before the join would keep Spark from
+    splitting a document that is a third of all rows. Cutoffs have a row a
     stratum; as a table their size is known to Spark, which broadcasts them if they
     are small, so that no document is shuffled by its stratum, and joins by shuffle
     if they are not.
@@ -127,7 +129,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", carry: tup
     ratios = [F.coalesce(F.try_divide(*map(F.col, of.split(" / "))), F.lit(0.0)).alias(rule) for rule, (of, _) in RULES.items()]
     counts = written(counts.select("*", base_failed().alias("base_failed"), *ratios), "quality-counts")
     quality = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
-    labelled = counts.where(~F.col("base_failed")).select("id", "stratum", *RULES).join(quality, "id")
+    labelled = counts.where(~F.col("base_failed")).select("id", "stratum", *RULES).join(written(quality, "quality-labels"), "id")
     cutoffs = written(certified_cutoffs(labelled, risk, delta), "cutoffs").withColumnRenamed("stratum", "of_stratum")
     over = [F.coalesce(F.col(rule) > F.col(f"{rule}_cutoff"), F.lit(False)) for rule in RULES]
     kept = ~F.col("base_failed")

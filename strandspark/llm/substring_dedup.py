@@ -166,7 +166,10 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), width: int = W
     """doc_id, ``carry`` of docs, n_words, n_removed, kept_sha256, kept_text and the removed intervals.
 
     Rows are matched by (doc_id, text hash). The runs, a few dozen bytes each, are
-    written to the shared folder as they are read three times.
+    written to the shared folder as they are read three times. So are a text's edges
+    and marks, each a row, before they are joined: a join right behind their aggregate
+    would take over its partitions, and Spark couldn't split one text that makes up a
+    third of the table.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry])
     texts = rows.select("id", "th", "text")
@@ -174,11 +177,11 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), width: int = W
     runs = written(_repeated(_grams_in_several(written(runs, "window-runs"))), "shared-runs")
     marked = runs.where("first < id").select("id", "th", "place", "n")
     edges = _grams_in_several(runs.where("first = id")).groupBy("id", "th").agg(F.collect_set(F.struct("place", "n")).alias("runs"))
-    windows = texts.join(edges, ["id", "th"]).mapInArrow(_edge_windows(width), "id long, th long, gram long, whole long, place int")
+    windows = texts.join(written(edges, "edges"), ["id", "th"]).mapInArrow(_edge_windows(width), "id long, th long, gram long, whole long, place int")
     windows = _repeated(written(windows.distinct(), "edge-windows")).where("first < id").select("id", "th", "place", F.lit(1).alias("n"))
     marks = marked.unionByName(windows).groupBy("id", "th").agg(F.collect_set(F.struct("place", "n")).alias("marks"))
     held = [f for f in rows.schema.fields if f.name.startswith("c_")]
     schema = ", ".join(["id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in held), "n_words long, n_removed long, kept_sha256 string, kept_text string, intervals array<struct<start:int,end:int>>"])
-    joined = rows.join(marks, ["id", "th"], "left").select("id", *[f.name for f in held], "text", "marks")
+    joined = rows.join(written(marks, "marks"), ["id", "th"], "left").select("id", *[f.name for f in held], "text", "marks")
     out = joined.mapInArrow(_without(width), schema)
     return out.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), *[F.col(f"c_{c}").alias(c) for c in carry], "n_words", "n_removed", "kept_sha256", "kept_text", "intervals")
