@@ -150,7 +150,9 @@ def prompts(rows, limit: int, template: str, tokenizer: Callable[[], tuple], res
                     shown = items if size is None else [{**x, "excerpt": x["excerpt"][:size], "excerpt_truncated": len(x["excerpt"]) > size} for x in items]
                     return [{"role": "system", "content": template.replace("{retrieved_chunks}", json.dumps(shown, ensure_ascii=False))}, {"role": "user", "content": question}], [x["excerpt"] for x in shown]
 
-                cost = lambda size: reserve + sum(len(encode(text)) for m in written(size)[0] for text in m.values())  # noqa: E731, B023
+                tokens = lambda *texts: sum(len(encode(x)) for x in texts)
+                fixed = reserve + tokens("system", "user", row.question)  # alike for every trial length
+                cost = lambda size, fixed=fixed: fixed + tokens(written(size)[0][0]["content"])  # noqa: E731, B023
                 size = None
                 if cost(None) > limit:
                     longest = max((len(x["excerpt"]) for x in items), default=0)
