@@ -1,10 +1,12 @@
 """A stored positional index of texts, and ranks by cover density that read only its postings.
 
 Building cuts every text once. Documents are put in order of their length and cut into
-blocks of bounded size, so that a block's documents are alike. A posting is a row of
-term, block, document, and the term's positions; the table is bucketed and sorted by
-(term, block), so a query's terms are looked up without a shuffle of the table. A
-second, small table has for each term and block the greatest number of a document's positions.
+blocks of bounded size, so that a block's documents are alike. A row of the postings has
+a term and a block, and lists: the places in the block of the documents that have the term, how often
+each has it, and all its positions, document by document. The row of the empty term lists the
+block's documents. The table is bucketed by block, so a block's postings meet the
+queries that want the block without a shuffle of the table. A second, small table has for each term
+and block the greatest number of a document's positions.
 
 A document's rank for a query that wants all its terms is the sum over covers, the
 shortest spans that hold all terms, of 0.1 / (1 + words of the span that aren't the query's).
@@ -13,35 +15,40 @@ For a query that wants any of its terms each position is a span of its own. Both
 
 A rank has an upper bound from the numbers of positions alone, so each block has one from its maxima.
 The k best documents of a query are first sought in the blocks of greatest bounds; the
-kth rank found there leaves out all blocks whose bound is lower. The result is exact.
+kth rank found there leaves out all blocks whose bound is lower. The result is exact. Blocks return
+their k best documents of a query, or counts, so no list of all matches is shuffled.
 
 Edge cases: null texts have no terms; queries without terms, or with a term that no text has
 where all are wanted, have no rows; documents of equal rank come by id; a null id takes no part; rows under a
-repeated id are told apart by the text's place only in ranks, and appear as often.
+repeated id are told apart by their place in the block, and appear as often.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.snowball import STOP_WORDS, english_stem
 from ..staging import written
 
-#: Documents of a block, and blocks of each query that are searched first.
-BLOCK, FIRST = 4_096, 4
+#: Documents and words of a block at most, blocks of each query that are searched first, queries that visit the blocks at a time, and characters of a bucket.
+BLOCK, BLOCK_WORDS, FIRST, LOT, BUCKET_CHARS = 4_096, 1 << 20, 4, 2_048, 32 << 20
 WEIGHT = 0.1
 MODES = ("all", "any")
 _WORDS = re.compile("[a-z0-9_]+").findall
-_POSTING = "term string, block long, id long, grp long, doc long, n int, ats array<int>"
+_POSTING = "term string, block long, ids array<long>, grps array<long>, docs array<int>, ns array<int>, ats array<int>"
 
 
 def lexemes_of(text: str | None, config: str) -> dict[str, list[int]]:
@@ -56,43 +63,157 @@ def lexemes_of(text: str | None, config: str) -> dict[str, list[int]]:
     return found
 
 
-def _postings(config: str, block: int):
+class _Codes(dict):
+    """Numbers of words, in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _block_rows(block: int, ids: list, grps: list, words: list[np.ndarray], codes: _Codes, config: str) -> pa.RecordBatch:
+    """A block's rows: its documents under the empty term, and the postings of each lexeme."""
+    terms = list(codes)
+    if config == "english":
+        lexeme = _Codes()
+        of = np.array([-1 if t in STOP_WORDS else lexeme[english_stem(t)] for t in terms], np.int32)
+        terms = list(lexeme)
+    else:
+        of = np.arange(len(terms), dtype=np.int32)
+    code = of[np.concatenate(words)] if len(of) else np.empty(0, np.int32)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), [*map(len, words)])
+    at = np.concatenate([np.arange(1, len(w) + 1, dtype=np.int32) for w in words])
+    order = np.argsort(code, kind="stable")
+    order = order[np.searchsorted(code[order], 0) :]  # without stop words
+    code, doc, at = code[order], doc[order], at[order]
+    posting = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))[: len(code)])
+    term = np.flatnonzero(np.append(True, code[posting][1:] != code[posting][:-1])[: len(posting)])
+    first, place = np.append(posting, len(code)), np.append(term, len(posting))
+    lists = lambda head, offsets, values, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], head + offsets]), pa.int32()), pa.array(values, kind))
+    none = np.zeros(len(term) + 1, np.int64)
+    columns = [
+        pa.array(["", *(terms[c] for c in code[posting][term].tolist())], pa.string()), pa.array(np.full(len(term) + 1, block), pa.int64()), lists(len(ids), none, ids, pa.int64()), lists(len(ids), none, grps, pa.int64()),
+        lists(0, place, doc[posting], pa.int32()), lists(0, place, np.diff(first), pa.int32()), lists(0, first[place], at, pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "ids", "grps", "docs", "ns", "ats"])
+
+
+def _postings(config: str, most: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, row = TaskContext.get().partitionId() << 32, 0
+        block, ids, grps, words, codes, n = TaskContext.get().partitionId() << 32, [], [], [], _Codes(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256).to_pydict()
-                out: list[tuple] = []
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64).to_pydict()
                 for i, grp, text in zip(part["id"], part["grp"], part["text"], strict=True):
-                    out += [(term, task + row // block, i, grp, task + row, len(ats), ats) for term, ats in lexemes_of(text, config).items()]
-                    row += 1
-                if out:
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["term", "block", "id", "grp", "doc", "n", "ats"])
+                    words.append(np.array([codes[w] for w in _WORDS((text or "").lower())], np.int32))
+                    ids.append(i), grps.append(grp)
+                    n += len(words[-1])
+                    if len(ids) >= most or n >= BLOCK_WORDS:
+                        yield _block_rows(block, ids, grps, words, codes, config)
+                        block, ids, grps, words, codes, n = block + 1, [], [], [], _Codes(), 0
+        if ids:
+            yield _block_rows(block, ids, grps, words, codes, config)
 
     return postings
 
 
-def rank_cd(places: Column, n_terms: Column) -> Column:
-    """Sum of 0.1 / (1 + noise) over the covers of ``n_terms`` terms; ``places`` has at and term (from 1), in order of at.
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To six places, halves up, as Spark and SQL have it; what is near a half is rounded by its decimal digits."""
+    out = np.floor(x * 1e6 + 0.5) / 1e6
+    half = np.flatnonzero(np.abs(x * 1e6 - np.floor(x * 1e6) - 0.5) < 1e-3)
+    if len(half):
+        values, to = np.unique(x[half], return_inverse=True)
+        out[half] = np.array([float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in values.tolist()])[to]
+    return out
 
-    The walk keeps the number of the latest place of each term. The earliest of these
-    begins the shortest span that ends here; if that begin is new, the span is a cover.
-    """
-    each = F.transform(places, lambda p, i: F.struct(p["at"].alias("at"), p["term"].alias("term"), i.alias("i")))
-    start = F.struct(F.array_repeat(F.lit(-1), n_terms.cast("int")).alias("latest"), F.lit(-1).alias("begun"), F.lit(0.0).alias("total"))
-
-    def step(state, p):
-        latest = F.transform(state["latest"], lambda x, t: F.when(t + 1 == p["term"], p["i"]).otherwise(x))
-        # the lambda's variable keeps the minimum from being taken anew for each use
-        return F.get(F.transform(F.array(F.struct(latest.alias("latest"), F.array_min(latest).alias("least"))), lambda s: _covered(state, p, s)), F.lit(0))
 
-    def _covered(state, p, s):
-        new = s["least"] > state["begun"]
-        noise = p["at"] - F.get(places, F.greatest(s["least"], F.lit(0)))["at"] - (p["i"] - s["least"])
-        return F.struct(s["latest"].alias("latest"), F.when(new, s["least"]).otherwise(state["begun"]).alias("begun"), (state["total"] + F.when(new, F.lit(WEIGHT) / (1 + noise)).otherwise(F.lit(0.0))).alias("total"))
+def cover_ranks(doc: np.ndarray, at: np.ndarray, term: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
+    """Each document's sum of 0.1 / (1 + noise) over the covers of ``n_terms`` terms (from 0); places are in order of document and ``at``.
 
-    return F.aggregate(each, start, step, lambda s: s["total"])
+    The earliest of the latest places of all terms begins the shortest span that ends at a place; if that begin is new, the span is a cover.
+    """
+    i = np.arange(len(doc))
+    opens = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    first = np.maximum.accumulate(np.where(opens, i, 0))
+    least = i
+    for t in range(n_terms):
+        least = np.minimum(least, np.maximum.accumulate(np.where(term == t, i, -1)))
+    least = np.where(least >= first, least, -1)
+    before = np.where(opens, -1, np.append(-1, least[:-1])[: len(doc)])
+    new = np.flatnonzero((least >= 0) & (least != before))
+    noise = at[new] - at[least[new]] - (new - least[new])
+    return np.bincount(doc[new], weights=WEIGHT / (1 + noise), minlength=n_docs)
+
+
+class _Block:
+    """A block's documents and the postings of the terms that are asked for."""
+
+    def __init__(self, rows: pa.Table, scope: tuple[int, ...] | None):
+        self.row = {t: i for i, t in enumerate(rows["term"].to_pylist())}
+        head = rows.slice(self.row.pop(""), 1)
+        self.ids, self.grps = (head[c].combine_chunks().flatten() for c in ("ids", "grps"))
+        self.id = self.ids.to_numpy()
+        self.allowed = None if scope is None else pc.is_in(self.grps, value_set=pa.array(scope, pa.int64())).to_numpy(zero_copy_only=False)
+        lists = {c: rows[c].combine_chunks() for c in ("docs", "ns", "ats") if c in rows.column_names}
+        self.first = lists["docs"].offsets.to_numpy()
+        self.docs, self.ns = lists["docs"].values.to_numpy(), lists["ns"].values.to_numpy()
+        if "ats" in lists:
+            self.ats, self.begin = lists["ats"].values.to_numpy(), np.cumsum(self.ns, dtype=np.int64) - self.ns
+
+    def any(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ranks of the documents that have any of the terms."""
+        spans = [slice(self.first[i], self.first[i + 1]) for i in map(self.row.get, terms) if i is not None]
+        if not spans:
+            return np.empty(0, np.int64), np.empty(0)
+        total = np.bincount(np.concatenate([self.docs[x] for x in spans]), weights=np.concatenate([self.ns[x] for x in spans]), minlength=len(self.id))
+        if self.allowed is not None:
+            total *= self.allowed
+        hits = np.flatnonzero(total)
+        return hits, _rounded(WEIGHT * total[hits])
+
+    def all(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ranks of the documents that have all of the terms; the rarest is looked at first."""
+        none = np.empty(0, np.int64), np.empty(0)
+        if not all(t in self.row for t in terms):
+            return none
+        spans = sorted(((self.first[self.row[t]], self.first[self.row[t] + 1]) for t in terms), key=lambda x: x[1] - x[0])
+        hits = self.docs[spans[0][0] : spans[0][1]]
+        if self.allowed is not None:
+            hits = hits[self.allowed[hits]]
+        for a, b in spans[1:]:
+            if not len(hits):
+                return none
+            held = self.docs[a:b]
+            hits = hits[held[np.minimum(np.searchsorted(held, hits), b - a - 1)] == hits]
+        if not len(hits):
+            return none
+        doc, at, term = [], [], []
+        for t, (a, b) in enumerate(spans):
+            posting = a + np.searchsorted(self.docs[a:b], hits)
+            n = self.ns[posting]
+            ends = np.cumsum(n, dtype=np.int64)
+            at.append(self.ats[np.repeat(self.begin[posting] - ends + n, n) + np.arange(ends[-1])])
+            doc.append(np.repeat(np.arange(len(hits)), n))
+            term.append(np.full(ends[-1], t))
+        doc, at, term = np.concatenate(doc), np.concatenate(at), np.concatenate(term)
+        order = np.lexsort((at, doc))
+        return hits, _rounded(cover_ranks(doc[order], at[order], term[order], len(hits), len(terms)))
+
+
+def _visited(mode: str, scope: tuple[int, ...] | None, chosen: Callable):
+    """What ``chosen(block, places, ranks, query)`` makes of the matches of each query that wants a block."""
+
+    def visit(postings: pa.Table, wanted: pa.Table) -> list:
+        out = []
+        if postings.num_rows and wanted.num_rows:
+            block = _Block(postings, scope)
+            for q in wanted.to_pylist():
+                hits, ranks = getattr(block, mode)(q["terms"])
+                if len(hits):
+                    out.append(chosen(block, hits, ranks, q))
+        return out
+
+    return visit
 
 
 class TextIndex:
@@ -104,24 +225,34 @@ class TextIndex:
         self.spark, self.name, self.config = spark, name, config
 
     @property
-    def postings(self) -> DataFrame:
+    def packed(self) -> DataFrame:
+        """The stored rows: a term's postings in a block, as lists; under the empty term the block's documents."""
         return self.spark.table(f"{self.name}_postings")
 
+    @property
+    def postings(self) -> DataFrame:
+        """term, block, id, grp and n of each posting."""
+        heads = self.packed.where("term = ''").select("block", "ids", "grps")
+        each = self.packed.where("term <> ''").select("term", "block", F.inline(F.arrays_zip("docs", "ns")))
+        return each.join(heads, "block").select("term", "block", F.get("ids", F.col("docs")).alias("id"), F.get("grps", F.col("docs")).alias("grp"), F.col("ns").alias("n"))
+
     @property
     def blocks(self) -> DataFrame:
         return self.spark.table(f"{self.name}_blocks")
 
     def build(self, docs: DataFrame, folder: str | None = None, buckets: int | None = None, block: int = BLOCK) -> TextIndex:
         """Writes both tables over ``docs`` (id, grp, text), below ``folder`` if one is given; tables of that name are replaced."""
-        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         place = lambda w, kind: w.option("path", f"{folder}/{kind}") if folder else w
         length = F.length(F.coalesce("text", F.lit("")))
         rows = docs.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("grp").cast("long").alias("grp"), "text")
+        if not buckets:
+            chars = rows.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
+            buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
         order = [length, F.col("id"), F.xxhash64("text")]
         rows = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
-        found = rows.mapInArrow(_postings(self.config, block), _POSTING).repartition(buckets, "term", "block")
-        place(found.write, "postings").bucketBy(buckets, "term", "block").sortBy("term", "block").mode("overwrite").saveAsTable(f"{self.name}_postings")
-        held = self.postings.groupBy("term", "block").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n_docs"))
+        found = rows.mapInArrow(_postings(self.config, block), _POSTING)  # a task's blocks are whole, so they are written where they are made
+        place(found.write, "postings").bucketBy(buckets, "block").mode("overwrite").saveAsTable(f"{self.name}_postings")
+        held = self.packed.where("term <> ''").select("term", "block", F.array_max("ns").alias("most"), F.size("ns").cast("long").alias("n_docs"))
         place(held.write, "blocks").mode("overwrite").saveAsTable(f"{self.name}_blocks")
         return self
 
@@ -149,16 +280,44 @@ class TextIndex:
         covers = F.when(F.col("m") == 1, F.col("total")).otherwise(F.least(F.col("total") - F.col("m") + 1, F.col("m") * F.col("least")))
         return met.where("n = m").select("query_id", "block", (WEIGHT * covers).alias("bound"))
 
-    def ranked_in(self, pairs: DataFrame, asked: DataFrame, mode: str, scope: tuple[int, ...] | None) -> DataFrame:
-        """query_id, id, grp and score of all matches in the given blocks of each query."""
-        wanted = pairs.join(asked, "query_id").select("query_id", "term", "number", "m", "block")
-        held = self.postings if scope is None else self.postings.where(F.col("grp").isin(*scope))
-        if mode == "any":
-            hits = held.select("term", "block", "id", "grp", "doc", "n").join(wanted, ["term", "block"])
-            return hits.groupBy("query_id", "doc", "id", "grp").agg(F.round(WEIGHT * F.sum("n"), 6).alias("score")).drop("doc")
-        hits = held.join(wanted, ["term", "block"]).groupBy("query_id", "doc", "id", "grp").agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("number", "ats")).alias("found")).where("n = m")
-        places = F.array_sort(F.flatten(F.transform("found", lambda x: F.transform(x["ats"], lambda at: F.struct(at.alias("at"), x["number"].alias("term"))))))
-        return hits.select("query_id", "id", "grp", F.col("m"), places.alias("places")).select("query_id", "id", "grp", F.round(rank_cd(F.col("places"), F.col("m")), 6).alias("score"))
+    def _in_blocks(self, pairs: DataFrame, asked: DataFrame, mode: str, scope: tuple[int, ...] | None, chosen: Callable, schema: str) -> DataFrame:
+        """The rows that ``chosen`` returns for each query and block of ``pairs`` (query_id, block, and what else it needs), lot by lot of the queries.
+
+        Each block is one group, with its postings of the lot's terms; the table stays where it lies.
+        """
+        if mode not in MODES:
+            raise ValueError("mode must be all or any")
+        terms = written(asked.groupBy("query_id").agg(F.collect_list("term").alias("terms")), "query-terms")
+        n, out = max(1, -(-terms.count() // LOT)), None
+        columns = ["term", "block", "ids", "grps", "docs", "ns", *(["ats"] if mode == "all" else [])]
+        schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, {schema}"
+        kinds = to_arrow_schema(StructType.fromDDL(schema))
+        visit = _visited(mode, scope, chosen)
+
+        def found(postings: pa.Table, wanted: pa.Table) -> pa.Table:
+            parts = [pa.table([pa.array([q] * len(x[0]), kinds.field(0).type), *(pa.array(c, f.type) for c, f in zip(x, list(kinds)[1:], strict=True))], schema=kinds) for q, x in visit(postings, wanted)]
+            return pa.concat_tables(parts) if parts else kinds.empty_table()
+
+        for i in range(n):
+            lot = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+            wanted = pairs.join(lot, "query_id")
+            names = lot.select(F.explode("terms").alias("term")).unionByName(self.spark.range(1).select(F.lit("").alias("term"))).distinct()
+            held = self.packed.select(*columns).join(F.broadcast(names), "term", "left_semi")  # the terms of a lot of bounded size
+            rows = held.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(found, schema)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def ranked_in(self, pairs: DataFrame, asked: DataFrame, mode: str, scope: tuple[int, ...] | None, k: int | None = None) -> DataFrame:
+        """query_id, id, grp and score of all matches in the given blocks of each query, or of each block's ``k`` best."""
+
+        def best(block: _Block, hits: np.ndarray, ranks: np.ndarray, q: dict):
+            if k is not None and len(hits) > k:
+                some = np.flatnonzero(ranks >= np.partition(ranks, -k)[-k])
+                some = some[np.lexsort((block.id[hits[some]], -ranks[some]))[:k]]
+                hits, ranks = hits[some], ranks[some]
+            return q["query_id"], (block.ids.take(pa.array(hits)), block.grps.take(pa.array(hits)), ranks)
+
+        return self._in_blocks(pairs.select("query_id", "block"), asked, mode, scope, best, "id long, grp long, score double")
 
     def top_k(self, queries: DataFrame, k: int, mode: str = "all", scope: tuple[int, ...] | None = None) -> DataFrame:
         """query_id, rank, id, grp and score of the k best documents of each query (query_id, text); documents of groups outside ``scope`` are left out first."""
@@ -175,10 +334,21 @@ class TextIndex:
         Ranks are counted, not sorted: how many candidates have a greater score, or an equal one and a smaller id.
         """
         asked = self.asked(queries)
-        scores = written(self.ranked_in(self._bounds(asked, mode).select("query_id", "block"), asked, mode, None), "all-scores")
-        best = scores.join(gold.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("g"))
-        before = (F.col("score") > F.col("g.score")) | ((F.col("score") == F.col("g.score")) & (F.col("id") < -F.col("g.id")))
-        counts = scores.join(best, "query_id", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.when(F.first("g").isNotNull(), F.count_if(before) + 1).alias("gold_rank"))
+        pairs = written(self._bounds(asked, mode).select("query_id", "block"), "all-pairs")
+        golds = gold.where("id IS NOT NULL").groupBy("query_id").agg(F.collect_set(F.col("id").cast("long")).alias("golds"))
+
+        def of_gold(block: _Block, hits: np.ndarray, ranks: np.ndarray, q: dict):
+            some = np.isin(block.id[hits], q["golds"])
+            return q["query_id"], (block.id[hits[some]], ranks[some])
+
+        def counted(block: _Block, hits: np.ndarray, ranks: np.ndarray, q: dict):
+            before = None if q["score"] is None else int(((ranks > q["score"]) | ((ranks == q["score"]) & (block.id[hits] < q["id"]))).sum())
+            return q["query_id"], ([len(hits)], [before])
+
+        scores = self._in_blocks(pairs.join(golds, "query_id"), asked, mode, None, of_gold, "id long, score double")
+        best = written(scores.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("g")).select("query_id", "g.score", (-F.col("g.id")).alias("id")), "gold-scores")
+        each = self._in_blocks(pairs.join(best, "query_id", "left"), asked, mode, None, counted, "n long, before long")
+        counts = each.groupBy("query_id").agg(F.sum("n").alias("n_candidates"), (F.sum("before") + 1).alias("gold_rank"))
         return queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "gold_rank")
 
     def _ranked(self, queries: DataFrame, k: int, mode: str, scope: tuple[int, ...] | None):
@@ -189,11 +359,11 @@ class TextIndex:
         bounds = written(self._bounds(asked, mode).withColumn("place", F.row_number().over(order)), "bounds")
         first = bounds.where(F.col("place") <= FIRST)
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-        some = written(self.ranked_in(first.select("query_id", "block"), asked, mode, scope).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first-blocks")
+        some = written(self.ranked_in(first, asked, mode, scope, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first-blocks")
         kth = some.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
         # an equal rank in another block may have a smaller id; ranks are rounded
         rest = bounds.where(F.col("place") > FIRST).join(kth, "query_id", "left").where("kth IS NULL OR bound >= kth - 0.000001").select("query_id", "block")
-        both = some.drop("rank").unionByName(self.ranked_in(rest, asked, mode, scope))
+        both = some.drop("rank").unionByName(self.ranked_in(rest, asked, mode, scope, k))
         found = both.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
         return found.select("query_id", "rank", "id", "grp", "score"), first, rest, bounds
 
