@@ -25,6 +25,8 @@ RESOLUTION_NOTE = "[Low-confidence heuristic resolution; not ground truth. Store
 # End of the fixed values.
 
 _FENCE, _PARAGRAPH_END, _WORD = re.compile(FENCE), re.compile(PARAGRAPH_END), re.compile(r"\s*\S+|\s+\Z")
+#: Texts that are cut at a time.
+TEXTS = 64
 #: From a text to its tokens, and from tokens to a text.
 Tokenizer = tuple[Callable[[str], list], Callable[[list], str]]
 
@@ -99,12 +101,13 @@ def chunked(sources: DataFrame, size: int = 700, overlap: int = 100, tokenizer:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer()
         for batch in batches:
-            rows, pieces, chunks, counts = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for piece, (chunk, n) in enumerate(packed(text or "", size, overlap, made)):
-                    rows.append(i), pieces.append(piece), chunks.append(chunk), counts.append(n)
-            take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in keys), pa.array(pieces, pa.int32()), pa.array(chunks, pa.string()), pa.array(counts, pa.int32())], [*keys, "piece", "chunk", "n_tokens"])
+            for k in range(0, batch.num_rows, TEXTS):  # a few texts and their chunks at a time
+                part, rows, pieces, chunks, counts = batch.slice(k, TEXTS), [], [], [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    for piece, (chunk, n) in enumerate(packed(text or "", size, overlap, made)):
+                        rows.append(i), pieces.append(piece), chunks.append(chunk), counts.append(n)
+                take = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in keys), pa.array(pieces, pa.int32()), pa.array(chunks, pa.string()), pa.array(counts, pa.int32())], [*keys, "piece", "chunk", "n_tokens"])
 
     return sources.select(*keys, F.col("text").cast("string")).mapInArrow(cut, schema)
 
