@@ -47,6 +47,8 @@ from ..staging import written
 BLOCK, BLOCK_WORDS, FIRST, LOT, BUCKET_CHARS = 4_096, 1 << 20, 4, 2_048, 32 << 20
 WEIGHT = 0.1
 MODES = ("all", "any")
+#: Counts of a few texts for all queries of a lot that are held at a time.
+COUNTS = 1 << 20
 _WORDS = re.compile("[a-z0-9_]+").findall
 _POSTING = "term string, block long, ids array<long>, grps array<long>, docs array<int>, ns array<int>, ats array<int>"
 
@@ -377,21 +379,24 @@ def counted_terms(lot: pd.DataFrame, k: int):
     of_term = {t: np.array(x) for t, x in of_term.items()}
     query_ids = lot.query_id.to_numpy()
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3  # query, count, id
         worst = np.zeros(len(query_ids), np.int64)
-        for frame in frames:
-            for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
-                found = [[of_term[t] for t in set(_WORDS((text or "").lower())) if t in of_term] for text in part.text]
-                counts = np.stack([np.bincount(np.concatenate(x), minlength=len(query_ids)) if x else np.zeros(len(query_ids), np.int64) for x in found])
+        texts = max(1, min(256, COUNTS // max(1, len(query_ids))))
+        for batch in batches:
+            for a in range(0, batch.num_rows, texts):  # of a batch a few texts at a time, read where they lie
+                part = batch.slice(a, texts)
+                counts = np.zeros((part.num_rows, len(query_ids)), np.int64)
+                for row, text in zip(counts, part.column("text"), strict=True):
+                    if x := [of_term[t] for t in set(_WORDS((text.as_py() or "").lower())) if t in of_term]:
+                        row += np.bincount(np.concatenate(x), minlength=len(query_ids))
                 doc, query = np.nonzero(counts >= np.maximum(worst, 1))
-                query, n, ids = (np.concatenate(x) for x in zip(held, (query, counts[doc, query], part.id.to_numpy(np.int64)[doc]), strict=True))
+                query, n, ids = (np.concatenate(x) for x in zip(held, (query, counts[doc, query], part.column("id").to_numpy()[doc]), strict=True))
                 order = np.lexsort((ids, -n, query))
                 query, n, ids = query[order], n[order], ids[order]
                 place = np.arange(len(query)) - np.searchsorted(query, query)
                 worst[query[place == k - 1]] = n[place == k - 1]
                 held = [x[place < k] for x in (query, n, ids)]
-        yield pd.DataFrame({"query_id": query_ids[held[0]], "id": held[2], "n_terms": held[1]})
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[held[0]], pa.int64()), pa.array(held[2], pa.int64()), pa.array(held[1], pa.int64())], ["query_id", "id", "n_terms"])
 
     return best
