@@ -34,6 +34,8 @@ from .rounds import in_rounds
 #: Bytes of a part's vectors; links that a node chooses, and has at most, on a level; nearest others that are looked at; nodes for one on the next level.
 PART_BYTES, LINKS, MOST_LINKS, LOOKED_AT, RATIO = 16 << 20, 16, 48, 64, 16
 LEAST_DEPTH, MOST_DEPTH = 1, 1000
+#: Queries that visit a part's graph in one task, on average at most.
+VISITS = 1_024
 _FOUND = "query_id long, id long, grp long, similarity double, scored long"
 
 
@@ -234,11 +236,12 @@ def _visited(k: int, depth: int, scope: tuple[int, ...] | None):
 def searched(graphs: DataFrame, queries: DataFrame, k: int, depth: int, scope: tuple[int, ...] | None = None) -> DataFrame:
     """query_id, id, grp, similarity: at most k rows of each part for each query; and a row a part and query with scored, the nodes it looked at.
 
+    A task searches one lot of the queries, so it is no longer when there are more of them.
     With ``scope``, rows of other groups are dropped from what the search has kept, as
     an index scan does that filters behind it.
     """
     asked = queries.where(F.col("id").isNotNull() & usable(F.col("vector"))).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    return in_rounds(graphs.repartition(max(1, graphs.count()), "part"), asked, "id", _visited(k, checked_depth(depth), scope), _FOUND)
+    return in_rounds(graphs.repartition(max(1, graphs.count()), "part"), asked, "id", _visited(k, checked_depth(depth), scope), _FOUND, VISITS)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from strandspark.operators import chunking, positional, retrieval
+from strandspark.operators import chunking, graph, positional, retrieval
 
 
 def peak(rows) -> tuple[float, int]:
@@ -56,3 +56,14 @@ def test_counts_of_a_large_lot():
     docs = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"w{i} w{i % 7} x" for i in range(300)])], ["id", "text"])
     most, n = peak(positional.counted_terms(lot, 1)(iter([docs])))
     assert n == 16_000 and most < 100
+
+
+def test_more_questions_are_more_tasks_of_a_graph_search(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(120)], "id long, grp long, vector array<double>")
+    built = graph.build(rows)
+    whole = graph.searched(built, rows, 3, 40)
+    monkeypatch.setattr(graph, "VISITS", 30)
+    some = graph.searched(built, rows, 3, 40)
+    assert some.rdd.getNumPartitions() >= whole.rdd.getNumPartitions() + 3  # some four lots, not one
+    assert {tuple(r) for r in some.collect()} == {tuple(r) for r in whole.collect()}
