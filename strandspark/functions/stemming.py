@@ -1,7 +1,9 @@
-"""Porter's suffix stripping (1980) as column expressions, for tables of distinct terms."""
+"""Porter's suffix stripping (1980): as column expressions, for tables of distinct terms, and of one word, for tasks that read texts."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +69,44 @@ def steps() -> list:
         return F.when(w.endswith("ll") & w.rlike(_MM), _cut(w, 1)).otherwise(w)
 
     return [plural, past, final_y, lambda w: _longest(w, STEP_2, _M0), lambda w: _longest(w, STEP_3, _M0), endings, final_e, double_l]
+
+
+_m0, _m1, _mm, _vowel, _cvc = (re.compile(p).search for p in (_M0, _M1, _MM, _VOWEL, _CVC))
+_e_again, _double, _s_or_t = (re.compile(p).search for p in ("(at|bl|iz)$", r"([^aeiouylsz])\1$", "[st]$"))
+_TABLES = [(tuple(x[0] for x in table), sorted(table, key=lambda x: -len(x[0])), measure) for table, measure in ((STEP_2, _m0), (STEP_3, _m0), ([(s, "") for s in STEP_4], _mm))]
+
+
+def _replaced(w: str, step: int) -> str:
+    suffixes, table, measure = _TABLES[step]
+    if w.endswith(suffixes):
+        suffix, to = next(x for x in table if w.endswith(x[0]))
+        stem = w[: -len(suffix)]
+        return stem + to if measure(stem) else w
+    return w
+
+
+def porter_stem(w: str) -> str:
+    """What ``steps`` make of a lower-case word; words of fewer than three characters stay."""
+    if len(w) < 3:
+        return w
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _m0(w[:-3]) else w
+    elif w.endswith(("ed", "ing")):
+        bare = w[:-2] if w.endswith("ed") else w[:-3]
+        if _vowel(bare):
+            w = bare + "e" if _e_again(bare) else bare[:-1] if _double(bare) else bare + "e" if _cvc(bare) else bare
+    if w.endswith("y") and _vowel(w[:-1]):
+        w = w[:-1] + "i"
+    w = _replaced(_replaced(w, 0), 1)
+    stem = w[:-3]
+    if w.endswith("ion") and _s_or_t(stem):
+        w = stem if _mm(stem) else w
+    else:
+        w = _replaced(w, 2)
+    if w.endswith("e") and (_mm(w[:-1]) or (_m1(w[:-1]) and not _cvc(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _mm(w) else w
