@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import positional, retrieval
-from ..staging import shared_folder
+from ..staging import shared_folder, united
 from .common import Query, table
 from .retrieval import _HELD, _SIM, _TERMS, _chunks
 
@@ -72,7 +72,7 @@ def _modes(spark, sf_dir) -> DataFrame:
     text = index.top_k(asked, TOP, "all", SCOPE)
     hybrid = retrieval.fused({"vector": near, "text": text}, TOP, within=("query_id",))
     rows = lambda df, mode, score: df.select(F.lit(mode).alias("mode"), "query_id", "rank", "id", score.alias("score"))
-    return rows(near, "vector", F.col("similarity")).unionByName(rows(hybrid, "hybrid", F.round("score", 12)))
+    return united([rows(near, "vector", F.col("similarity")), rows(hybrid, "hybrid", F.round("score", 12))], "modes")
 
 
 def q_hybrid_modes(spark, sf_dir):
