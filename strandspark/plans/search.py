@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import positional, retrieval
-from ..staging import shared_folder, united
+from ..staging import shared_folder, united, written
 from .common import Query, table
 from .retrieval import _HELD, _SIM, _TERMS, _chunks
 
@@ -19,7 +19,8 @@ SCOPE, TOP = (0, 1, 2, 3, 4), 10
 
 def _indexed(spark, sf_dir, config: str = "simple") -> tuple[positional.TextIndex, DataFrame]:
     """An index over all documents, whose group is that of the row of their number, and the questions."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(_chunks(spark, sf_dir).select("id", "grp"), "id", "left")
+    groups = written(_chunks(spark, sf_dir).select("id", "grp"), "groups")  # a table without the vectors: Spark sees how small it is, and doesn't shuffle the texts for the join
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(groups, "id", "left")
     index = positional.TextIndex(spark, f"text_{uuid.uuid4().hex}", config).build(docs, shared_folder(spark, "text-index"))
     return index, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

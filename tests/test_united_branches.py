@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from strandspark.operators import retrieval
+from strandspark.operators import positional, retrieval
+from strandspark.plans import search
 from strandspark.staging import united, written
 
 
@@ -38,3 +39,19 @@ def test_fused_ranks_are_those_of_plain_sums(spark):
     for q in range(40):
         plain = sorted((-round(s, 12), i) for (of, i), s in share.items() if of == q)[:10]
         assert [(-round(r.score, 12), r.id) for r in sorted((r for r in found.collect() if r.query_id == q), key=lambda r: r["rank"])] == plain
+
+
+def test_texts_meet_their_groups_without_a_shuffle_beside_wide_vectors(spark, monkeypatch, tmp_path):
+    spark.range(5_000).select(F.col("id").alias("vec_id"), (F.col("id") % 7).cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * 64 + i).cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3).select(F.col("id").alias("item_id"), F.lit("word").alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = []
+    monkeypatch.setattr(positional.TextIndex, "build", lambda self, docs, folder: held.append(docs) or self)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(100 << 10))  # less than the vectors, more than the groups
+    try:
+        search._indexed(spark, str(tmp_path))
+        assert "BroadcastHashJoin" in held[0]._jdf.queryExecution().executedPlan().toString()
+        assert {r.grp for r in held[0].collect()} == set(range(7)) and held[0].count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
